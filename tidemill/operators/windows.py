@@ -152,7 +152,9 @@ def cumulate_panes(df: DataFrame, ts: str, step: str, size: str, keys: Sequence[
     result, so a window is reported at every step from the first one with data.
     """
     panes = (
-        df.groupBy(F.window(ts, size).alias("_o"), F.window(ts, step).alias("_p"), *keys)
+        df.withColumn("_p", F.window(ts, step))
+        .withColumn("_o", F.window(ts, size))
+        .groupBy("_o", "_p", *keys)
         .agg(*[partial.alias(name) for name, (partial, _) in aggs.items()])
         .withColumn("window_start", F.col("_o.start"))
         .withColumn("_limit", F.col("_o.end"))
