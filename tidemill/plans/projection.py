@@ -206,6 +206,7 @@ def literal_tag(t: Tables):
 )
 def current_time_functions(t: Tables):
     """The clock functions are fixed once per query (or micro-batch), whatever the number of rows."""
+    t.spark.conf.set("spark.sql.timeType.enabled", "true")  # CURRENT_TIME gives the TIME type
     e = t.events.select(
         F.current_timestamp().alias("now_ts"),
         F.now().alias("now"),
