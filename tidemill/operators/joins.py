@@ -22,9 +22,11 @@ def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _seconds(interval: str) -> Column:
-    """An interval text as whole seconds, through the calendar-free types only."""
-    return F.expr(f"timestampdiff(second, timestamp'1970-01-01', timestamp'1970-01-01' + interval {interval})")
+def _width(interval: str) -> Column:
+    """An interval text in microseconds; months and years have no fixed length."""
+    if "month" in interval.lower() or "year" in interval.lower():
+        raise ValueError(f"give the interval in weeks, days or smaller units: {interval}")
+    return F.expr(f"timestampdiff(microsecond, timestamp'1970-01-01', timestamp'1970-01-01' + interval {interval})")
 
 
 def interval_join(
@@ -46,7 +48,7 @@ def interval_join(
     theirs, so each matching pair meets exactly once. ``how`` is ``inner``,
     ``left`` or ``full``. Column names of both sides must differ.
     """
-    width = F.greatest((_seconds(upper) - _seconds(lower)) * 1_000_000, F.lit(1))
+    width = F.greatest(_width(upper) - _width(lower), F.lit(1))
     low = F.col(left_ts) + F.expr(f"interval {lower}")
     high = F.col(left_ts) + F.expr(f"interval {upper}")
     left_bucket = F.expr("_us div _width")
@@ -158,7 +160,7 @@ def validity_join(
         cond = cond & (left[lk] == ranges[rk])
     if not bucket:
         return left.join(ranges, cond, how)
-    width = _seconds(bucket) * 1_000_000
+    width = _width(bucket)
     cut = ranges.withColumn("_lo", _micros(F.col(start))).withColumn("_hi", _micros(F.col(end)))
     cut = cut.withColumn("_w", width).withColumn("_rb", F.explode(F.expr("sequence(_lo div _w, _hi div _w)")))
     probe = left.withColumn("_us", _micros(F.col(left_ts))).withColumn("_w2", width)
