@@ -30,7 +30,11 @@ def at(c: Column, key) -> Column:
 
 def map_union(*maps: Column) -> Column:
     """Entries of all maps; for a repeated key the last map wins."""
+
+    def without(m: Column, other: Column) -> Column:
+        return F.map_filter(m, lambda k, _: ~F.map_contains_key(other, k))
+
     out = maps[0]
     for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.coalesce(F.map_contains_key(m, k), F.lit(False))), m)
+        out = F.map_concat(without(out, m), m)
     return out

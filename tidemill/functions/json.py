@@ -18,9 +18,9 @@ def _is_scalar(node: Column) -> Column:
 
 
 def json_value(c: Column, path: str) -> Column:
-    """The text of a scalar; NULL for objects, arrays, missing paths and bad JSON."""
+    """The text of a scalar as written (``28.0`` stays so); NULL for objects, arrays, missing paths and bad JSON."""
     node = _node(c, path)
-    return F.when(_is_scalar(node), F.try_variant_get(F.try_parse_json(c), path, "string"))
+    return F.when(_is_scalar(node), F.get_json_object(c, path))
 
 
 def json_query(c: Column, path: str) -> Column:
