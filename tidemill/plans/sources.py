@@ -106,7 +106,7 @@ def fan_out_to_sinks(t: Tables):
 def time_partitioned_sink(t: Tables):
     """Parquet in year/month/day/hour folders; a read of some days prunes the others."""
     path = scratch(t, "folders")
-    S.write_time_partitioned(t.events, "ts", path)
+    S.write_time_partitioned(t.events, "ts", path, tasks=16)
     back = t.spark.read.parquet(path).where(F.col("day") >= 20)
     return back.groupBy("year", "month", "day").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 

@@ -1,0 +1,244 @@
+"""Streaming queries over file streams of the tables, run until the input known now is used up."""
+
+from pyspark.sql import functions as F
+
+from tidemill.operators import joins as J
+from tidemill.operators import windows as W
+from tidemill.plans.catalog import query
+from tidemill.plans.quality import VIOLATIONS, _messages, violations_of
+from tidemill.plans.sources import scratch
+from tidemill.plans.windows import hourly_metrics
+from tidemill.sources import records as R
+from tidemill.sources import sinks as S
+from tidemill.streaming import event_time as E
+from tidemill.streaming import run
+from tidemill.streaming import stateful
+from tidemill.tables import Tables
+
+
+def _ntz(df, *columns):
+    """Zoned times back to the stored form."""
+    for c in columns:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+CLOSED = "window_end <= (SELECT max(ts) FROM events) - INTERVAL {delay} MILLISECOND"
+
+
+@query(
+    f"""
+    SELECT * FROM (
+      SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+             event_type, count(*) AS n, round(sum(value), 2) AS total, round(sum(value), 2) / count(*) AS mean
+      FROM events WHERE event_id IS NOT NULL AND value > 0 GROUP BY ALL) WHERE {CLOSED.format(delay=5000)}"""
+)
+def stream_tumble_on_close(t: Tables):
+    """Append mode with a watermark of 5 s: each window once, when the watermark passes its end."""
+    events = E.bounded_out_of_orderness(t.stream("events"), "ts")
+    out = run.append_to(hourly_metrics(events), scratch(t, "tumble"))
+    return _ntz(out, "window_start", "window_end")
+
+
+@query(
+    f"""
+    SELECT * FROM (
+      SELECT window_start, window_start + INTERVAL 2 DAY AS window_end, count(*) AS n
+      FROM (SELECT unnest([time_bucket(INTERVAL 1 DAY, ts) - to_days(i) for i in range(2)]) AS window_start FROM events) GROUP BY ALL)
+    WHERE {CLOSED.format(delay=0)}"""
+)
+def stream_hop_monotonic(t: Tables):
+    """Hopping windows under a monotonously increasing watermark."""
+    events = E.monotonously_increasing(t.stream("events"), "ts")
+    hops = W.hop_agg(events, "ts", "2 days", "1 day", [], F.count("*").alias("n"))
+    return _ntz(run.append_to(hops, scratch(t, "hop")), "window_start", "window_end")
+
+
+@query(
+    """
+    SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, user_id, count(*) AS n
+    FROM events GROUP BY ALL"""
+)
+def stream_tumble_with_lateness(t: Tables):
+    """Update mode with allowed lateness: windows are reported early and again on change."""
+    events = E.bounded_out_of_orderness(t.stream("events"), "ts", 5000, lateness_ms=3_600_000)
+    out = W.tumble_agg(events, "ts", "1 day", ["user_id"], F.count("*").alias("n"))
+    return _ntz(run.update_to(out, scratch(t, "late"), ["window_start", "user_id"]), "window_start", "window_end")
+
+
+SESSIONS = f"""
+    SELECT * FROM (
+      SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 2 HOUR AS window_end, count(*) AS n
+      FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+            FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events))
+      GROUP BY user_id, s) WHERE {CLOSED.format(delay=5000)}"""
+
+
+@query(SESSIONS)
+def stream_sessions(t: Tables):
+    events = E.bounded_out_of_orderness(t.stream("events"), "ts")
+    out = W.session_agg(events, "ts", "2 hours", ["user_id"], F.count("*").alias("n"))
+    return _ntz(run.append_to(out, scratch(t, "session")), "window_start", "window_end")
+
+
+@query(
+    f"""
+    WITH h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, s) AS window_start, time_bucket(INTERVAL 1 DAY, s) + INTERVAL 1 DAY AS window_end, event_type, sum(n)::BIGINT AS n, max(n) AS busiest FROM h GROUP BY ALL)
+    WHERE {CLOSED.format(delay=5000)}"""
+)
+def stream_cascade(t: Tables):
+    """Hourly windows feeding daily ones in a single query."""
+    events = E.bounded_out_of_orderness(t.stream("events"), "ts")
+    hours = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    days = hours.groupBy(F.window(F.window_time("w"), "1 day").alias("d"), "event_type").agg(
+        F.sum("n").alias("n"), F.max("n").alias("busiest")
+    )
+    out = days.select(F.col("d.start").alias("window_start"), F.col("d.end").alias("window_end"), "event_type", "n", "busiest")
+    return _ntz(run.append_to(out, scratch(t, "cascade")), "window_start", "window_end")
+
+
+@query("SELECT user_id, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY ALL")
+def stream_unbounded_groups(t: Tables):
+    """GROUP BY without a window, continuously updated."""
+    out = t.stream("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    return run.update_to(out, scratch(t, "groups"), ["user_id", "event_type"])
+
+
+@query("SELECT event_id, user_id FROM events")
+def stream_deduplicate(t: Tables):
+    """Every event sent twice, kept once."""
+    events = t.stream("events").select("event_id", "user_id", "ts")
+    once = E.deduplicate(events.union(events), ["event_id"], "ts", 3_600_000)
+    return run.append_to(once.select("event_id", "user_id"), scratch(t, "dedup"))
+
+
+@query(
+    """
+    SELECT p.event_id AS p_event_id, v.event_id AS v_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 3 HOUR AND p.ts + INTERVAL 90 MINUTE"""
+)
+def stream_interval_join(t: Tables):
+    """Two streams joined on key and time; state is dropped once no partner can come."""
+
+    def side(kind, p):
+        e = E.bounded_out_of_orderness(t.stream("events"), "ts").where(F.col("event_type") == kind)
+        return e.select(*[F.col(c).alias(f"{p}_{c}") for c in ("event_id", "user_id", "ts")])
+
+    p, v = side("purchase", "p"), side("view", "v")
+    near = F.expr("v_ts BETWEEN p_ts - interval 3 hours AND p_ts + interval 90 minutes")
+    joined = p.join(v, (F.col("p_user_id") == F.col("v_user_id")) & near)
+    return run.append_to(joined.select("p_event_id", "v_event_id"), scratch(t, "interval"))
+
+
+@query(
+    """
+    SELECT event_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey"""
+)
+def stream_lookup_join(t: Tables):
+    """A stream against a table that is read again for every micro-batch."""
+    joined = t.stream("events").join(t.customer, F.col("user_id") == F.col("c_custkey"), "left")
+    return run.append_to(joined.select("event_id", "c_mktsegment"), scratch(t, "lookup"))
+
+
+@query(VIOLATIONS)
+def stream_violations(t: Tables):
+    """The continuous monitor: the assertions of the batch test on a stream."""
+    at = F.expr("timestamp_ntz'2024-02-01 00:00:00'")
+
+    class Streamed:
+        events = t.stream("events")
+
+    return run.append_to(violations_of(_messages(Streamed), at), scratch(t, "violations"))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE value > 10")
+def stream_json_scan_and_sink(t: Tables):
+    """Messages read as a stream from JSON text, filtered, and appended as JSON text again."""
+    path = scratch(t, "json")
+    S.to_messages(t.events.select("event_id", "user_id", "value")).write.text(f"{path}/topic")
+    topic = t.spark.readStream.text(f"{path}/topic")
+    rows = R.parse_json_records(topic, "event_id bigint, user_id bigint, value double")
+    S.append(S.to_messages(rows.where(F.col("value") > 10)), "text", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return R.parse_json_records(t.spark.read.text(f"{path}/out"), "event_id bigint, user_id bigint, value double")
+
+
+@query(
+    """
+    SELECT 'errors' AS output, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'large', count(*) FROM events WHERE value > 50"""
+)
+def stream_fan_out(t: Tables):
+    """One stream, two sinks, the batch read once."""
+    path = scratch(t, "stream-fan-out")
+    models = {"errors": lambda b: b.where(F.col("event_type") == "error"), "large": lambda b: b.where(F.col("value") > 50)}
+    write = S.fan_out(models, lambda df, name, n: df.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}"))
+    q = t.stream("events").writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/cp")
+    q.trigger(availableNow=True).start().awaitTermination()
+    counts = [
+        t.spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("output"), "n") for name in models
+    ]
+    return S.union_sources(*counts)
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def stream_state_with_ttl(t: Tables):
+    """Per-user totals in state that expires a day after its last write."""
+    conf = run.state_settings("rocksdb") | {"spark__sql__streaming__noDataMicroBatches__enabled": "false"}
+    with run.settings(t.spark, **conf):
+        totals = stateful.totals_with_ttl(t.stream("events"), ["user_id"], "value", 86_400_000)
+        out = run.update_to(totals, scratch(t, "ttl"), ["user_id"], timeout=600)
+    return out.withColumn("total", F.round("total", 2))
+
+
+LATE = """
+    WITH o AS (SELECT event_id, ts, user_id % 4 AS part, event_id * 7919 % 10007 AS off FROM events),
+         w AS (SELECT *, max(ts) OVER (PARTITION BY part ORDER BY off, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 20 DAY AS wm FROM o)"""
+
+
+def _shuffled(df):
+    """Events in a scrambled but repeatable arrival order, on four source partitions."""
+    off = (F.col("event_id") * 7919) % 10007 * 100_000_000 + F.col("event_id")
+    return df.select("event_id", "ts", (F.col("user_id") % 4).alias("part"), off.alias("off"))
+
+
+@query(LATE + "SELECT event_id, wm AS current_watermark FROM w")
+def current_watermark(t: Tables):
+    """Event-time progress of each source partition before every row (batch replay)."""
+    out = E.with_current_watermark(_shuffled(t.events), "ts", ["part"], "off", 20 * 86_400_000)
+    return out.select("event_id", "current_watermark")
+
+
+@query(LATE + "SELECT event_id, coalesce(ts < wm, false) AS late FROM w")
+def late_rows_to_side_output(t: Tables):
+    """Rows behind the watermark are routed, not lost (batch replay)."""
+    on_time, late = E.split_late(_shuffled(t.events), "ts", ["part"], "off", 20 * 86_400_000)
+    return on_time.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
+
+
+@query(LATE + "SELECT event_id, coalesce(ts < wm, false) AS late FROM w")
+def stream_late_rows(t: Tables):
+    """The same on a stream, with the progress of each source partition in state."""
+    with run.settings(t.spark, **run.state_settings("rocksdb")):
+        marked = stateful.mark_late_rows(_shuffled(t.stream("events")), "part", "ts", "off", 20 * 86_400_000)
+        return run.append_to(marked.select("event_id", "late"), scratch(t, "late"), timeout=600)
+
+
+@query(
+    """
+    WITH s AS (SELECT user_id AS u, ts AS signed_at, arg_max(event_id, event_id) AS signup_id, arg_max(value, event_id) AS signup_value FROM events WHERE event_type = 'signup' GROUP BY ALL),
+         p AS (SELECT * FROM events WHERE event_type = 'purchase')
+    SELECT event_id, user_id, signup_id, signup_value FROM p ASOF LEFT JOIN s ON user_id = u AND ts >= signed_at
+    WHERE epoch_ms(ts) + (ts > date_trunc('millisecond', ts))::INTEGER <= (SELECT epoch_ms(max(ts)) - 1000 FROM events WHERE event_type IN ('purchase', 'signup'))"""
+)
+def stream_as_of_join(t: Tables):
+    """Purchases with the signup valid at their time, answered when the watermark passes them."""
+    e = t.stream("events")
+    probes = e.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    versions = e.where(F.col("event_type") == "signup").select(
+        F.col("user_id").alias("u"), F.col("ts").alias("at"), F.col("event_id").alias("signup_id"), F.col("value").alias("signup_value")
+    )
+    with run.settings(t.spark, **run.state_settings("rocksdb")):
+        joined = stateful.stream_as_of_join(
+            probes, versions, ("user_id", "u"), "ts", "at", ["signup_id", "signup_value"], "signup_id", 1000
+        )
+        return run.append_to(joined.drop("ts"), scratch(t, "as-of"), timeout=600)
