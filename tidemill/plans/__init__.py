@@ -7,9 +7,11 @@ from tidemill.plans import (  # noqa: F401
     domains,
     joins,
     masking,
+    patterns,
     projection,
     quality,
     scalars,
+    scoring,
     sources,
     streams,
     windows,

@@ -99,47 +99,52 @@ class _AsOf(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.versions = handle.getMapState("versions", "us bigint", "seq bigint, body string")
+        self.versions = handle.getListState("versions", "us bigint, seq bigint, body string")
         self.probes = handle.getListState("probes", "us bigint, body string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now_ms = timerValues.getCurrentWatermarkInMs()
-        due = set()
+        due, news = set(), []
         for batch in rows:
-            facts = batch[batch["side"] == 0].sort_values(["row_us", "seq"], kind="stable")
-            for us, seq, body in facts.drop_duplicates("row_us", keep="last")[["row_us", "seq", "body"]].values.tolist():
-                held = self.versions.getValue((us,)) if self.versions.containsKey((us,)) else None
-                if held is None or held[0] <= seq:
-                    self.versions.updateValue((us,), (seq, body))
+            news += batch[batch["side"] == 0][["row_us", "seq", "body"]].values.tolist()
             waiting = batch[batch["side"] == 1][["row_us", "body"]].values.tolist()
             if waiting:
                 self.probes.appendList([(us, body) for us, body in waiting])
                 due.update(max(-(-us // 1000), now_ms + 1) for us, _ in waiting)
-        for at in due:
-            self.handle.registerTimer(at)
+        if news:
+            # Of versions with one time the last by sequence stays.
+            newest = {us: (us, seq, body) for us, seq, body in sorted([*self._versions(), *map(tuple, news)])}
+            self.versions.put(list(newest.values()))
+        if due:  # later probes are seen to when this one is answered
+            self.handle.registerTimer(min(due))
         return iter(())
 
+    def _versions(self) -> list:
+        return list(self.versions.get()) if self.versions.exists() else []
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(self.probes.get()) if self.probes.exists() else []
         due = [p for p in waiting if p[0] <= now_us]
         if not due:  # answered together with an earlier timer
             return
-        known = sorted((k[0], v[1]) for k, v in self.versions.iterator())
+        known = self._versions()
         out, i, found = [], 0, None
         for us, body in due:
             while i < len(known) and known[i][0] <= us:
-                found, i = known[i][1], i + 1
+                found, i = known[i][2], i + 1
             if found is not None or self.how == "left":
                 out.append((body, found))
         rest = waiting[len(due) :]
         if rest:
             self.probes.put(rest)
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
         else:
             self.probes.clear()
         # Only the newest version at or before the watermark can still be asked for.
-        for us, _ in [v for v in known if v[0] <= now_us][:-1]:
-            self.versions.removeKey((us,))
+        past = sum(v[0] <= now_us for v in known)
+        if past > 1:
+            self.versions.put(known[past - 1 :])
         if out:
             yield pd.DataFrame(out, columns=["probe", "version"])
 
