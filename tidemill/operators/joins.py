@@ -170,7 +170,7 @@ def validity_join(
 
 
 def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 4) -> DataFrame:
-    """``text LIKE '%' || name || '%'`` without comparing every text with every name.
+    """``text LIKE '%' || name || '%'`` with the name taken literally, without comparing all pairs.
 
     Each name is found by its first ``gram`` characters (all of it when
     shorter); a text offers each distinct run of up to ``gram`` characters it
