@@ -58,6 +58,13 @@ CASES = [
     (lambda: X.truncate(lit(-42.987), 2), -42.98),
     (lambda: X.truncate(lit(-0.5)), 0.0),
     (lambda: X.mod(lit(-7), lit(3)), -1),
+    (lambda: X.log2(lit(8.0)), 3.0),
+    (lambda: X.log10(lit(0)), float("-inf")),
+    (lambda: F.isnan(X.log2(lit(-1.0))), True),
+    (lambda: X.log2(lit(None).cast("double")), None),
+    (lambda: S.to_base64(F.repeat(lit("abc"), 40)), "YWJj" * 40),
+    (lambda: S.from_base64(lit("YWJj")), "abc"),
+    (lambda: S.from_base64(lit("?")), None),
     (lambda: J.json_value(lit('{"a":{"b":1}}'), "$.a"), None),
     (lambda: J.json_value(lit('{"a":{"b":1}}'), "$.a.b"), "1"),
     (lambda: J.json_value(lit('{"a":null}'), "$.a"), None),

@@ -13,6 +13,19 @@ def truncate(c: Column, places: int = 0) -> Column:
     return cut.cast("double")
 
 
+def _logarithm(fn, c: Column) -> Column:
+    return F.when(c > 0, fn(c)).when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan")))
+
+
+def log2(c: Column) -> Column:
+    """-Infinity for 0 and NaN below it (Spark gives NULL)."""
+    return _logarithm(F.log2, c.cast("double"))
+
+
+def log10(c: Column) -> Column:
+    return _logarithm(F.log10, c.cast("double"))
+
+
 def rand_integer(bound: int, seed: int | None = None) -> Column:
     """Uniform over ``0 .. bound - 1``."""
     r = F.rand(seed) if seed is not None else F.rand()

@@ -54,3 +54,13 @@ def concat(*columns: Column) -> Column:
 
 def btrim(c: Column, chars: str = " ") -> Column:
     return F.btrim(c, F.lit(chars))
+
+
+def to_base64(c: Column) -> Column:
+    """One line of text (Spark breaks lines after 76 characters)."""
+    return F.translate(F.base64(c.cast("binary")), "\r\n", "")
+
+
+def from_base64(c: Column) -> Column:
+    """The decoded bytes as text; NULL for text that is no base64."""
+    return F.try_to_binary(c, F.lit("base64")).cast("string")

@@ -178,18 +178,17 @@ def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram
     decides. Empty names, which every text contains, are not matched.
     """
     anchors = names.where(F.length(name) > 0).withColumn("_gram", F.substring(name, 1, gram))
-    lengths = F.array(*[F.lit(n) for n in range(1, gram + 1)])
-    runs = F.flatten(
-        F.transform(
-            lengths,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-                lambda i: F.substr(F.col(text), i, n),
-            ),
-        )
-    )
+    # The run lengths in use, at most ``gram`` numbers.
+    lengths = anchors.agg(F.collect_set(F.length("_gram"))).scalar()
+    last = F.length(text) - F.col("_n") + 1
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(text), i, F.col("_n")))
     # A list of names under the broadcast threshold is joined without moving the texts.
-    offered = texts.where(F.length(text) > 0).withColumn("_gram", F.explode(F.array_distinct(runs)))
+    offered = (
+        texts.withColumn("_n", F.explode(lengths))
+        .where(F.length(text) >= F.col("_n"))
+        .withColumn("_gram", F.explode(F.array_distinct(runs)))
+        .drop("_n")
+    )
     return offered.join(anchors, "_gram").where(F.contains(F.col(text), F.col(name))).drop("_gram")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.functions.strings import to_base64
+
 # The classification levels, least to most protected, and those a mask must cover.
 LEVELS = ("public", "internal", "confidential", "sensitive", "highly_sensitive")
 MUST_MASK = ("sensitive", "highly_sensitive")
@@ -141,7 +143,7 @@ def tenant_view(df: DataFrame, column: str, tenant) -> DataFrame:
 
 def encrypt(c: Column, key: Column) -> Column:
     """AES-GCM with a fresh nonce per value; base64 text. The key has 16, 24 or 32 bytes."""
-    return F.base64(F.aes_encrypt(c.cast("string"), key, F.lit("GCM")))
+    return to_base64(F.aes_encrypt(c.cast("string"), key, F.lit("GCM")))
 
 
 def decrypt(c: Column, key: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,14 +129,18 @@ def column_checks(tests: Mapping[str, Sequence]) -> list[Check]:
     return out
 
 
-def _broken_list(checks: Sequence[Check]) -> Column:
-    found = [
-        F.when(
-            c.broken, F.struct(F.lit(c.label).alias("violation_type"), c.detail.alias("violation_details"))
-        )
-        for c in checks
-    ]
-    return F.array_compact(F.array(*found))
+def _found(checks: Sequence[Check]) -> Column:
+    """What each check has to say about a row: a struct, or null where it holds."""
+    return F.array(
+        *[
+            F.when(c.broken, F.struct(F.lit(c.label).alias("violation_type"), c.detail.alias("violation_details")))
+            for c in checks
+        ]
+    )
+
+
+def _any_broken(checks: Sequence[Check]) -> Column:
+    return reduce(lambda a, b: a | b, [c.broken for c in checks])
 
 
 def violations(
@@ -145,11 +150,15 @@ def violations(
     detected_at: Column | None = None,
     record: Column | None = None,
 ) -> DataFrame:
-    """One row per broken check and row, from a single scan; works on streams."""
-    return df.select(
-        F.explode(_broken_list(checks)).alias("_v"),
+    """One row per broken check and row, from a single scan; works on streams.
+
+    Good rows are filtered first, in the scan where the checks allow it.
+    """
+    found = df.where(_any_broken(checks)).select(
+        F.explode(_found(checks)).alias("_v"),
         (record if record is not None else F.lit("")).alias("record"),
-    ).select(
+    )
+    return found.where(F.col("_v").isNotNull()).select(
         F.lit(test_name).alias("test_name"),
         "_v.violation_type",
         "_v.violation_details",
@@ -160,7 +169,7 @@ def violations(
 
 def with_violations(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """Adds ``violations``, the labels broken by each row (empty for a good row)."""
-    return df.withColumn("violations", F.transform(_broken_list(checks), lambda v: v["violation_type"]))
+    return df.withColumn("violations", F.array_compact(F.array(*[F.when(c.broken, c.label) for c in checks])))
 
 
 def split_on_checks(

@@ -110,8 +110,8 @@ def url_and_encoding(t: Tables):
         S.parse_url(F.concat(F.lit("no url: "), url), "HOST").alias("bad"),
         F.url_encode(url).alias("encoded"),
         F.try_url_decode(F.url_encode(url)).alias("decoded"),
-        F.base64(url.cast("binary")).alias("b64"),
-        F.unbase64(F.base64(url.cast("binary"))).cast("string").alias("unb64"),
+        S.to_base64(url).alias("b64"),
+        S.from_base64(S.to_base64(url)).alias("unb64"),
         F.md5(url).alias("digest"),
     )
 
@@ -230,8 +230,8 @@ def math_functions(t: Tables):
 
     return t.events.select(
         "event_id",
-        r(F.log2(v)).alias("lg2"),
-        r(F.log10(v)).alias("lg10"),
+        r(X.log2(v)).alias("lg2"),
+        r(X.log10(v)).alias("lg10"),
         r(F.sinh(v / 100)).alias("sh"),
         r(F.cosh(v / 100)).alias("ch"),
         r(F.tanh(v / 100)).alias("th"),

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class _CountWithTtl(StatefulProcessor):
-    def __init__(self, ttl_ms: int, key_names: Sequence[str], value: str):
-        self.ttl_ms, self.key_names, self.value = ttl_ms, list(key_names), value
+    def __init__(self, ttl_ms: int, key_names: Sequence[str]):
+        self.ttl_ms, self.key_names = ttl_ms, list(key_names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("totals", "n bigint, total double", ttlDurationMs=self.ttl_ms)
@@ -21,8 +21,8 @@ class _CountWithTtl(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, total = self.state.get() if self.state.exists() else (0, 0.0)
         for batch in rows:
-            n += len(batch)
-            total += float(batch[self.value].sum())
+            n += int(batch["n"].sum())
+            total += float(batch["total"].sum())
         self.state.update((n, total))
         yield pd.DataFrame({**{k: [v] for k, v in zip(self.key_names, key)}, "n": [n], "total": [total]})
 
@@ -33,18 +33,24 @@ class _CountWithTtl(StatefulProcessor):
 def totals_with_ttl(df: DataFrame, keys: Sequence[str], value: str, ttl_ms: int) -> DataFrame:
     """Running count and sum per key; a key's state goes ``ttl_ms`` after its last write.
 
-    Update mode. Rows of a micro-batch are summed before they reach the state,
-    so that a hot key brings one row per task. Processing-time state keeps a
+    Update mode. Rows are summed per Arrow batch where they are read, so that a
+    hot key sends a row per batch to its state, not a row per event. Processing-time state keeps a
     query busy on empty batches: with ``availableNow`` switch
     ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
     """
     if ttl_ms <= 0:
         raise ValueError("the TTL must be positive")
+    keys = list(keys)
     out = T.StructType([df.schema[k] for k in keys]).add("n", "long").add("total", "double")
-    return (
-        df.select(*keys, F.col(value).cast("double").alias(value))
-        .groupBy(*keys)
-        .transformWithStateInPandas(_CountWithTtl(ttl_ms, keys, value), out, "update", "ProcessingTime")
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            groups = batch.groupby(keys, dropna=False, sort=False)[value]
+            yield groups.agg(n="size", total="sum").reset_index()
+
+    partial = df.select(*keys, F.col(value).cast("double").alias(value)).mapInPandas(combine, out)
+    return partial.groupBy(*keys).transformWithStateInPandas(
+        _CountWithTtl(ttl_ms, keys), out, "update", "ProcessingTime"
     )
 
 
