@@ -141,13 +141,13 @@ class Ordered:
         return df.select(*self.columns, *names)
 
     # -- operators ---------------------------------------------------------
-    def running(self, aggs: Mapping[str, tuple[str, Column]]) -> DataFrame:
-        """Aggregates from the first row of the key up to the current one.
+    def running(self, aggs: Mapping[str, tuple[str, Column]], current: bool = True) -> DataFrame:
+        """Aggregates from the first row of the key up to the current one (or up to the one before).
 
         ``aggs`` is ``{name: (kind, column)}`` with kind ``sum``, ``count``,
         ``min``, ``max``, ``first`` or ``last`` (both skip nulls).
         """
-        upto = self.window().rowsBetween(*_UPTO)
+        upto = self.window().rowsBetween(*(_UPTO if current else _BEFORE))
         down = self.descending
         here, summary, fold = {}, [], {}
         stamp = F.struct(self.order, *self.ties)

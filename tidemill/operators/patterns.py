@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemill.operators.ordered import DEFAULT_SKEW, Ordered, Skew
-from tidemill.session import reliable_checkpoint
+from tidemill.operators.sizes import settle
 
 _ALPHABET = string.digits + string.ascii_letters + "_~"
 _QUANTIFIER = re.compile(r"[*+?]?|\{\d+(,\d*)?\}")
@@ -87,8 +87,7 @@ def match_rows(
     line = df
     if lookback:  # the mask depends on the row before, so it takes a pass of its own
         looked = Ordered(df, keys, order, ties, skew=skew)
-        line = looked.over_rows(lookback, before=1)
-        line = reliable_checkpoint(line) if looked.cut else line
+        line = settle(looked.over_rows(lookback, before=1), skew.min_bytes)
     neighbours = Ordered(line.withColumn("_mask", mask()), keys, order, ties, skew=skew)
     paired = neighbours.over_rows(lags, before=1)
 
@@ -102,9 +101,8 @@ def match_rows(
     if within:
         joined = joined & (F.col(order) <= F.col("_prev_at") + F.expr(f"interval {within}"))
     marked = paired.withColumn("_cut", (~F.coalesce(joined, F.lit(False))).cast("int"))
-    if neighbours.cut:  # read again below, to find where the runs of a heavy key begin
-        marked = reliable_checkpoint(marked)
-    runs = Ordered(marked, keys, order, ties, skew=skew).running({"_run": ("sum", F.col("_cut"))})
+    # Read again below, to find where the runs of a heavy key begin.
+    runs = Ordered(settle(marked, skew.min_bytes), keys, order, ties, skew=skew).running({"_run": ("sum", F.col("_cut"))})
 
     code = F.substr(F.lit(_ALPHABET), F.col("_mask") + 1, F.lit(1))
     seq = F.struct(F.col(order).alias("o"), F.struct(*ties).alias("t")) if ties else F.struct(F.col(order).alias("o"))

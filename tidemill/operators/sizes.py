@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tidemill.session import reliable_checkpoint
+
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate (the figure ``EXPLAIN COST`` prints); runs no job.
@@ -16,3 +18,12 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def at_most(df: DataFrame, limit: int) -> bool:
     return estimated_bytes(df) <= limit
+
+
+def settle(df: DataFrame, above: int = 64 << 20) -> DataFrame:
+    """A large intermediate result written to the shared folder, a small one left as it is.
+
+    For results that the next step reads more than once: they are computed once,
+    and an executor lost later does not bring the work before them back.
+    """
+    return df if at_most(df, above) else reliable_checkpoint(df)

@@ -60,9 +60,7 @@ def lag_and_lead(t: Tables):
 def first_last_nth_value(t: Tables):
     """Default frames: from the first row of the key up to the current one."""
     line = Ordered(t.events.select("event_id", "user_id", "ts", "value"), ["user_id"], "ts", ["event_id"])
-    third = line.ranks(nth={"third_value": ("value", 3)}).select("event_id", "user_id", "ts", "value", "third_value")
-    # Without nulls in the column, the first non-null value is the first value.
-    out = Ordered(third, ["user_id"], "ts", ["event_id"]).running({"first_value": ("first", F.col("value"))})
+    out = line.ranks(nth={"first_value": ("value", 1), "third_value": ("value", 3)})
     return out.select("event_id", "first_value", F.col("value").alias("last_value"), "third_value")
 
 

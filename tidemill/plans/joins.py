@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import joins as J
 from tidemill.operators.cdc import latest_per_key
+from tidemill.operators.sizes import settle
 from tidemill.plans.catalog import query
 from tidemill.tables import Tables
 
@@ -209,7 +210,7 @@ def chained_as_of_joins(t: Tables):
         bought, versions("signup", signup_id="event_id"), {"user_id": "_u"}, "ts", "_ts", ["signup_id"], ["signup_id"]
     )
     both = J.as_of_join(
-        first,
+        settle(first),
         versions("view", view_id="event_id", view_value="value"),
         {"user_id": "_u"},
         "ts",

@@ -40,11 +40,8 @@ def with_current_watermark(
     The progress is that of the rows read before, in offset order; null at the start.
     """
     line = Ordered(df, partition, offset, skew=skew)
-    earlier = line.over_rows({"_before": lambda w: F.lag(ts).over(w)}, before=1)
-    seen = Ordered(earlier, partition, offset, skew=skew).running({"_top": ("max", F.col("_before"))})
-    return seen.withColumn("current_watermark", F.col("_top") - F.expr(f"interval {delay_ms} milliseconds")).drop(
-        "_before", "_top"
-    )
+    seen = line.running({"_top": ("max", F.col(ts))}, current=False)
+    return seen.withColumn("current_watermark", F.col("_top") - F.expr(f"interval {delay_ms} milliseconds")).drop("_top")
 
 
 def split_late(
