@@ -12,6 +12,7 @@ from tidemill.operators import windows as W
 from tidemill.sources import records, sinks
 from tidemill.streaming import event_time as E
 from tidemill.streaming import run, stateful
+from tidemill.streaming.patterns import stream_match_rows
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "id long, k int, ts timestamp_ntz, v double"
@@ -177,3 +178,26 @@ def test_fan_out_reads_the_batch_once(spark, tmp_path):
     write = sinks.fan_out({"big": lambda b: b.where("v > 5"), "all": lambda b: b}, lambda df, n, i: df.write.mode("overwrite").parquet(f"{out}/{n}/{i}"))
     s.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{out}/big/0").count() == 1 and spark.read.parquet(f"{out}/all/0").count() == 2
+
+
+@pytest.mark.parametrize("within", [None, 30_000])
+def test_pattern_over_rows_out_of_order_and_across_batches(spark, tmp_path, within):
+    import re
+
+    rng = random.Random(8)
+    data = [(i, rng.randint(1, 2), at(rng.randint(0, 300)), float(rng.randint(0, 3))) for i in range(90)]
+    end = [(900, 1, at(5000), 3.0), (901, 2, at(5000), 3.0)]
+    s = files(spark, tmp_path / "in", data[:30], data[30:60], data[60:], end, [(990, 1, at(9000), 3.0)])
+    v = F.col("v")
+    with run.settings(spark, **run.state_settings("rocksdb", 2)):
+        m = stream_match_rows(s, "k", "ts", "id", [("A", "+"), ("B", "?"), ("C", "")], {"A": v == 0, "B": v == 1, "C": v == 2}, 1_000_000, within)
+        m = m.select("k", F.transform("match", lambda r: F.concat(r["variable"], r["row"]["id"])).alias("m"))
+        got = run.append_to(m, str(tmp_path / "out"), timeout=300)
+    want = []
+    for k in (1, 2):
+        mine = sorted((ts, i, "ABCx"[int(x)]) for i, kk, ts, x in data if kk == k)
+        for hit in re.finditer("A+B?C", "".join(x for _, _, x in mine)):
+            a, b = hit.span()
+            if within is None or (mine[b - 1][0] - mine[a][0]).total_seconds() * 1000 <= within:
+                want.append((k, [f"{mine[j][2]}{mine[j][1]}" for j in range(a, b)]))
+    assert rows(got, "k", "m") == sorted(want, key=str)

@@ -39,7 +39,7 @@ def _bounds(quantifier: str) -> tuple[int, float]:
     return int(low), float(high) if high else (float("inf") if comma else int(low))
 
 
-def _followers(pattern: Pattern) -> dict[str, set[str]]:
+def followers(pattern: Pattern) -> dict[str, set[str]]:
     """Which variables may stand on the row right after a row of each variable."""
     out: dict[str, set[str]] = {name: set() for name, _ in pattern}
     for i, (name, quantifier) in enumerate(pattern):
@@ -52,6 +52,37 @@ def _followers(pattern: Pattern) -> dict[str, set[str]]:
     return out
 
 
+def variable_bits(pattern: Pattern) -> dict[str, int]:
+    names = list(dict.fromkeys(name for name, _ in pattern))
+    if len(names) > 6:
+        raise ValueError("at most six variables")
+    return {name: 1 << i for i, name in enumerate(names)}
+
+
+def row_mask(pattern: Pattern, define: Mapping[str, Column]) -> Column:
+    """The variables a row satisfies, as bits; one without a definition is always satisfied."""
+    total = F.lit(0)
+    for name, bit in variable_bits(pattern).items():
+        total = total + F.when(define.get(name, F.lit(True)), bit).otherwise(0)
+    return total
+
+
+def row_code(mask: int) -> str:
+    """The character for a mask."""
+    return _ALPHABET[mask]
+
+
+def pattern_regex(pattern: Pattern) -> str:
+    """One group per element; an element's class holds every mask with its variable."""
+    bits = variable_bits(pattern)
+    out = ""
+    for name, quantifier in pattern:
+        _bounds(quantifier)
+        chars = "".join(row_code(m) for m in range(1, 1 << len(bits)) if m & bits[name])
+        out += f"([{chars}]{quantifier})"
+    return out
+
+
 def match_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -71,28 +102,17 @@ def match_rows(
     ``{"prev": lambda w: F.lag("price").over(w)}``). Matches longer in time than
     ``within`` are left out.
     """
-    names = list(dict.fromkeys(name for name, _ in pattern))
-    if len(names) > 6:
-        raise ValueError("at most six variables")
-    source = df.columns
-    bit = {name: 1 << i for i, name in enumerate(names)}
-
-    def mask() -> Column:
-        total = F.lit(0)
-        for name in names:
-            total = total + F.when(define.get(name, F.lit(True)), bit[name]).otherwise(0)
-        return total
-
+    source, bit, regex = df.columns, variable_bits(pattern), pattern_regex(pattern)
     lags = {"_prev_at": lambda w: F.lag(order).over(w), "_prev_mask": lambda w: F.lag("_mask").over(w)}
     line = df
     if lookback:  # the mask depends on the row before, so it takes a pass of its own
         looked = Ordered(df, keys, order, ties, skew=skew)
         line = settle(looked.over_rows(lookback, before=1), skew.min_bytes)
-    neighbours = Ordered(line.withColumn("_mask", mask()), keys, order, ties, skew=skew)
+    neighbours = Ordered(line.withColumn("_mask", row_mask(pattern, define)), keys, order, ties, skew=skew)
     paired = neighbours.over_rows(lags, before=1)
 
     joined = F.lit(False)
-    for name, after in _followers(pattern).items():
+    for name, after in followers(pattern).items():
         if after:
             wanted = sum(bit[a] for a in after)
             joined = joined | (
@@ -111,13 +131,9 @@ def match_rows(
         .groupBy(*keys, "_run")
         .agg(F.array_sort(F.collect_list(F.struct(seq.alias("s"), code.alias("c"), F.struct(*source).alias("row")))).alias("_rows"))
     )
-    element = []
-    for name, quantifier in pattern:
-        chars = "".join(_ALPHABET[m] for m in range(1, 1 << len(names)) if m & bit[name])
-        element.append(f"([{chars}]{quantifier})" if quantifier else f"([{chars}])")
     marks = "<" + ",".join(f"${i + 1}" for i in range(len(pattern))) + ">"
     text = F.array_join(F.transform("_rows", lambda r: r["c"]), "")
-    pieces = F.split(F.regexp_replace(text, F.lit("".join(element)), F.lit(marks)), "<")
+    pieces = F.split(F.regexp_replace(text, F.lit(regex), F.lit(marks)), "<")
     clean = lambda p: F.length(F.regexp_replace(p, "[,>]", ""))
     found = (
         gathered.withColumn("_pieces", pieces)

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import joins as J
 from tidemill.operators import windows as W
+from tidemill.operators import patterns as P
 from tidemill.plans.catalog import query
+from tidemill.plans.patterns import LETTERS
 from tidemill.plans.quality import VIOLATIONS, _messages, violations_of
 from tidemill.plans.sources import scratch
 from tidemill.plans.windows import hourly_metrics
@@ -13,6 +15,7 @@ from tidemill.sources import sinks as S
 from tidemill.streaming import event_time as E
 from tidemill.streaming import run
 from tidemill.streaming import stateful
+from tidemill.streaming.patterns import stream_match_rows
 from tidemill.tables import Tables
 
 
@@ -242,3 +245,33 @@ def stream_as_of_join(t: Tables):
             probes, versions, ("user_id", "u"), "ts", "at", ["signup_id", "signup_value"], "signup_id", 1000
         )
         return run.append_to(joined.drop("ts"), scratch(t, "as-of"), timeout=600)
+
+
+@query(
+    LETTERS.format(
+        letter="CASE event_type WHEN 'view' THEN 'V' WHEN 'click' THEN 'C' WHEN 'purchase' THEN 'P' ELSE '.' END", regex="V+C+P"
+    )
+    + """SELECT user_id, times[start]::TIMESTAMP AS session_start, ids[start + length(hit) - 1] AS purchase_id, length(hit)::INTEGER AS rows FROM m
+         WHERE epoch_ms(times[start + length(hit) - 1]::TIMESTAMP) + 1 <= (SELECT epoch_ms(max(ts)) - 1000 FROM events)"""
+)
+def stream_match_browse_to_purchase(t: Tables):
+    """PATTERN (A+ B+ C) on a stream: a match leaves when the watermark has passed its purchase."""
+    kind = F.col("event_type")
+    events = t.stream("events").select("event_id", "user_id", "ts", "event_type")
+    with run.settings(t.spark, **run.state_settings("rocksdb")):
+        found = stream_match_rows(
+            events,
+            "user_id",
+            "ts",
+            "event_id",
+            [("A", "+"), ("B", "+"), ("C", "")],
+            {"A": kind == "view", "B": kind == "click", "C": kind == "purchase"},
+            1000,
+        )
+        measures = found.select(
+            "user_id",
+            P.first_of("A", "ts").alias("session_start"),
+            P.first_of("C", "event_id").alias("purchase_id"),
+            P.count_of(None).alias("rows"),
+        )
+        return run.append_to(measures, scratch(t, "match"), timeout=600)

@@ -158,7 +158,7 @@ class _AsOf(StatefulProcessor):
         pass
 
 
-_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def stream_as_of_join(
@@ -187,7 +187,7 @@ def stream_as_of_join(
             F.unix_micros(at).alias("row_us"),
             F.lit(n).alias("side"),
             seq.cast("long").alias("seq"),
-            F.to_json(F.struct(*body), _JSON).alias("body"),
+            F.to_json(F.struct(*body), JSON_TIMES).alias("body"),
         )
 
     line = side(probes, 1, key[0], probe_ts, F.lit(0), probes.columns).unionByName(
@@ -200,6 +200,6 @@ def stream_as_of_join(
     )
     wanted = T.StructType([versions.schema[c] for c in columns])
     parsed = answered.select(
-        F.from_json("probe", probes.schema, _JSON).alias("p"), F.from_json("version", wanted, _JSON).alias("v")
+        F.from_json("probe", probes.schema, JSON_TIMES).alias("p"), F.from_json("version", wanted, JSON_TIMES).alias("v")
     )
     return parsed.select("p.*", "v.*")
