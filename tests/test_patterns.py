@@ -1,12 +1,12 @@
 """Row patterns against a plain reading of the rule, one key at a time."""
 
 import random
-import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.plain import plain_matches
 from tidemill.operators import patterns as P
 from tidemill.operators.ordered import Skew
 
@@ -86,16 +86,18 @@ def test_measures(spark):
 
 
 @pytest.mark.parametrize("skew", [Skew(), CUT], ids=["whole", "cut"])
-def test_random_rows_with_a_hot_key(spark, skew):
+@pytest.mark.parametrize("within", [None, 3])
+def test_random_rows_with_a_hot_key(spark, skew, within):
     rng = random.Random(9)
     rows = [(i, 1 if rng.random() < 0.6 else rng.randint(2, 4), T0 + timedelta(seconds=rng.randint(0, 200)), rng.choice("AABCx"), 0.0) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, k int, ts timestamp_ntz, x string, v double")
     want = []
     for k in (1, 2, 3, 4):
         mine = sorted((ts, i, x) for i, kk, ts, x, _ in rows if kk == k)
-        for m in re.finditer("A+B{1,2}C?", "".join(x for _, _, x in mine)):
-            want.append((k, tuple(f"{mine[j][2]}{mine[j][1]}" for j in range(*m.span()))))
-    got = found(df, [("A", "+"), ("B", "{1,2}"), ("C", "?")], letters_of("A", "B", "C"), skew=skew)
+        hits = plain_matches(mine, "A+B{1,2}C?", within and within * 1000)
+        want += [(k, tuple(f"{x}{i}" for _, i, x in hit)) for hit in hits]
+    span = {"within": f"{within} seconds"} if within else {}
+    got = found(df, [("A", "+"), ("B", "{1,2}"), ("C", "?")], letters_of("A", "B", "C"), skew=skew, **span)
     assert got == sorted(want)
 
 

@@ -17,6 +17,7 @@ import re
 import string
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -83,6 +84,23 @@ def pattern_regex(pattern: Pattern) -> str:
     return out
 
 
+def find_matches(regex: str, text: str, times, within_us: int | None) -> list[list[int]]:
+    """Matches as ``[start, rows of element 1, rows of element 2, …]``, none sharing a row.
+
+    A start whose match would last longer than ``within_us`` is passed over for
+    the row after it.
+    """
+    out, at, rule = [], 0, re.compile(regex)
+    while (m := rule.search(text, at)) is not None:
+        start, end = m.span()
+        if start == end or (within_us is not None and times[end - 1] - times[start] > within_us):
+            at = start + 1
+        else:
+            out.append([start, *[m.end(g) - m.start(g) for g in range(1, rule.groups + 1)]])
+            at = end
+    return out
+
+
 def match_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -99,8 +117,9 @@ def match_rows(
     ``define`` gives a condition per variable (a variable without one matches
     any row). Conditions may use the columns named in ``lookback``, which are
     computed over the row before (for ``price > LAST(price)`` give
-    ``{"prev": lambda w: F.lag("price").over(w)}``). Matches longer in time than
-    ``within`` are left out.
+    ``{"prev": lambda w: F.lag("price").over(w)}``). With ``within``, rows
+    further apart than that never belong together, and a start whose match would
+    last longer is passed over for the row after it.
     """
     source, bit, regex = df.columns, variable_bits(pattern), pattern_regex(pattern)
     lags = {"_prev_at": lambda w: F.lag(order).over(w), "_prev_mask": lambda w: F.lag("_mask").over(w)}
@@ -131,20 +150,9 @@ def match_rows(
         .groupBy(*keys, "_run")
         .agg(F.array_sort(F.collect_list(F.struct(seq.alias("s"), code.alias("c"), F.struct(*source).alias("row")))).alias("_rows"))
     )
-    marks = "<" + ",".join(f"${i + 1}" for i in range(len(pattern))) + ">"
     text = F.array_join(F.transform("_rows", lambda r: r["c"]), "")
-    pieces = F.split(F.regexp_replace(text, F.lit(regex), F.lit(marks)), "<")
-    clean = lambda p: F.length(F.regexp_replace(p, "[,>]", ""))
-    found = (
-        gathered.withColumn("_pieces", pieces)
-        .withColumn("_lengths", F.transform("_pieces", clean))
-        .select(*keys, "_rows", "_pieces", "_lengths", F.posexplode("_pieces").alias("_i", "_piece"))
-        .where(F.col("_i") > 0)
-        .withColumn("_from", F.aggregate(F.slice("_lengths", 1, F.col("_i")), F.lit(0), lambda a, x: a + x))
-        .withColumn("_spans", F.transform(F.split(F.substring_index("_piece", ">", 1), ","), F.length))
-        .withColumn("_n", F.aggregate("_spans", F.lit(0), lambda a, x: a + x))
-        .where(F.col("_n") > 0)
-    )
+    hits = _hits_within(gathered, text, regex, order, within) if within else _hits(gathered, text, regex, len(pattern))
+    found = hits.withColumn("_n", F.aggregate("_spans", F.lit(0), lambda a, x: a + x)).where(F.col("_n") > 0)
     labels = F.flatten(
         F.array(*[F.array_repeat(F.lit(name), F.get("_spans", F.lit(i))) for i, (name, _) in enumerate(pattern)])
     )
@@ -152,12 +160,37 @@ def match_rows(
         "match",
         F.zip_with("_labels", F.slice("_rows", F.col("_from") + 1, F.col("_n")), lambda v, r: F.struct(v.alias("variable"), r["row"].alias("row"))),
     )
-    if within:
-        last, start = F.element_at("match", -1)["row"][order], F.get("match", F.lit(0))["row"][order]
-        out = out.where(last <= start + F.expr(f"interval {within}"))
     return out.select(*keys, "match")
 
 
+def _hits(gathered: DataFrame, text: Column, regex: str, elements: int) -> DataFrame:
+    """One row per match with ``_from`` and ``_spans``, by a regular expression that marks the matches in the text."""
+    marks = "<" + ",".join(f"${i + 1}" for i in range(elements)) + ">"
+    pieces = F.split(F.regexp_replace(text, F.lit(regex), F.lit(marks)), "<")
+    clean = lambda p: F.length(F.regexp_replace(p, "[,>]", ""))
+    return (
+        gathered.withColumn("_pieces", pieces)
+        .withColumn("_lengths", F.transform("_pieces", clean))
+        .select("*", F.posexplode("_pieces").alias("_i", "_piece"))
+        .where(F.col("_i") > 0)
+        .withColumn("_from", F.aggregate(F.slice("_lengths", 1, F.col("_i")), F.lit(0), lambda a, x: a + x))
+        .withColumn("_spans", F.transform(F.split(F.substring_index("_piece", ">", 1), ","), F.length))
+    )
+
+
+def _hits_within(gathered: DataFrame, text: Column, regex: str, order: str, within: str) -> DataFrame:
+    """The same where matches are bounded in time, which a regular expression cannot see."""
+    times = F.transform("_rows", lambda r: F.unix_micros(r["row"][order].cast("timestamp")))
+    limit = F.expr(f"timestampdiff(microsecond, timestamp'1970-01-01', timestamp'1970-01-01' + interval {within})")
+
+    @F.pandas_udf("array<array<int>>")
+    def find(texts: pd.Series, stamps: pd.Series, limits: pd.Series) -> pd.Series:
+        return pd.Series([find_matches(regex, x, t, n) for x, t, n in zip(texts, stamps, limits)])
+
+    hits = gathered.withColumn("_hit", F.explode(find(text, times, limit)))
+    return hits.withColumn("_from", F.get("_hit", F.lit(0))).withColumn("_spans", F.slice("_hit", 2, F.size("_hit") - 1))
+
+
 def _of(variable: str | None) -> Column:
     m = F.col("match")
     return F.filter(m, lambda x: x["variable"] == variable) if variable else m

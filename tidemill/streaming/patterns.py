@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemill.operators.patterns import Pattern, followers, pattern_regex, row_code, row_mask, variable_bits
+from tidemill.operators.patterns import Pattern, find_matches, followers, pattern_regex, row_code, row_mask, variable_bits
 from tidemill.streaming.stateful import JSON_TIMES
 
 _ROW = "us bigint, tie bigint, mask int, body string"
@@ -80,15 +79,10 @@ class _Match(StatefulProcessor):
 
     def _matches(self, run) -> list[str]:
         out = []
-        for m in re.finditer(self.regex, "".join(row_code(r[2]) for r in run)):
-            start, end = m.span()
-            if start == end or (self.within_us is not None and run[end - 1][0] - run[start][0] > self.within_us):
-                continue
-            parts = [
-                f'{{"variable":"{name}","row":{run[i][3]}}}'
-                for g, name in enumerate(self.names, 1)
-                for i in range(*m.span(g))
-            ]
+        text, times = "".join(row_code(r[2]) for r in run), [r[0] for r in run]
+        for start, *spans in find_matches(self.regex, text, times, self.within_us):
+            labels = [name for name, n in zip(self.names, spans) for _ in range(n)]
+            parts = [f'{{"variable":"{name}","row":{run[start + i][3]}}}' for i, name in enumerate(labels)]
             out.append("[" + ",".join(parts) + "]")
         return out
 
