@@ -197,3 +197,18 @@ def test_pattern_over_rows_out_of_order_and_across_batches(spark, tmp_path, with
         mine = sorted((ts, i, "ABCx"[int(x)]) for i, kk, ts, x in data if kk == k)
         want += [(k, [f"{x}{i}" for _, i, x in hit]) for hit in plain_matches(mine, "A+B?C", within)]
     assert rows(got, "k", "m") == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("offset", [1, 2])
+def test_lag_over_rows_out_of_order_and_across_batches(spark, tmp_path, offset):
+    rng = random.Random(3)
+    data = [(i, rng.randint(1, 2), at(rng.randint(0, 60)), float(i)) for i in range(40)]
+    s = files(spark, tmp_path / "in", data[:20], data[20:], [(900, 1, at(500), 0.0), (901, 2, at(500), 0.0)], [(902, 1, at(2000), 0.0)])
+    with run.settings(spark, **run.state_settings("rocksdb", 2)):
+        lagged = stateful.stream_lag(s, "k", "ts", "id", 100_000, offset).select("id", F.col("previous.id").alias("before"))
+        got = run.append_to(lagged, str(tmp_path / "out"), timeout=300).where("id < 900")
+    want = []
+    for k in (1, 2):
+        mine = [i for _, i in sorted((ts, i) for i, kk, ts, _ in data if kk == k)]
+        want += list(zip(mine, [None] * offset + mine))
+    assert rows(got, "id", "before") == sorted(want, key=str)

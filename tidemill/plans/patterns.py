@@ -29,7 +29,7 @@ LETTERS = """
         letter="CASE event_type WHEN 'view' THEN 'V' WHEN 'click' THEN 'C' WHEN 'purchase' THEN 'P' ELSE '.' END", regex="V+C+P"
     )
     + """SELECT user_id, times[start]::TIMESTAMP AS session_start, times[start + length(hit) - 1]::TIMESTAMP AS purchase_time, vals[start + length(hit) - 1] AS purchase_amount,
-                length(hit) - length(replace(hit, 'V', '')) AS views, length(hit) - length(replace(hit, 'C', '')) AS clicks FROM m"""
+                (length(hit) - length(replace(hit, 'V', '')))::INTEGER AS views, (length(hit) - length(replace(hit, 'C', '')))::INTEGER AS clicks FROM m"""
 )
 def match_browse_to_purchase(t: Tables):
     """Views, then clicks, then a purchase: PATTERN (A+ B+ C), one row per match."""

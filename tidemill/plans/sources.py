@@ -162,7 +162,7 @@ def output_partitions_by_key(t: Tables):
     )
 
 
-@query("SELECT count(*) AS n, true AS amounts_ok, true AS quantities_ok, 3 AS kinds FROM events")
+@query("SELECT count(*) AS n, true AS amounts_ok, true AS quantities_ok, 3::BIGINT AS kinds FROM events")
 def generated_columns(t: Tables):
     """RAND, RAND_INTEGER, UUID and an array pick beside every row."""
     g = R.generate_rows(t.events.select("event_id"), ["a", "b", "c"], 5)

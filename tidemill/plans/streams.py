@@ -275,3 +275,18 @@ def stream_match_browse_to_purchase(t: Tables):
             P.count_of(None).alias("rows"),
         )
         return run.append_to(measures, scratch(t, "match"), timeout=600)
+
+
+@query(
+    """
+    SELECT event_id, before, value - before AS change FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+    WHERE epoch_ms(ts) + (ts > date_trunc('millisecond', ts))::INTEGER <= (SELECT epoch_ms(max(ts)) - 1000 FROM events)"""
+)
+def stream_lag(t: Tables):
+    """LAG on a stream: every event with the user's value before it."""
+    events = t.stream("events").select("event_id", "user_id", "ts", "value")
+    with run.settings(t.spark, **run.state_settings("rocksdb")):
+        lagged = stateful.stream_lag(events, "user_id", "ts", "event_id", 1000)
+        before = F.col("previous.value")
+        out = lagged.select("event_id", before.alias("before"), (F.col("value") - before).alias("change"))
+        return run.append_to(out, scratch(t, "lag"), timeout=600)

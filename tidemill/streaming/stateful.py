@@ -54,6 +54,9 @@ def totals_with_ttl(df: DataFrame, keys: Sequence[str], value: str, ttl_ms: int)
     )
 
 
+# Rows carried through state as text keep their microseconds.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 # Input columns of the processors below have no leading underscore: rows reach
 # Python as named tuples, which cannot carry such names.
 
@@ -158,9 +161,6 @@ class _AsOf(StatefulProcessor):
         pass
 
 
-JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-
-
 def stream_as_of_join(
     probes: DataFrame,
     versions: DataFrame,
@@ -203,3 +203,67 @@ def stream_as_of_join(
         F.from_json("probe", probes.schema, JSON_TIMES).alias("p"), F.from_json("version", wanted, JSON_TIMES).alias("v")
     )
     return parsed.select("p.*", "v.*")
+
+
+class _Previous(StatefulProcessor):
+    """Emits rows in time order once the watermark has passed them, each with the row ``offset`` before."""
+
+    def __init__(self, offset: int):
+        self.offset = offset
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, tie bigint, body string")
+        self.last = handle.getListState("last", "body string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(r) for batch in rows for r in batch[["row_us", "tie", "body"]].values.tolist()]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(max(-(-min(new)[0] // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now_us = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        bodies = [body for us, _, body in rows if us <= now_us]
+        if not bodies:  # seen to by an earlier timer
+            return
+        rest = rows[len(bodies) :]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        else:
+            self.waiting.clear()
+        seen = [r[0] for r in self.last.get()] if self.last.exists() else []
+        line = [None] * (self.offset - len(seen)) + seen + bodies
+        self.last.put([(b,) for b in line[-self.offset :] if b is not None])
+        yield pd.DataFrame({"body": bodies, "previous": line[: len(bodies)]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_lag(df: DataFrame, key: str, order: str, tie: str, delay_ms: int, offset: int = 1) -> DataFrame:
+    """LAG over a stream: the columns of ``df`` and ``previous``, the row ``offset`` before it in its key.
+
+    Rows may come out of order within ``delay_ms``; each leaves when the
+    watermark has passed it. State per key: rows ahead of the watermark and the
+    last ``offset`` rows.
+    """
+    at = F.col(order).cast("timestamp")
+    rows = df.select(
+        F.col(key).alias("key"),
+        at.alias("at"),
+        F.unix_micros(at).alias("row_us"),
+        F.col(tie).cast("long").alias("tie"),
+        F.to_json(F.struct(*df.columns), JSON_TIMES).alias("body"),
+    )
+    lagged = (
+        rows.withWatermark("at", f"{delay_ms} milliseconds")
+        .groupBy("key")
+        .transformWithStateInPandas(_Previous(offset), "body string, previous string", "append", "EventTime")
+    )
+    parsed = lagged.select(
+        F.from_json("body", df.schema, JSON_TIMES).alias("r"), F.from_json("previous", df.schema, JSON_TIMES).alias("previous")
+    )
+    return parsed.select("r.*", "previous")
