@@ -249,3 +249,21 @@ def test_view_filter_reaches_the_scan(spark):
     plan = spark.sql("select o_orderkey from v_orders where o_orderstatus = 'O'")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,100000.0), EqualTo(o" in plan
     assert "o_custkey" not in plan
+
+
+def test_rate_stream_has_typed_columns(spark):
+    s = records.rate_stream(spark, 5, ["a", "b"])
+    assert s.isStreaming and {"amount", "quantity", "id", "kind"} <= set(s.columns)
+
+
+def test_sample_is_ordered_and_skips_empty_payloads(spark):
+    df = spark.createDataFrame([(3, "c"), (1, None), (2, "b"), (4, "d")], "offset int, value string")
+    assert [r.value for r in records.sample_records(df, ["offset"], 2, "value").collect()] == ["b", "c"]
+
+
+def test_retries(spark):
+    fresh = spark.createDataFrame([(1,)], "id int")
+    retry = spark.createDataFrame([(2, None), (3, 2), (4, 3)], "id int, retry_count int")
+    work, spent = R.merge_retries(fresh, retry, 3)
+    assert sorted(map(tuple, work.collect())) == [(1, 0), (2, 1), (3, 3)]
+    assert [r.id for r in spent.collect()] == [4]

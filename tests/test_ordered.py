@@ -102,3 +102,19 @@ def test_heavy_keys_and_slices_are_bounded(rows):
     assert slices <= 2 * 4 / 0.05 + heavy  # the last value of a key may open one more
     # No slice of the hot key holds the key.
     assert line.df.groupBy("k", "_slice").count().where("k = 1").agg(F.max("count")).first()[0] < 200
+
+
+def test_nth_value_far_into_a_hot_key(spark):
+    df = spark.range(4000).select("id", F.lit(1).alias("k"), (F.col("id") % 100).cast("double").alias("o"))
+    got = Ordered(df, ["k"], "o", ["id"], skew=Skew(0.01, 100, 4, 0)).ranks(nth={"x": ("id", 1500)})
+    w = Window.partitionBy("k").orderBy("o", "id")
+    assert same(got.select("id", "x"), df.select("id", F.nth_value("id", 1500).over(w).alias("x")))
+
+
+def test_settle_writes_only_what_is_large(spark, rows):
+    from tidemill.operators.sizes import settle
+
+    assert settle(rows, above=1 << 40) is rows
+    written = settle(rows.select("id"), above=0)
+    assert "ExistingRDD" in written._jdf.queryExecution().executedPlan().toString()
+    assert written.count() == rows.count()

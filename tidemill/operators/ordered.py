@@ -233,7 +233,7 @@ class Ordered:
         )
         names = ["row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile"]
         if nth:
-            # The n-th row of a heavy key is found once (pruned per task to n rows).
+            # The n-th row of a heavy key is found once, for all its slices.
             first_n = Window.partitionBy(*self.keys).orderBy(*self._ordering())
             upto = w.rowsBetween(*_UPTO)
             for name, (column, n) in nth.items():
@@ -243,14 +243,12 @@ class Ordered:
                 if not self.cut:
                     out = out.withColumn(name, F.col("_here.v")).drop("_here")
                     continue
-                found = (
-                    self._heavy_rows()
-                    .withColumn("_at", F.row_number().over(first_n))
-                    .where(F.col("_at") <= n)
-                    .where(F.col("_at") == n)
-                    .select(
-                        *[F.col(k).alias(f"_k_{k}") for k in self.keys], F.struct(F.col(column).alias("v")).alias("_nth")
-                    )
+                if n <= 1000:  # pruned to n rows per key in every task, before any shuffle
+                    at = self._heavy_rows().withColumn("row_number", F.row_number().over(first_n)).where(F.col("row_number") <= n)
+                else:
+                    at = out.where(F.col("_total").isNotNull())
+                found = at.where(F.col("row_number") == n).select(
+                    *[F.col(k).alias(f"_k_{k}") for k in self.keys], F.struct(F.col(column).alias("v")).alias("_nth")
                 )
                 heavy_nth = F.broadcast(found)  # one row per heavy key
                 out = out.join(heavy_nth, self._same_key(out, heavy_nth), "left").drop(*[f"_k_{k}" for k in self.keys])

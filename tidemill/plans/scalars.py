@@ -219,7 +219,7 @@ def time_fields(t: Tables):
     SELECT event_id, round(log2(value), 9) AS lg2, round(log10(value), 9) AS lg10, round(sinh(value / 100), 9) AS sh, round(cosh(value / 100), 9) AS ch, round(tanh(value / 100), 9) AS th,
            round(cot(value), 6) AS ct, round(degrees(value), 6) AS deg, round(radians(value), 9) AS rad, round(value, 1) AS r1, user_id % 7 AS m, -user_id % 7 AS neg_m,
            abs(value - 50) AS a, round(sqrt(value), 9) AS sq, round(pow(value, 2), 4) AS p2,
-           trunc(value::DECIMAL(18, 6) * 10) / 10 AS t1, -trunc(value::DECIMAL(18, 6))::DOUBLE AS t0, round(sqrt(pow(value - 1, 2) + pow(user_id, 2)) * 111 / greatest(value, 1) * 60, 6) AS eta
+           trunc(value::DECIMAL(18, 6) * 10) / 10 AS t1, (-trunc(value::DECIMAL(18, 6)))::DOUBLE AS t0, round(sqrt(pow(value - 1, 2) + pow(user_id, 2)) * 111 / greatest(value, 1) * 60, 6) AS eta
     FROM events"""
 )
 def math_functions(t: Tables):

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import joins as J
 from tidemill.operators import windows as W
 from tidemill.operators import patterns as P
 from tidemill.plans.catalog import query
