@@ -107,7 +107,7 @@ def as_of_join(
     names = list(keys)
     tie = [f"_t{i}" for i in range(len(sequence))]
     kinds = [versions.schema[c].dataType for c in sequence]
-    payload = T.StructType([T.StructField("gone", T.BooleanType())] + [versions.schema[c] for c in columns])
+    payload = T.StructType([T.StructField("_gone", T.BooleanType())] + [versions.schema[c] for c in columns])
     gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
     probes = left.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)],
@@ -123,7 +123,7 @@ def as_of_join(
         F.lit(0).alias("_side"),
         *[F.col(c).alias(t) for c, t in zip(sequence, tie)],
         F.lit(None).cast(probes.schema["_row"].dataType).alias("_row"),
-        F.struct(gone.alias("gone"), *columns).cast(payload).alias("_v"),
+        F.struct(gone.alias("_gone"), *columns).cast(payload).alias("_v"),
     )
     line = Ordered(
         probes.unionByName(facts), [f"_k{i}" for i in range(len(names))], "_at", ["_side", *tie], skew=skew
@@ -133,7 +133,7 @@ def as_of_join(
     usable = F.col("_at").isNotNull()
     for i in range(len(names)):
         usable = usable & F.col(f"_k{i}").isNotNull()
-    alive = usable & F.col("_seen").isNotNull() & ~F.col("_seen.gone")
+    alive = usable & F.col("_seen").isNotNull() & ~F.col("_seen._gone")
     if how == "inner":
         known = known.where(alive)
     return known.select("_row.*", *[F.when(alive, F.col(f"_seen.{c}")).alias(c) for c in columns])

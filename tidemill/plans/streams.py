@@ -25,6 +25,21 @@ def _ntz(df, *columns):
     return df
 
 
+def _sized(t: Tables):
+    """State partitions for a stream over ``events``."""
+    return run.settings(t.spark, **run.state_settings("hashmap", run.state_partitions(t.events)))
+
+
+def _append(t: Tables, df, name: str):
+    with _sized(t):
+        return run.append_to(df, scratch(t, name), timeout=1800)
+
+
+def _update(t: Tables, df, name: str, keys: list[str]):
+    with _sized(t):
+        return run.update_to(df, scratch(t, name), keys, timeout=1800)
+
+
 CLOSED = "window_end <= (SELECT max(ts) FROM events) - INTERVAL {delay} MILLISECOND"
 
 
@@ -38,7 +53,7 @@ CLOSED = "window_end <= (SELECT max(ts) FROM events) - INTERVAL {delay} MILLISEC
 def stream_tumble_on_close(t: Tables):
     """Append mode with a watermark of 5 s: each window once, when the watermark passes its end."""
     events = E.bounded_out_of_orderness(t.stream("events"), "ts")
-    out = run.append_to(hourly_metrics(events), scratch(t, "tumble"))
+    out = _append(t, hourly_metrics(events), "tumble")
     return _ntz(out, "window_start", "window_end")
 
 
@@ -53,7 +68,7 @@ def stream_hop_monotonic(t: Tables):
     """Hopping windows under a monotonously increasing watermark."""
     events = E.monotonously_increasing(t.stream("events"), "ts")
     hops = W.hop_agg(events, "ts", "2 days", "1 day", [], F.count("*").alias("n"))
-    return _ntz(run.append_to(hops, scratch(t, "hop")), "window_start", "window_end")
+    return _ntz(_append(t, hops, "hop"), "window_start", "window_end")
 
 
 @query(
@@ -65,7 +80,7 @@ def stream_tumble_with_lateness(t: Tables):
     """Update mode with allowed lateness: windows are reported early and again on change."""
     events = E.bounded_out_of_orderness(t.stream("events"), "ts", 5000, lateness_ms=3_600_000)
     out = W.tumble_agg(events, "ts", "1 day", ["user_id"], F.count("*").alias("n"))
-    return _ntz(run.update_to(out, scratch(t, "late"), ["window_start", "user_id"]), "window_start", "window_end")
+    return _ntz(_update(t, out, "late", ["window_start", "user_id"]), "window_start", "window_end")
 
 
 SESSIONS = f"""
@@ -80,7 +95,7 @@ SESSIONS = f"""
 def stream_sessions(t: Tables):
     events = E.bounded_out_of_orderness(t.stream("events"), "ts")
     out = W.session_agg(events, "ts", "2 hours", ["user_id"], F.count("*").alias("n"))
-    return _ntz(run.append_to(out, scratch(t, "session")), "window_start", "window_end")
+    return _ntz(_append(t, out, "session"), "window_start", "window_end")
 
 
 @query(
@@ -97,14 +112,14 @@ def stream_cascade(t: Tables):
         F.sum("n").alias("n"), F.max("n").alias("busiest")
     )
     out = days.select(F.col("d.start").alias("window_start"), F.col("d.end").alias("window_end"), "event_type", "n", "busiest")
-    return _ntz(run.append_to(out, scratch(t, "cascade")), "window_start", "window_end")
+    return _ntz(_append(t, out, "cascade"), "window_start", "window_end")
 
 
 @query("SELECT user_id, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY ALL")
 def stream_unbounded_groups(t: Tables):
     """GROUP BY without a window, continuously updated."""
     out = t.stream("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"))
-    return run.update_to(out, scratch(t, "groups"), ["user_id", "event_type"])
+    return _update(t, out, "groups", ["user_id", "event_type"])
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -112,7 +127,7 @@ def stream_deduplicate(t: Tables):
     """Every event sent twice, kept once."""
     events = t.stream("events").select("event_id", "user_id", "ts")
     once = E.deduplicate(events.union(events), ["event_id"], "ts", 3_600_000)
-    return run.append_to(once.select("event_id", "user_id"), scratch(t, "dedup"))
+    return _append(t, once.select("event_id", "user_id"), "dedup")
 
 
 @query(
@@ -130,7 +145,7 @@ def stream_interval_join(t: Tables):
     p, v = side("purchase", "p"), side("view", "v")
     near = F.expr("v_ts BETWEEN p_ts - interval 3 hours AND p_ts + interval 90 minutes")
     joined = p.join(v, (F.col("p_user_id") == F.col("v_user_id")) & near)
-    return run.append_to(joined.select("p_event_id", "v_event_id"), scratch(t, "interval"))
+    return _append(t, joined.select("p_event_id", "v_event_id"), "interval")
 
 
 @query(
@@ -140,7 +155,7 @@ def stream_interval_join(t: Tables):
 def stream_lookup_join(t: Tables):
     """A stream against a table that is read again for every micro-batch."""
     joined = t.stream("events").join(t.customer, F.col("user_id") == F.col("c_custkey"), "left")
-    return run.append_to(joined.select("event_id", "c_mktsegment"), scratch(t, "lookup"))
+    return _append(t, joined.select("event_id", "c_mktsegment"), "lookup")
 
 
 @query(VIOLATIONS)
@@ -151,7 +166,7 @@ def stream_violations(t: Tables):
     class Streamed:
         events = t.stream("events")
 
-    return run.append_to(violations_of(_messages(Streamed), at), scratch(t, "violations"))
+    return _append(t, violations_of(_messages(Streamed), at), "violations")
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE value > 10")
@@ -188,7 +203,7 @@ def stream_state_with_ttl(t: Tables):
     conf = run.state_settings("rocksdb") | {"spark__sql__streaming__noDataMicroBatches__enabled": "false"}
     with run.settings(t.spark, **conf):
         totals = stateful.totals_with_ttl(t.stream("events"), ["user_id"], "value", 86_400_000)
-        out = run.update_to(totals, scratch(t, "ttl"), ["user_id"], timeout=600)
+        out = _update(t, totals, "ttl", ["user_id"])
     return out.withColumn("total", F.round("total", 2))
 
 
@@ -222,7 +237,7 @@ def stream_late_rows(t: Tables):
     """The same on a stream, with the progress of each source partition in state."""
     with run.settings(t.spark, **run.state_settings("rocksdb")):
         marked = stateful.mark_late_rows(_shuffled(t.stream("events")), "part", "ts", "off", 20 * 86_400_000)
-        return run.append_to(marked.select("event_id", "late"), scratch(t, "late"), timeout=600)
+        return _append(t, marked.select("event_id", "late"), "late")
 
 
 @query(
@@ -243,7 +258,7 @@ def stream_as_of_join(t: Tables):
         joined = stateful.stream_as_of_join(
             probes, versions, ("user_id", "u"), "ts", "at", ["signup_id", "signup_value"], "signup_id", 1000
         )
-        return run.append_to(joined.drop("ts"), scratch(t, "as-of"), timeout=600)
+        return _append(t, joined.drop("ts"), "as-of")
 
 
 @query(
@@ -273,7 +288,7 @@ def stream_match_browse_to_purchase(t: Tables):
             P.first_of("C", "event_id").alias("purchase_id"),
             P.count_of(None).alias("rows"),
         )
-        return run.append_to(measures, scratch(t, "match"), timeout=600)
+        return _append(t, measures, "match")
 
 
 @query(
@@ -288,4 +303,4 @@ def stream_lag(t: Tables):
         lagged = stateful.stream_lag(events, "user_id", "ts", "event_id", 1000)
         before = F.col("previous.value")
         out = lagged.select("event_id", before.alias("before"), (F.col("value") - before).alias("change"))
-        return run.append_to(out, scratch(t, "lag"), timeout=600)
+        return _append(t, out, "lag")
