@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import licenses, mixing, sharding, urls
+from tidemill.llm import decontaminate, licenses, mixing, quality, sharding, urls, wavelet
 from tidemill.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,30 @@ def op1_license_scan(t: Tables) -> DataFrame:
     return licenses.scan(t.documents)
 
 
+@_query()
+def op2_quality(t: Tables) -> DataFrame:
+    """Quality score and verdict of every document."""
+    return quality.score_documents(t.documents, t.labels)
+
+
+@_query()
+def op3_decontaminate(t: Tables) -> DataFrame:
+    """Every document and benchmark item of which it holds a copy."""
+    return decontaminate.contaminated(t.documents, t.benchmark)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query()
+def op4_token_files(t: Tables) -> DataFrame:
+    """Every document's place in the token files, and a checksum of its ids read back from them."""
+    return wavelet.read_documents(wavelet.write_shards(t.documents, tokenizer_path()))
+
+
 def _mix_sql() -> str:
     seats = """
 {name}_b AS (SELECT *, CAST(CASE WHEN v > 0 THEN greatest(0, floor(q * (s - n / 2.0) + 0.5) - 1) ELSE 0 END AS BIGINT) AS sure,
