@@ -29,7 +29,7 @@ from tidemill.llm.common import settled
 
 WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 MAX_REPEAT = 3
-SHARD_ROWS = 100_000
+SHARD_ROWS = 4096
 BLOCKS = 1 << 20  # at least so many blocks, and at least BLOCKS_PER_SHARD a shard
 BLOCKS_PER_SHARD = 256
 SEED = 7
