@@ -32,18 +32,18 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import settled
 
 FEATURES = (
-    "words", "word_length", "upper", "digits", "symbols", "marks", "lines", "foreign",
+    "words", "word_length", "upper", "digits", "symbols", "marks", "lines",
     "variety", "top_word", "doubled_words", "repeated_lines", "packed",
 )
 THRESHOLD = 0.3
 FOLDS = 5
-POOLED, DIAGONAL = 0.1, 0.02  # shares of the pooled covariance and of its diagonal in each class covariance
+POOLED, DIAGONAL = 0.3, 0.05  # shares of the pooled covariance and of its diagonal in each class covariance
 TEMPER = 4.0  # correlated statistics make the plain posterior too sure; log odds are divided by this
 FLOOR = 1e-3  # added to shares before the logarithm
 
 _CLASS = np.zeros(256, np.intp)
 for _k, _bytes in enumerate(
-    (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#$%&*+/<=>@\\^_`{|}~!", b".,;:?'\"()-[]", b"\n", bytes(range(128, 256))), 1
+    (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#$%&*+/<=>@\\^_`{|}~!", b".,;:?'\"()-[]", b"\n"), 1
 ):
     _CLASS[list(_bytes)] = _k
 
@@ -54,8 +54,8 @@ def statistics(text: str | None) -> list[float]:
     words = data.split()
     lines = data.split(b"\n")
     n, size = len(words), max(len(data), 1)
-    kinds = np.bincount(_CLASS, np.bincount(np.frombuffer(data, np.uint8), minlength=256), 8)
-    _, upper, lower, digits, symbols, marks, breaks, foreign = kinds
+    kinds = np.bincount(_CLASS, np.bincount(np.frombuffer(data, np.uint8), minlength=256), 7)
+    _, upper, lower, digits, symbols, marks, breaks = kinds
     counts = Counter(words)
     doubled = sum(map(bytes.__eq__, words[1:], words))
     share = lambda part, whole: float(np.log(FLOOR + part / max(whole, 1)))
@@ -67,7 +67,6 @@ def statistics(text: str | None) -> list[float]:
         share(symbols, size),
         share(marks, size),
         share(breaks, size),
-        share(foreign, size),
         float(np.log1p(len(counts)) / np.log1p(max(n, 1))),
         share(max(counts.values(), default=0), n + 10),
         share(doubled, n),
