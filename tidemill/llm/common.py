@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +49,35 @@ def kept_keys(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi")
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would change other letters as well)."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def sorted_runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Rows sorted by ``keys`` (numbers) as frames of whole runs, with the runs' bounds.
+
+    A run that goes on in the next batch is held back, so a run is never cut.
+    """
+    held: list[pd.DataFrame] = []
+
+    def runs(frame: pd.DataFrame, starts: np.ndarray) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+        return frame, list(zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], strict=True))
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch[k].to_numpy() for k in keys]
+        change = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        starts = np.concatenate(([0], np.flatnonzero(change) + 1))
+        goes_on = bool(held) and all(held[-1][k].iat[-1] == c[0] for k, c in zip(keys, columns, strict=True))
+        if held and not goes_on:
+            frame = pd.concat(held, ignore_index=True)
+            held = []
+            yield runs(frame, np.array([0]))
+        last = int(starts[-1])
+        if last:
+            frame = pd.concat([*held, batch.iloc[:last]], ignore_index=True) if held else batch.iloc[:last].reset_index(drop=True)
+            before = len(frame) - last
+            held = []
+            yield runs(frame, np.concatenate(([0], starts[1:-1] + before)))
+        held.append(batch.iloc[last:])
+    if held:
+        yield runs(pd.concat(held, ignore_index=True), np.array([0]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontaminate, licenses, mixing, quality, sharding, urls, wavelet
+from tidemill.llm import decontaminate, embeddings, jaccard, licenses, mixing, quality, sharding, urls, wavelet
 from tidemill.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,12 @@ def op4_token_files(t: Tables) -> DataFrame:
     return wavelet.read_documents(wavelet.write_shards(t.documents, tokenizer_path()))
 
 
+@_query()
+def op5_embedding_duplicates(t: Tables) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    return embeddings.near_duplicates(t.embeddings)
+
+
 def _mix_sql() -> str:
     seats = """
 {name}_b AS (SELECT *, CAST(CASE WHEN v > 0 THEN greatest(0, floor(q * (s - n / 2.0) + 0.5) - 1) ELSE 0 END AS BIGINT) AS sure,
@@ -131,6 +137,12 @@ def op8_virtual_slots(t: Tables) -> DataFrame:
     return sharding.shard(t.documents, 8)[0]
 
 
+@_query()
+def op9_jaccard_groups(t: Tables) -> DataFrame:
+    """Group of every document under shingle similarity."""
+    return jaccard.similar_groups(t.documents)
+
+
 def _urls_sql() -> str:
     rules = sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     fits = lambda r: f"((host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}'))"

@@ -22,11 +22,13 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,9 +40,9 @@ from tokenizers import Tokenizer
 
 from tidemill.llm.common import partitions, settled
 
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 20
 END = 0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000  # pieces remembered; a full store is begun anew
 _MAGIC, _VERSION = b"TMWM", 1
 _HEAD = struct.Struct("<4sHHQQ")
 
@@ -190,12 +192,13 @@ def read_file(data: bytes) -> tuple[WaveletMatrix, np.ndarray, list[int | None]]
 
 # -- tokens -----------------------------------------------------------------
 class Encoder:
-    """Texts to the tokenizer's ids, as little-endian bytes of ``width`` bytes an id.
+    """Texts to the tokenizer's ids, as little-endian bytes of ``dtype``.
 
     A byte-level vocabulary with its own splitting pattern never joins what a
-    single space between two other characters parts; such texts are encoded
-    space by space, each distinct piece once. All other texts (neighbouring
-    white space, strings of special tokens) are encoded whole.
+    single space between two other characters parts. Texts without neighbouring
+    white space and strings of special tokens are therefore put together from
+    their pieces between spaces, each encoded once and remembered; new pieces
+    are encoded many at a time. All other texts are encoded whole.
     """
 
     _SPACES = re.compile(r"\s\s")
@@ -206,33 +209,62 @@ class Encoder:
         self.bits = max(1, (size - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self._special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
-        self._by_piece = byte_level and '"add_prefix_space":false' in self.tokenizer.to_str().replace(" ", "").split('"decoder"')[0]
+        setup = json.loads(self.tokenizer.to_str())
+        split = setup["pre_tokenizer"] or {}
+        self._by_piece = setup["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        # Ids whose token begins with a space: in a run of pieces these begin the pieces.
+        self._opens = np.zeros(size, bool)
+        self._opens[[i for token, i in self.tokenizer.get_vocab(True).items() if token.startswith("\u0120")]] = True
         self._cache: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self._cache) + len(pieces) > CACHE_ENTRIES or not self._cache:
+            self._cache = {"": self._whole([" "])[0]}
+        width = self.dtype.itemsize
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            runs = [" " + " ".join(some[k : k + 64]) for k in range(0, len(some), 64)]
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+            data = ids.tobytes()
+            cuts = [*(np.flatnonzero(self._opens[ids]) * width).tolist(), len(data)]
+            self._cache.update(zip(some, (data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        pieces, whole = {}, []
+        out: list[bytes] = [b""] * len(texts)
+        parts, known, firsts, whole, new = {}, {}, [], [], set()
+        if not self._cache:
+            self._learn([])
         for i, text in enumerate(texts):
             if self._by_piece and not self._SPACES.search(text) and not any(s in text for s in self._special):
                 first, *rest = text.split(" ")
-                pieces[i] = [first, *[" " + x for x in rest]]
+                found = list(map(self._cache.get, rest))
+                if None in found:
+                    new.update(w for w, ids in zip(rest, found, strict=True) if ids is None)
+                firsts.append(first)
+                parts[i], known[i] = rest, found
             else:
                 whole.append(i)
-        if len(self._cache) > CACHE_ENTRIES:
-            self._cache.clear()
-        new = list(set().union(*pieces.values()).difference(self._cache))
-        self._cache.update(zip(new, self._ids(new), strict=True))
-        for i, parts in pieces.items():
-            out[i] = b"".join(map(self._cache.__getitem__, parts))
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+        if new:
+            self._learn(list(new))
+        for (i, rest), first in zip(parts.items(), self._whole(firsts), strict=True):
+            found = known[i]
+            if None in found:
+                found = [self._cache[w] if ids is None else ids for w, ids in zip(rest, found, strict=True)]
+            out[i] = first + b"".join(found)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per Python worker; what it remembers serves the worker's later tasks."""
+    return Encoder(path)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS, end: int = END) -> DataFrame:
     """Encode all documents and write the shard files; one row per file, read back from the shared folder.
 
@@ -242,22 +274,22 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, shard, start = TaskContext.get().partitionId(), 0, 0
-        encoder = Encoder(tokenizer)
-        last = np.array([end], encoder.dtype).tobytes()
+        own = encoder(tokenizer)
+        last, width = np.array([end], own.dtype).tobytes(), own.dtype.itemsize
         held, ids, n = [], [], 0
 
         def file() -> pd.DataFrame:
-            lengths = np.array([len(h) // encoder.dtype.itemsize for h in held], np.int64)
-            data = write_file(np.frombuffer(b"".join(held), encoder.dtype), lengths, ids, encoder.bits)
+            lengths = np.array([len(h) // width for h in held], np.int64)
+            data = write_file(np.frombuffer(b"".join(held), own.dtype), lengths, ids, own.bits)
             return pd.DataFrame({"part": [part], "shard": [shard], "start_in_part": [start], "n_tokens": [n], "n_docs": [len(ids)], "file": [data]})
 
         for batch in batches:
             for at in range(0, len(batch), 500):
                 some = batch.iloc[at : at + 500]
-                for doc, tokens in zip(some["doc_id"], encoder.encode(some["text"].tolist()), strict=True):
+                for doc, tokens in zip(some["doc_id"], own.encode(some["text"].tolist()), strict=True):
                     held.append(tokens + last)
                     ids.append(None if doc is None else int(doc))
-                    n += len(held[-1]) // encoder.dtype.itemsize
+                    n += len(held[-1]) // width
                     if n >= shard_tokens:
                         yield file()
                         shard, start, held, ids, n = shard + 1, start + n, [], [], 0
