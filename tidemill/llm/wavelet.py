@@ -212,31 +212,62 @@ class Encoder:
         setup = json.loads(self.tokenizer.to_str())
         split = setup["pre_tokenizer"] or {}
         self._by_piece = setup["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
-        # Ids whose token begins with a space: in a run of pieces these begin the pieces.
-        self._opens = np.zeros(size, bool)
-        self._opens[[i for token, i in self.tokenizer.get_vocab(True).items() if token.startswith("\u0120")]] = True
+        # Ids whose token begins with a space, or a line break: in a run of pieces these begin the pieces.
+        vocabulary = self.tokenizer.get_vocab(True)
+        self._opens = {}
+        for sep, mapped in ((" ", "\u0120"), ("\n", "\u010a")):
+            self._opens[sep] = np.zeros(size, bool)
+            self._opens[sep][[i for token, i in vocabulary.items() if token.startswith(mapped)]] = True
+        self._marks = {"": b"", ".": self._whole(["."])[0], ",": self._whole([","])[0]}
         self._cache: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self._cache) + len(pieces) > CACHE_ENTRIES or not self._cache:
-            self._cache = {"": self._whole([" "])[0]}
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember pieces. Each is a space and what follows it, kept without the space, or a line break and the like.
+
+        A line break, and a full stop or comma behind a letter or digit, stand
+        apart in the vocabulary's pattern, so what is around them is shared.
+        """
+        if len(self._cache) + 2 * len(pieces) > CACHE_ENTRIES or not self._cache:
+            self._cache = {"": self._whole([" "])[0], "\n": self._whole(["\n"])[0]}
+        cache, joined, bare = self._cache, [], {" ": set(), "\n": set()}
+        for piece in pieces:
+            lines = piece.split("\n")
+            parts = [(" ", lines[0]), *(("\n", x) for x in lines[1:])] if lines[0] else [("\n", x) for x in lines[1:]]
+            if not lines[0]:
+                parts.insert(0, (" ", ""))
+            keys = []
+            for sep, body in parts:
+                mark = ""
+                if body[-1:] in (".", ",") and body[-2:-1].isalnum():
+                    body, mark = body[:-1], body[-1]
+                key = body if sep == " " else "\n" + body
+                keys.append((key, mark))
+                if body and key not in cache:
+                    bare[sep].add(body)
+            if len(keys) > 1 or keys[0][1]:
+                joined.append((piece, keys))
         width = self.dtype.itemsize
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            runs = [" " + " ".join(some[k : k + 64]) for k in range(0, len(some), 64)]
-            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
-            data = ids.tobytes()
-            cuts = [*(np.flatnonzero(self._opens[ids]) * width).tolist(), len(data)]
-            self._cache.update(zip(some, (data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)), strict=True))
+        for sep, bodies in bare.items():
+            some = list(bodies)
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                runs = [sep + sep.join(part[k : k + 64]) for k in range(0, len(part), 64)]
+                ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+                data = ids.tobytes()
+                cuts = [*(np.flatnonzero(self._opens[sep][ids]) * width).tolist(), len(data)]
+                names = part if sep == " " else ["\n" + body for body in part]
+                cache.update(zip(names, (data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)), strict=True))
+        for piece, keys in joined:
+            cache[piece] = b"".join([cache[key] + self._marks[mark] for key, mark in keys])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         parts, known, firsts, whole, new = {}, {}, [], [], set()
         if not self._cache:
-            self._learn([])
+            self._learn(set())
         for i, text in enumerate(texts):
             if self._by_piece and not self._SPACES.search(text) and not any(s in text for s in self._special):
                 first, *rest = text.split(" ")
@@ -248,7 +279,7 @@ class Encoder:
             else:
                 whole.append(i)
         if new:
-            self._learn(list(new))
+            self._learn(new)
         for (i, rest), first in zip(parts.items(), self._whole(firsts), strict=True):
             found = known[i]
             if None in found:
