@@ -15,8 +15,8 @@ candidates meet on prefix shingles and pass
 Candidates are verified on the whole sets, each pair once. As only connected
 groups are asked for, verification goes in rounds, and a pair whose documents
 are already connected is not looked at again: first each class with the most
-frequent head of its runs, then neighbours in a run, then all pairs that are
-left. No link between different texts is lost, and a group of many near copies
+frequent head of its runs, then with its most frequent neighbour, then all pairs
+that are left and share enough of their prefixes. No link between different texts is lost, and a group of many near copies
 costs about its size instead of its square.
 
 Cases: null, empty and wordless texts have the empty set and link with nothing;
@@ -28,11 +28,10 @@ empty table gives an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,39 +42,77 @@ WORDS = 5
 PERCENT = 75  # linked when 100 * intersection >= PERCENT * union
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
-CACHE_ENTRIES = 1 << 20
-SLICE = 2048  # rows of a run that are paired at a time
+BLOCK_BYTES = 1 << 18  # text that is hashed at a time
 _PIVOT = np.uint64(1 << 63)
 _PARTS = 2047
 
 
 # -- shingles ---------------------------------------------------------------
-class _Words(dict):
-    """Word to 64-bit hash, remembered."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_BASE = 0xD1342543DE82EF95
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-_words = _Words()
 
+_UP, _DOWN = _powers(_BASE, 2 * BLOCK_BYTES), _powers(pow(_BASE, -1, 1 << 64), 2 * BLOCK_BYTES)
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a whole text."""
-    words = (text or "").encode().lower().split()  # on bytes: A-Z, and ASCII white space
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    width = min(n, WORDS)
-    code = np.full(n - width + 1, width, np.uint64)
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and a hash of each: a polynomial in its bytes, from running sums."""
+    space = np.concatenate(([True], _SPACE[data], [True]))
+    start, end = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
+    n = len(data)
+    up, down = (_UP, _DOWN) if n <= len(_UP) else (_powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:n], dtype=np.uint64)))
+    return start, _mixed((sums[end] - sums[start]) * down[start])
+
+
+def _joined(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` words in a row."""
+    code = np.full(max(len(words) - width + 1, 0), width, np.uint64)
     for k in range(width):
-        code = (code ^ ids[k : n - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        code ^= code >> np.uint64(29)
-    return np.unique(code)
+        code = _mixed(code ^ words[k : len(words) - width + 1 + k])
+    return code
+
+
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each whole text, hashing many texts at once."""
+    held: list[bytes] = []
+    size = 0
+
+    def sets() -> Iterator[np.ndarray]:
+        data = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+        start, words = _word_hashes(data)
+        ends = np.cumsum([len(h) + 1 for h in held])
+        cuts = [0, *np.searchsorted(start, ends).tolist()]
+        every = _joined(words, WORDS)
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if z - a >= WORDS:
+                yield np.unique(every[a : z - WORDS + 1])
+            else:
+                yield _joined(words[a:z], z - a) if z > a else np.zeros(0, np.uint64)
+
+    for text in texts:
+        own = (text or "").encode()
+        if held and size + len(own) > BLOCK_BYTES:
+            yield from sets()
+            held, size = [], 0
+        held.append(own)
+        size += len(own) + 1
+    if held:
+        yield from sets()
 
 
 def summaries(docs: DataFrame) -> DataFrame:
@@ -84,7 +121,7 @@ def summaries(docs: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
+            sets = list(shingle_sets(batch["text"]))
             if sets:
                 every = np.concatenate(sets)
                 sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
@@ -133,16 +170,17 @@ def _unpack(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return info >> 37, (info >> 11) & ((1 << 26) - 1), info & _PARTS
 
 
-def passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether pairs of packed numbers pass the length, positional and suffix filters."""
+def passes(a: np.ndarray, b: np.ndarray, position: bool = True) -> np.ndarray:
+    """Whether pairs of packed numbers pass the length, suffix and (unless left out) positional filters."""
     (n, at, low), (m, bt, mow) = _unpack(a), _unpack(b)
     need = -(-PERCENT * (n + m) // (100 + PERCENT))
-    length = PERCENT * np.maximum(n, m) <= 100 * np.minimum(n, m)
-    position = 1 + np.minimum(n - at - 1, m - bt - 1) >= need
+    out = PERCENT * np.maximum(n, m) <= 100 * np.minimum(n, m)
+    if position:
+        out &= 1 + np.minimum(n - at - 1, m - bt - 1) >= need
     # Sizes below the pivot are known to within one part in _PARTS.
     under = np.minimum((low + 1) * n // _PARTS + 1, (mow + 1) * m // _PARTS + 1)
     over = np.minimum(n - low * n // _PARTS, m - mow * m // _PARTS)
-    return length & position & (under + over >= need)
+    return out & (under + over >= need)
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -154,8 +192,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 h, doc, info = [], [], []
-                for d, text in zip(batch["doc_id"].iloc[at : at + 500], batch["text"].iloc[at : at + 500], strict=True):
-                    own = shingles(text)
+                for d, own in zip(batch["doc_id"].iloc[at : at + 500], shingle_sets(batch["text"].iloc[at : at + 500]), strict=True):
                     n = len(own)
                     if n:
                         p = n - -(-PERCENT * n // 100) + 1
@@ -214,26 +251,40 @@ def _linked(rows, heads, before, start, keep) -> pd.DataFrame:
 
 
 def open_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs of a run that pass the filters and are not in one group yet."""
+    """All pairs that are not in one group yet and can reach the threshold.
+
+    Pairs are counted over the runs they share. Of two sets, the one whose prefix
+    ends first in the global order has no common shingle in its prefix but those
+    counted, so the overlap is at most the count and the rest of that set.
+    """
     of = groups.select(F.col("node").alias("doc"), "component")
     rows = shared.select("h", "doc", "info").join(of, "doc", "left").withColumn("g", F.coalesce("component", "doc"))
     mixed = rows.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where(F.col("a") != F.col("b")).select("h")
     rows = rows.join(mixed, "h", "left_semi").select("h", "doc", "info", "g")
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, bounds in sorted_runs(batches, ["h"]):
-            doc, info, g = (frame[c].to_numpy() for c in ("doc", "info", "g"))
-            for a, z in bounds:
-                for i in range(a, z, SLICE):
-                    for j in range(i, z, SLICE):
-                        x, y = slice(i, min(i + SLICE, z)), slice(j, min(j + SLICE, z))
-                        found = (g[x][:, None] != g[y][None, :]) & passes(info[x][:, None], info[y][None, :])
-                        p, q = np.nonzero(np.triu(found) if i == j else found)
-                        if len(p):
-                            yield pd.DataFrame({"a": np.minimum(doc[x][p], doc[y][q]), "b": np.maximum(doc[x][p], doc[y][q])})
+        for frame, _ in sorted_runs(batches, ["h"]):
+            h, doc, info, g = (frame[c].to_numpy() for c in ("h", "doc", "info", "g"))
+            size = info >> 37
+            left, step = np.arange(len(h) - 1), 1
+            while len(left):  # pairs of rows that stand ``step`` apart; in a run sizes grow
+                right = left + step
+                near = (h[left] == h[right]) & (PERCENT * size[right] <= 100 * size[left])
+                left, right = left[near], right[near]
+                found = (g[left] != g[right]) & passes(info[left], info[right], position=False)
+                p, q = left[found], right[found]
+                if len(p):
+                    swap = doc[p] > doc[q]
+                    a, b = np.where(swap, q, p), np.where(swap, p, q)
+                    yield pd.DataFrame({"a": doc[a], "b": doc[b], "n": size[a], "m": size[b]})
+                step += 1
+                left = left[left + step < len(h)]
 
     dealt = rows.repartition(partitions(shared.sparkSession), "h").sortWithinPartitions("h", "info", "doc")
-    return dealt.mapInPandas(pair, "a long, b long").distinct()
+    counted = dealt.mapInPandas(pair, "a long, b long, n long, m long").groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
+    need = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
+    rest = F.ceil(PERCENT * F.greatest("n", "m") / 100) - 1
+    return counted.where(F.col("k") + rest >= need).select("a", "b").distinct()
 
 
 # -- verification -------------------------------------------------------------
@@ -242,7 +293,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc_id"], "members": [shingles(t).view(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"doc": batch["doc_id"], "members": [s.view(np.int64) for s in shingle_sets(batch["text"])]})
 
     return kept_keys(docs, wanted, "doc_id").select("doc_id", "text").mapInPandas(emit, "doc long, members array<long>")
 
@@ -285,7 +336,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     best = by_head.groupBy("doc").agg(F.max_by("head", F.struct("k", "head")).alias("head"))
     links = settled(verified(docs, settled(_ordered(best, "doc", "head").distinct())))
     groups = settled(components(links))
-    near = _ordered(shared.select("doc", "prev"), "doc", "prev").unionAll(_ordered(by_head, "doc", "head")).distinct()
+    by_prev = shared.where(F.col("prev").isNotNull()).groupBy("doc", "prev").agg(F.count("*").alias("k"))
+    near = by_prev.groupBy("doc").agg(F.max_by("prev", F.struct("k", "prev")).alias("prev"))
+    near = _ordered(near, "doc", "prev").distinct()
     for candidates in (lambda: _apart(near, groups), lambda: open_pairs(shared, groups)):
         pairs = settled(candidates())
         if not pairs.isEmpty():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontaminate, embeddings, jaccard, licenses, mixing, quality, sharding, urls, wavelet
+from tidemill.llm import decontaminate, embeddings, jaccard, licenses, mixing, quality, sharding, suffixes, urls, wavelet
 from tidemill.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +131,12 @@ def op6_mix_sources(t: Tables) -> DataFrame:
     return mixing.mix(t.documents)
 
 
+@_query()
+def op7_repeated_strings(t: Tables) -> DataFrame:
+    """Every document without the strings that start in an earlier one."""
+    return suffixes.without_repeats(t.documents).drop("kept")
+
+
 @_query()
 def op8_virtual_slots(t: Tables) -> DataFrame:
     """Every document's place in one of eight shards."""
