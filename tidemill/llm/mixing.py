@@ -109,28 +109,20 @@ def sainte_lague(df: DataFrame, group: Sequence[str], votes: str, n_seats: str,
 
 
 def quotas(sized: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Documents with their shard, and one row per (source, shard) with its seats and its run of blocks.
+    """One row per source with its target and shards, and one per (source, shard) with its seats and run of blocks.
 
-    ``sized`` has ``doc_id, source, size``. It is read three times.
+    ``sized`` has ``doc_id, source, size`` and is read twice.
     """
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), weights)
-    shards = F.ceil(F.col("_rows") / SHARD_ROWS)
     everything = Window.partitionBy()
-    block = F.greatest(F.lit(1), F.floor(F.col("total") / F.greatest(F.lit(BLOCKS), F.sum("_shards").over(everything) * BLOCKS_PER_SHARD)))
+    block = F.floor(F.col("total") / F.greatest(F.lit(BLOCKS), F.sum("_shards").over(everything) * BLOCKS_PER_SHARD))
     by_source = (
-        by_source.withColumn("_shards", shards)
-        .withColumn("_block", block.cast("long"))
+        by_source.withColumn("_shards", F.ceil(F.col("_rows") / SHARD_ROWS))
+        .withColumn("_block", F.greatest(F.lit(1), block).cast("long"))
         .withColumn("_blocks", F.round(F.col("total") / F.col("_block")).cast("long"))
     )
-    by_source = settled(sainte_lague(by_source, [], "target", "_blocks", "rank", "source_blocks"))  # one row per source
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    place = by_source.select(F.col("source").alias("_s"), "rank", "source_size", "target", "_shards", "_block", "source_blocks")
-    placed = (
-        sized.join(place, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_key", key)
-        .withColumn("shard", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % F.col("_shards"))
-    )
-    cells = placed.groupBy("rank", "shard", "_block", "source_blocks").agg(F.sum("size").alias("shard_size"))
+    by_source = settled(sainte_lague(by_source, [], "target", "_blocks", "rank", "source_blocks"))
+    cells = placed(sized, by_source, seed).groupBy("rank", "shard", "_block", "source_blocks").agg(F.sum("size").alias("shard_size"))
     cells = sainte_lague(cells, ["rank"], "shard_size", "source_blocks", "shard", "seats")
     c, m = F.col("shard_size"), F.col("blocks")
     edge = lambda block: F.floor(block * c / m)
@@ -138,36 +130,67 @@ def quotas(sized: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED)
         cells.withColumn("blocks", F.greatest(F.lit(1), F.round(c / F.col("_block"))).cast("long"))
         .withColumn("seats", F.least("seats", MAX_REPEAT * m))
         .withColumn("rounds", F.floor(F.col("seats") / m))
-        .withColumn("extra", F.col("seats") % m)
         .withColumn("_first", _draw(F.lit(str(seed)), F.col("rank").cast("string"), F.col("shard").cast("string")) % m)
-        .withColumn("_last", F.col("_first") + F.col("extra"))
+        .withColumn("_last", F.col("_first") + F.col("seats") % m)
         .withColumn("_from", edge(F.col("_first")))
         .withColumn("_to", edge(F.least("_last", m)))
         .withColumn("_wrap", edge(F.greatest(F.col("_last") - m, F.lit(0))))
     )
-    return placed, cells
+    return by_source, settled(cells.select("rank", "shard", "seats", "rounds", "_from", "_to", "_wrap"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and the quotas behind them, for every document."""
-    sized = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    placed, cells = quotas(sized, weights, seed)
-    cells = settled(cells.select("rank", "shard", "shard_size", "blocks", "seats", "rounds", "_from", "_to", "_wrap"))
+def placed(rows: DataFrame, by_source: DataFrame, seed: int) -> DataFrame:
+    """Adds a row's source figures, its shard and its key in the seeded order."""
+    place = by_source.select(F.col("source").alias("_s"), "rank", "source_size", "target", "_shards", "_block", "source_blocks")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    return (
+        rows.join(place, F.col("source").eqNullSafe(F.col("_s")))
+        .withColumn("_key", key)
+        .withColumn("shard", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % F.col("_shards"))
+    )
+
+
+def taken(rows: DataFrame, by_source: DataFrame, cells: DataFrame, seed: int) -> DataFrame:
+    """Adds ``taken`` to ``rows`` (``doc_id, source, size`` and anything else)."""
     line = Window.partitionBy("rank", "shard").orderBy("_key", "doc_id", "size")
     end = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     covered = lambda a, b: F.greatest(F.lit(0), F.least(F.col("_end"), b) - F.greatest(F.col("_end") - F.col("size"), a))
-    taken = F.col("rounds") * F.col("size") + covered(F.col("_from"), F.col("_to")) + covered(F.lit(0), F.col("_wrap"))
-    return (
-        placed.withColumn("_end", end)
-        .join(cells, ["rank", "shard"])
-        .select(
-            "doc_id",
-            "size",
-            "source_size",
-            "target",
-            taken.cast("long").alias("taken"),
-            F.col("rank").cast("int").alias("source_rank"),
-            F.col("shard").cast("long").alias("shard"),
-            F.col("seats").alias("shard_quota"),
-        )
+    words = F.col("rounds") * F.col("size") + covered(F.col("_from"), F.col("_to")) + covered(F.lit(0), F.col("_wrap"))
+    out = placed(rows, by_source, seed).withColumn("_end", end).join(cells, ["rank", "shard"])
+    return out.withColumn("taken", words.cast("long"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` and the quota behind them, for every document."""
+    sized = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    return taken(sized, *quotas(sized, weights, seed), seed).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.col("rank").cast("int").alias("source_rank"),
+        F.col("shard").cast("long").alias("shard"),
+        F.col("seats").alias("shard_quota"),
     )
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """Documents as often as the mix takes them, with all their columns.
+
+    What it takes beyond whole rounds is a copy cut to as many words, joined by
+    single spaces; its ``n_chars`` follows.
+    """
+    size = word_count(F.col("text"))
+    sized = settled(docs.select("doc_id", "source", size.alias("size")))
+    rows = docs.select("doc_id", "source", size.alias("size"), F.struct(*docs.columns).alias("_row"))
+    whole, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    counted = taken(rows, *quotas(sized, weights, seed), seed).where(F.col("taken") > 0)
+    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + (part > 0).cast("long"))))
+    cut = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, part.cast("int")), " ")
+    text = F.when(F.col("_copy") > whole, cut).otherwise(F.col("_row.text"))
+    out = copies.select("_row", text.alias("_text"))
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.char_length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])

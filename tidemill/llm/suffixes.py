@@ -35,10 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import partitions, settled
+from tidemill.llm.common import partitions
 
 LENGTH = 50
 GRAM = 26
@@ -185,37 +186,51 @@ def removed_windows(stretch: np.ndarray, before: np.ndarray, count: np.ndarray,
 
 
 # -- packing --------------------------------------------------------------------
-def _pack(columns: dict[str, np.ndarray]) -> bytes:
-    import zstandard
+def _planes(column: np.ndarray) -> bytes:
+    """Numbers byte by byte of their width, all lowest bytes first: high bytes are mostly zeros and pack away."""
+    column = np.ascontiguousarray(column)
+    return np.ascontiguousarray(column.view("u1").reshape(len(column), -1).T).tobytes()
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns.values()))
 
+def _pack(columns: dict[str, np.ndarray], kinds: list[tuple[str, str, int]]) -> bytes:
+    parts = []
+    for name, kind, width in kinds:
+        column = columns[name].astype(kind, copy=False)
+        if name in _RISING:
+            column = np.diff(column, prepend=column.dtype.type(0))
+        parts.append(column.tobytes() if width > 1 else _planes(column))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
-def _unpack(data: bytes, n: int, kinds: list[tuple[str, str, int]]) -> dict[str, np.ndarray]:
-    import zstandard
 
+def _unpack(data: bytes, n: int, kinds: list[tuple[str, str, int]]) -> dict[str, np.ndarray]:
     raw, out, at = zstandard.ZstdDecompressor().decompress(data), {}, 0
     for name, kind, width in kinds:
         size = np.dtype(kind).itemsize * width * n
-        column = np.frombuffer(raw, kind, n * width, at)
-        out[name] = column.reshape(n, width) if width > 1 else column
+        if width > 1:
+            column = np.frombuffer(raw, kind, n * width, at).reshape(n, width)
+        else:
+            planes = np.frombuffer(raw, "u1", size, at).reshape(-1, n)
+            column = np.ascontiguousarray(planes.T).view(kind).ravel()
+        out[name] = np.cumsum(column, dtype=column.dtype) if name in _RISING else column
         at += size
     return out
 
 
-_PRINTS = [("print", "<u4", 1), ("high", "<u1", 1), ("doc", "<u4", 1), ("at", "<u4", 1)]
+_RISING = ("row", "at", "text")  # kept as steps; packed in their order
+_PRINTS = [("print", "<u4", 1), ("high", "u1", 1), ("text", "<u4", 1), ("at", "<u4", 1)]
 _STRETCHES = [("stretch", "u1", STRETCH), ("before", "u1", 1), ("count", "u1", 1), ("doc", "<i8", 1), ("row", "<u4", 1), ("window", "<u4", 1)]
 _RUNS = [("row", "<u4", 1), ("window", "<u4", 1), ("flags", "<u4", 1)]
-_FOUND = [("row", "<u4", 1), ("at", "<u4", 1)]
+_FOUND = [("at", "<u4", 1)]
 
 
-def _by_bucket(bucket: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def _by_bucket(bucket: np.ndarray, columns: dict[str, np.ndarray], buckets: int, kinds: list[tuple[str, str, int]]) -> Iterator[tuple[int, int, bytes]]:
+    """Bucket, number of rows and packed rows, in the order the rows came in."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
         own = order[cuts[b] : cuts[b + 1]]
         if len(own):
-            yield b, len(own), _pack({k: c[own] for k, c in columns.items()})
+            yield b, len(own), _pack({k: c[own] for k, c in columns.items()}, kinds)
 
 
 class _Chunk:
@@ -256,9 +271,14 @@ def _fingerprints(chunks: DataFrame, buckets: int) -> DataFrame:
         if found is not None:
             row, _, gram, _, _ = found
             number = np.arange(len(row), dtype=np.uint32)
-            columns = {"print": (gram & np.uint64(0xFFFFFFFF)).astype("<u4"), "high": ((gram >> np.uint64(32)) & np.uint64(0xFF)).astype("u1"), "doc": row.astype("<u4"), "at": number}
+            columns = {
+                "print": (gram & np.uint64(0xFFFFFFFF)).astype("<u4"),
+                "high": ((gram >> np.uint64(32)) & np.uint64(0xFF)).astype("u1"),
+                "text": row.astype("<u4"),
+                "at": number,
+            }
             bucket = ((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            rows = list(_by_bucket(bucket, columns, buckets))
+            rows = list(_by_bucket(bucket, columns, buckets, _PRINTS))
         return pd.DataFrame({"bucket": [r[0] for r in rows], "chunk": frame["chunk"].iat[0], "n": [r[1] for r in rows], "data": [r[2] for r in rows]})
 
     return chunks.groupBy("chunk").applyInPandas(emit, "bucket int, chunk int, n long, data binary")
@@ -271,14 +291,14 @@ def _repeated(prints: DataFrame) -> DataFrame:
         parts = [_unpack(d, n, _PRINTS) for d, n in zip(frame["data"], frame["n"], strict=True)]
         chunk = np.repeat(frame["chunk"].to_numpy(), frame["n"].to_numpy())
         code = np.concatenate([p["print"].astype(np.uint64) | (p["high"].astype(np.uint64) << np.uint64(32)) for p in parts])
-        doc = np.concatenate([p["doc"] for p in parts]).astype(np.uint64) | (chunk.astype(np.uint64) << np.uint64(32))
+        doc = np.concatenate([p["text"] for p in parts]).astype(np.uint64) | (chunk.astype(np.uint64) << np.uint64(32))
         at = np.concatenate([p["at"] for p in parts])
         order = np.argsort(code, kind="stable")
         code, doc = code[order], doc[order]
         start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-        keep = order[np.repeat(several, np.diff(np.concatenate((start, [len(code)]))))]
-        rows = list(_by_bucket(chunk[keep], {"at": at[keep]}, int(chunk.max()) + 1)) if len(keep) else []
+        keep = np.sort(order[np.repeat(several, np.diff(np.concatenate((start, [len(code)]))))])
+        rows = list(_by_bucket(chunk[keep], {"at": at[keep]}, int(chunk.max()) + 1, _FOUND)) if len(keep) else []
         return pd.DataFrame({"chunk": [r[0] for r in rows], "n": [r[1] for r in rows], "data": [r[2] for r in rows]})
 
     return prints.groupBy("bucket").applyInPandas(find, "chunk int, n long, data binary")
@@ -291,7 +311,7 @@ def _stretches(chunks: DataFrame, repeated: DataFrame, splitters: np.ndarray) ->
         rows = []
         if len(frame) and len(marks):
             chunk = _Chunk(frame)
-            keep = np.sort(np.concatenate([_unpack(d, n, [("at", "<u4", 1)])["at"] for d, n in zip(marks["data"], marks["n"], strict=True)]))
+            keep = np.sort(np.concatenate([_unpack(d, n, _FOUND)["at"] for d, n in zip(marks["data"], marks["n"], strict=True)]))
             row, place, _, first, last = (c[keep] for c in chunk.all_anchors())
             size = np.array([len(t) for t in chunk.texts])
             text = np.concatenate([*chunk.texts, np.zeros(STRETCH, np.uint8)])
@@ -308,7 +328,7 @@ def _stretches(chunks: DataFrame, repeated: DataFrame, splitters: np.ndarray) ->
                 "row": row.astype("<u4"),
                 "window": first.astype("<u4"),
             }
-            rows = list(_by_bucket(np.searchsorted(splitters, lead, side="right"), columns, len(splitters) + 1))
+            rows = list(_by_bucket(np.searchsorted(splitters, lead, side="right"), columns, len(splitters) + 1, _STRETCHES))
         name = frame["chunk"].iat[0] if len(frame) else 0
         return pd.DataFrame({"bucket": [r[0] for r in rows], "chunk": name, "n": [r[1] for r in rows], "data": [r[2] for r in rows]})
 
@@ -326,7 +346,7 @@ def _removed(stretches: DataFrame) -> DataFrame:
         flags = gone @ (1 << np.arange(SPAN, dtype=np.int64))
         keep = np.flatnonzero(flags)
         columns = {"row": col["row"][keep], "window": col["window"][keep], "flags": flags[keep].astype("<u4")}
-        rows = list(_by_bucket(chunk[keep], columns, int(chunk.max()) + 1)) if len(keep) else []
+        rows = list(_by_bucket(chunk[keep], columns, int(chunk.max()) + 1, _RUNS)) if len(keep) else []
         return pd.DataFrame({"chunk": [r[0] for r in rows], "n": [r[1] for r in rows], "data": [r[2] for r in rows]})
 
     return stretches.groupBy("bucket").applyInPandas(find, "chunk int, n long, data binary")
@@ -402,5 +422,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))
     chunks = texts.select(F.col("doc_id").cast("string"), "text", key.alias("key"), chunk.alias("chunk"))
     repeated = _repeated(_fingerprints(chunks, buckets))
-    removed = settled(_removed(_stretches(chunks, repeated, splitters)))
+    removed = _removed(_stretches(chunks, repeated, splitters))  # in one plan, so that the texts are dealt out once
     return _results(chunks, removed).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
