@@ -15,9 +15,10 @@ candidates meet on prefix shingles and pass
 Candidates are verified on the whole sets, each pair once. As only connected
 groups are asked for, verification goes in rounds, and a pair whose documents
 are already connected is not looked at again: first each class with the most
-frequent head of its runs, then with its most frequent neighbour, then all pairs
-that are left and share enough of their prefixes. No link between different texts is lost, and a group of many near copies
-costs about its size instead of its square.
+frequent head of its runs, then with the most frequent head outside its group,
+then all pairs that are left and share enough of their prefixes. No link between
+different texts is lost, and a group of many near copies costs about its size
+instead of its square.
 
 Cases: null, empty and wordless texts have the empty set and link with nothing;
 a text of fewer than ``WORDS`` words is one shingle; a row without an id links
@@ -207,47 +208,45 @@ def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 
 
 def shared_prefixes(prefix: DataFrame) -> DataFrame:
-    """Rows of runs (equal ``h``) of two or more, in order of size, each with the head of its run and the row before it."""
+    """Rows of runs (equal ``h``) of two or more, each with the head of its run.
+
+    A run is in order of the shingle's place in its set. Rare shingles come
+    first, so the head has the fewest shingles of its own: of copies that were
+    edited apart it is the one nearest to what they come from.
+    """
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = last = None  # rows of the run at the end of the batch before; one row is always held back
+        held = head = None  # the last row so far and the head of its run; whether it has company shows in the next batch
+        many_before = False
         for batch in batches:
             rows = batch[["h", "doc", "info"]].to_numpy()
-            if last is not None:
-                rows = np.concatenate((last, rows))
+            if held is not None:
+                rows = np.concatenate((held, rows))
             if not len(rows):
                 continue
             h = rows[:, 0]
             start = np.concatenate(([True], h[1:] != h[:-1]))
             heads = rows[np.maximum.accumulate(np.where(start, np.arange(len(rows)), 0))]
-            if last is not None and head[0, 0] == h[0]:
+            if held is not None:
                 heads[h == h[0]] = head
-                goes_on = not (head[0] == last[0]).all()  # the row held back is not its run's first
-            else:
-                goes_on = False
-            before = np.concatenate((rows[:1], rows[:-1]))
             many = ~start
             many[:-1] |= ~start[1:]
-            many[0] |= goes_on
-            end = len(rows) - 1  # held back
-            keep = np.flatnonzero(many[:end])
-            yield _linked(rows, heads, before, start, keep)
-            last, head = rows[end:], heads[end:]
-            held = (bool(many[end]), before[end:] if not start[end] else rows[end:])
-        if last is not None and held[0]:
-            yield _linked(last, head, held[1], np.array([False]), np.array([0]))
+            many[0] |= many_before
+            end = len(rows) - 1
+            yield _with_heads(rows[:end][many[:end]], heads[:end][many[:end]])
+            held, head, many_before = rows[end:], heads[end:], bool(many[end])
+        if many_before:
+            yield _with_heads(held, head)
 
-    ordered = prefix.repartition(partitions(prefix.sparkSession), "h").sortWithinPartitions("h", "info", "doc")
-    return ordered.mapInPandas(link, "h long, doc long, info long, head long, prev long")
+    place = F.shiftright("info", 11).bitwiseAND(F.lit((1 << 26) - 1))
+    ordered = prefix.repartition(partitions(prefix.sparkSession), "h").sortWithinPartitions("h", place, "info", "doc")
+    return ordered.mapInPandas(link, "h long, doc long, info long, head long")
 
 
-def _linked(rows, heads, before, start, keep) -> pd.DataFrame:
-    rows, heads, before = rows[keep], heads[keep], before[keep]
+def _with_heads(rows: np.ndarray, heads: np.ndarray) -> pd.DataFrame:
     head = pd.array(heads[:, 1], dtype="Int64")
-    prev = pd.array(before[:, 1], dtype="Int64")
     head[(rows[:, 1] == heads[:, 1]) | ~passes(rows[:, 2], heads[:, 2])] = pd.NA
-    prev[start[keep] | (rows[:, 1] == before[:, 1]) | ~passes(rows[:, 2], before[:, 2])] = pd.NA
-    return pd.DataFrame({"h": rows[:, 0], "doc": rows[:, 1], "info": rows[:, 2], "head": head, "prev": prev})
+    return pd.DataFrame({"h": rows[:, 0], "doc": rows[:, 1], "info": rows[:, 2], "head": head})
 
 
 def open_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -318,7 +317,7 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         of = groups.select(F.col("node").alias(end), F.col("component").alias(f"_g{end}"))
         pairs = pairs.join(of, end, "left").withColumn(f"_g{end}", F.coalesce(f"_g{end}", end))
-    return pairs.where(F.col("_ga") != F.col("_gb")).select("a", "b")
+    return pairs.where(F.col("_ga") != F.col("_gb")).drop("_ga", "_gb")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -336,10 +335,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     best = by_head.groupBy("doc").agg(F.max_by("head", F.struct("k", "head")).alias("head"))
     links = settled(verified(docs, settled(_ordered(best, "doc", "head").distinct())))
     groups = settled(components(links))
-    by_prev = shared.where(F.col("prev").isNotNull()).groupBy("doc", "prev").agg(F.count("*").alias("k"))
-    near = by_prev.groupBy("doc").agg(F.max_by("prev", F.struct("k", "prev")).alias("prev"))
-    near = _ordered(near, "doc", "prev").distinct()
-    for candidates in (lambda: _apart(near, groups), lambda: open_pairs(shared, groups)):
+    elsewhere = _apart(by_head.select(F.col("doc").alias("a"), F.col("head").alias("b"), "k"), groups)
+    second = elsewhere.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+    near = _ordered(second, "a", "b").distinct()
+    for candidates in (lambda: near, lambda: open_pairs(shared, groups)):
         pairs = settled(candidates())
         if not pairs.isEmpty():
             links = links.unionAll(settled(verified(docs, pairs)))
