@@ -9,14 +9,16 @@ candidates meet on prefix shingles and pass
 
 - the length filter: neither set is too small for the other;
 - the positional filter: what follows the shingle in both is long enough;
-- the suffix filter: a fixed pivot cuts both sets, and the difference in the
-  sizes of the parts bounds the overlap.
+- the suffix filter: fixed pivots cut both sets into parts, and what differs
+  within the parts bounds the overlap (one pivot and sizes at first; then
+  ``PARTS`` parts and whether each size is odd, which differs in a part only if
+  some shingle does).
 
 Candidates are verified on the whole sets, each pair once. As only connected
 groups are asked for, verification goes in rounds, and a pair whose documents
 are already connected is not looked at again: first each class with the most
 frequent head of its runs, then with the most frequent head outside its group,
-then all pairs that are left and share enough of their prefixes. No link between
+then all pairs that are left. No link between
 different texts is lost, and a group of many near copies costs about its size
 instead of its square.
 
@@ -44,6 +46,7 @@ PERCENT = 75  # linked when 100 * intersection >= PERCENT * union
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
 BLOCK_BYTES = 1 << 18  # text that is hashed at a time
+PARTS = 512
 _PIVOT = np.uint64(1 << 63)
 _PARTS = 2047
 
@@ -116,8 +119,14 @@ def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         yield from sets()
 
 
+def parities(own: np.ndarray) -> bytes:
+    """Whether each of ``PARTS`` parts of a set has an odd size, as bits."""
+    part = ((own >> np.uint64(20)) % np.uint64(PARTS)).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=PARTS).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
 def summaries(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row per document (``doc_id, n, digest``), and the sketch's blocks per task (``block, counts``)."""
+    """One pass over the texts: a row per document (``doc_id, n, digest, odd``), and the sketch's blocks per task (``block, counts``)."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -131,15 +140,16 @@ def summaries(docs: DataFrame) -> DataFrame:
                     "doc_id": batch["doc_id"],
                     "n": [len(s) for s in sets],
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    "odd": [parities(s) for s in sets],
                     "block": None,
                     "counts": None,
                 }
             )
         parts = sketch.reshape(SKETCH_BLOCKS, -1)
-        yield pd.DataFrame({"doc_id": None, "n": 0, "digest": None, "block": range(SKETCH_BLOCKS), "counts": [p.astype("<u4").tobytes() for p in parts]})
+        yield pd.DataFrame({"doc_id": None, "n": 0, "digest": None, "odd": None, "block": range(SKETCH_BLOCKS), "counts": [p.astype("<u4").tobytes() for p in parts]})
 
     own = docs.select(F.col("doc_id").cast("string"), "text")
-    out = own.mapInPandas(measure, "doc_id string, n long, digest binary, block int, counts binary")
+    out = own.mapInPandas(measure, "doc_id string, n long, digest binary, odd binary, block int, counts binary")
     return settled(out.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
@@ -171,17 +181,16 @@ def _unpack(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return info >> 37, (info >> 11) & ((1 << 26) - 1), info & _PARTS
 
 
-def passes(a: np.ndarray, b: np.ndarray, position: bool = True) -> np.ndarray:
-    """Whether pairs of packed numbers pass the length, suffix and (unless left out) positional filters."""
+def passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of packed numbers pass the length, positional and first suffix filter."""
     (n, at, low), (m, bt, mow) = _unpack(a), _unpack(b)
     need = -(-PERCENT * (n + m) // (100 + PERCENT))
-    out = PERCENT * np.maximum(n, m) <= 100 * np.minimum(n, m)
-    if position:
-        out &= 1 + np.minimum(n - at - 1, m - bt - 1) >= need
+    length = PERCENT * np.maximum(n, m) <= 100 * np.minimum(n, m)
+    position = 1 + np.minimum(n - at - 1, m - bt - 1) >= need
     # Sizes below the pivot are known to within one part in _PARTS.
     under = np.minimum((low + 1) * n // _PARTS + 1, (mow + 1) * m // _PARTS + 1)
     over = np.minimum(n - low * n // _PARTS, m - mow * m // _PARTS)
-    return out & (under + over >= need)
+    return length & position & (under + over >= need)
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -249,41 +258,37 @@ def _with_heads(rows: np.ndarray, heads: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"h": rows[:, 0], "doc": rows[:, 1], "info": rows[:, 2], "head": head})
 
 
-def open_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs that are not in one group yet and can reach the threshold.
-
-    Pairs are counted over the runs they share. Of two sets, the one whose prefix
-    ends first in the global order has no common shingle in its prefix but those
-    counted, so the overlap is at most the count and the rest of that set.
-    """
+def open_pairs(shared: DataFrame, groups: DataFrame, odd: DataFrame) -> DataFrame:
+    """All pairs of a run that pass the filters and are not in one group yet; ``odd`` has ``doc, odd``."""
     of = groups.select(F.col("node").alias("doc"), "component")
     rows = shared.select("h", "doc", "info").join(of, "doc", "left").withColumn("g", F.coalesce("component", "doc"))
     mixed = rows.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where(F.col("a") != F.col("b")).select("h")
-    rows = rows.join(mixed, "h", "left_semi").select("h", "doc", "info", "g")
+    rows = rows.join(mixed, "h", "left_semi").join(odd, "doc").select("h", "doc", "info", "g", "odd")
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, _ in sorted_runs(batches, ["h"]):
             h, doc, info, g = (frame[c].to_numpy() for c in ("h", "doc", "info", "g"))
+            known = frame["odd"].notna().to_numpy()  # an id with several texts has none, and its pairs stay
+            odd = np.frombuffer(b"".join(o or bytes(PARTS // 8) for o in frame["odd"]), np.uint64).reshape(len(h), -1)
             size = info >> 37
             left, step = np.arange(len(h) - 1), 1
             while len(left):  # pairs of rows that stand ``step`` apart; in a run sizes grow
                 right = left + step
                 near = (h[left] == h[right]) & (PERCENT * size[right] <= 100 * size[left])
                 left, right = left[near], right[near]
-                found = (g[left] != g[right]) & passes(info[left], info[right], position=False)
+                found = (g[left] != g[right]) & passes(info[left], info[right])
                 p, q = left[found], right[found]
-                if len(p):
-                    swap = doc[p] > doc[q]
-                    a, b = np.where(swap, q, p), np.where(swap, p, q)
-                    yield pd.DataFrame({"a": doc[a], "b": doc[b], "n": size[a], "m": size[b]})
+                both = size[p] + size[q]
+                differ = np.bitwise_count(odd[p] ^ odd[q]).sum(1, dtype=np.int64)
+                close = ~(known[p] & known[q]) | (differ <= both - 2 * -(-PERCENT * both // (100 + PERCENT)))
+                if close.any():
+                    p, q = p[close], q[close]
+                    yield pd.DataFrame({"a": np.minimum(doc[p], doc[q]), "b": np.maximum(doc[p], doc[q])})
                 step += 1
                 left = left[left + step < len(h)]
 
     dealt = rows.repartition(partitions(shared.sparkSession), "h").sortWithinPartitions("h", "info", "doc")
-    counted = dealt.mapInPandas(pair, "a long, b long, n long, m long").groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
-    need = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
-    rest = F.ceil(PERCENT * F.greatest("n", "m") / 100) - 1
-    return counted.where(F.col("k") + rest >= need).select("a", "b").distinct()
+    return dealt.mapInPandas(pair, "a long, b long").distinct()
 
 
 # -- verification -------------------------------------------------------------
@@ -324,7 +329,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     docs = docs.select("doc_id", "text")
     summary = summaries(docs)
-    each = summary.where(F.col("block").isNull()).select("doc_id", "n", "digest")
+    each = summary.where(F.col("block").isNull()).select("doc_id", "n", "digest", "odd")
     linkable = each.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = settled(linkable.join(classes, "digest").where(F.col("doc_id") != F.col("first")).select("doc_id", "first"))
@@ -333,12 +338,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     shared = settled(shared_prefixes(prefixes(distinct, sketch_of(summary))))
     by_head = shared.where(F.col("head").isNotNull()).groupBy("doc", "head").agg(F.count("*").alias("k"))
     best = by_head.groupBy("doc").agg(F.max_by("head", F.struct("k", "head")).alias("head"))
+    odd = linkable.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("texts"), F.first("odd").alias("odd"))
+    odd = odd.select("doc", F.when(F.col("texts") == 1, F.col("odd")).alias("odd"))
     links = settled(verified(docs, settled(_ordered(best, "doc", "head").distinct())))
     groups = settled(components(links))
     elsewhere = _apart(by_head.select(F.col("doc").alias("a"), F.col("head").alias("b"), "k"), groups)
     second = elsewhere.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
     near = _ordered(second, "a", "b").distinct()
-    for candidates in (lambda: near, lambda: open_pairs(shared, groups)):
+    for candidates in (lambda: near, lambda: open_pairs(shared, groups, odd)):
         pairs = settled(candidates())
         if not pairs.isEmpty():
             links = links.unionAll(settled(verified(docs, pairs)))
