@@ -45,7 +45,7 @@ LENGTH = 50
 GRAM = 26
 SPAN = LENGTH - GRAM + 1  # grams in a window
 STRETCH = LENGTH + SPAN - 1  # a gram is picked by SPAN windows at most
-CHUNKS_PER_PARTITION = 4
+CHUNKS_PER_PARTITION = 2
 BLOCK_BYTES = 1 << 20  # text that is hashed at a time
 SAMPLE_DOCS = 2000  # documents the splitters are sampled from; they decide balance alone
 NO_ID = np.iinfo(np.int64).max
@@ -248,7 +248,8 @@ class _Chunk:
         for row, data in enumerate(self.texts):
             found = anchors(data)
             if len(found[0]):
-                block.append((np.full(len(found[0]), row, np.int64), *found))
+                place, gram, first, last = found
+                block.append((np.full(len(place), row, np.int32), place.astype(np.int32), gram, first.astype(np.int32), last.astype(np.int32)))
                 size += len(data)
             if size >= BLOCK_BYTES:
                 yield tuple(np.concatenate(c) for c in zip(*block, strict=True))
