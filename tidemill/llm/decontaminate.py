@@ -200,13 +200,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that hold no copy of a test item, with all their columns."""
-    for block in blocks(benchmark):
-        items = seeded(docs, block)
 
-        def free(batches: Iterator[pd.Series], items: Items = items) -> Iterator[pd.Series]:
+    def free_of(items: Items):
+        def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
                 yield pd.Series([not items.matches(items.number_words(t), threshold) for t in texts], dtype="bool")
 
         free.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        docs = docs.where(F.pandas_udf(free, "boolean")(F.coalesce("text", F.lit(""))))
+        return F.pandas_udf(free, "boolean")
+
+    for block in blocks(benchmark):
+        docs = docs.where(free_of(seeded(docs, block))(F.coalesce("text", F.lit(""))))
     return docs

@@ -261,12 +261,16 @@ def _with_heads(rows: np.ndarray, heads: np.ndarray) -> pd.DataFrame:
 def open_pairs(shared: DataFrame, groups: DataFrame, odd: DataFrame) -> DataFrame:
     """All pairs of a run that pass the filters and are not in one group yet; ``odd`` has ``doc, odd``."""
     of = groups.select(F.col("node").alias("doc"), "component")
-    rows = shared.select("h", "doc", "info").join(of, "doc", "left").withColumn("g", F.coalesce("component", "doc"))
-    mixed = rows.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where(F.col("a") != F.col("b")).select("h")
-    rows = rows.join(mixed, "h", "left_semi").join(odd, "doc").select("h", "doc", "info", "g", "odd")
+    rows = shared.select("h", "doc", "info").join(of, "doc", "left").join(odd, "doc")
+    rows = rows.select("h", "doc", "info", F.coalesce("component", "doc").alias("g"), "odd")
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, _ in sorted_runs(batches, ["h"]):
+        for frame, bounds in sorted_runs(batches, ["h"]):
+            at, group = np.array([a for a, _ in bounds]), frame["g"].to_numpy()
+            apart = np.minimum.reduceat(group, at) != np.maximum.reduceat(group, at)  # a run of one group is done
+            frame = frame[np.repeat(apart, [z - a for a, z in bounds])]
+            if not len(frame):
+                continue
             h, doc, info, g = (frame[c].to_numpy() for c in ("h", "doc", "info", "g"))
             known = frame["odd"].notna().to_numpy()  # an id with several texts has none, and its pairs stay
             odd = np.frombuffer(b"".join(o or bytes(PARTS // 8) for o in frame["odd"]), np.uint64).reshape(len(h), -1)
