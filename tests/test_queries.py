@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import rows_of
+from tidemill import plans
 from tidemill.tables import SCHEMAS
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     got = df.collect()

@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 
 def truncate(c: Column, places: int = 0) -> Column:
-    """Cuts digits after ``places`` toward zero, deciding on the decimal form of the number."""
-    exact = c.cast("decimal(38,12)")
+    """Cuts digits after ``places`` toward zero, deciding on the decimal form of the number.
+
+    A double of 2**53 or more has no fraction; with ``places`` of 0 or more it
+    stays as it is. Digits past the 22nd are not looked at.
+    """
+    number = c.cast("double")
+    whole = F.abs(number) >= float(1 << 53)
+    exact = F.when(~whole, number).cast("decimal(38,22)")
     cut = F.when(exact < 0, F.ceil(exact, F.lit(places))).otherwise(F.floor(exact, F.lit(places)))
-    return cut.cast("double")
+    power = float(10 ** max(-places, 0))
+    large = number if places >= 0 else F.signum(number) * F.floor(F.abs(number) / power).cast("double") * power
+    return F.when(whole, large).otherwise(cut.cast("double"))
 
 
 def _logarithm(fn, c: Column) -> Column:

@@ -12,7 +12,7 @@ def regexp_extract(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def regexp_full_match(c: Column, pattern: str) -> Column:
-    return c.rlike(f"^(?:{pattern})$")
+    return c.rlike(f"\\A(?:{pattern})\\z")
 
 
 def split_index(c: Column, delimiter: str, index: int) -> Column:

@@ -210,7 +210,7 @@ class Ordered:
         )
         out = self._with_carry(
             local,
-            [F.count("*").alias("_p_n"), F.count_distinct(F.col(self.order)).alias("_p_d")],
+            [F.count("*").alias("_p_n"), F.count_distinct(F.struct(self.order)).alias("_p_d")],
             {"_c_n": lambda b: F.sum("_p_n").over(b), "_c_d": lambda b: F.sum("_p_d").over(b)},
         )
         prior, prior_distinct = F.coalesce("_c_n", F.lit(0)), F.coalesce("_c_d", F.lit(0))

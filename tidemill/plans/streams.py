@@ -27,17 +27,17 @@ def _ntz(df, *columns):
 
 def _sized(t: Tables):
     """State partitions for a stream over ``events``."""
-    return run.settings(t.spark, **run.state_settings("hashmap", run.state_partitions(t.events)))
+    return run.settings(t.spark, **run.state_settings("rocksdb", run.state_partitions(t.events)))
 
 
 def _append(t: Tables, df, name: str):
     with _sized(t):
-        return run.append_to(df, scratch(t, name), timeout=1800)
+        return run.append_to(df, scratch(t, name))
 
 
 def _update(t: Tables, df, name: str, keys: list[str]):
     with _sized(t):
-        return run.update_to(df, scratch(t, name), keys, timeout=1800)
+        return run.update_to(df, scratch(t, name), keys)
 
 
 CLOSED = "window_end <= (SELECT max(ts) FROM events) - INTERVAL {delay} MILLISECOND"

@@ -70,21 +70,14 @@ def with_time_folders(df: DataFrame, ts: str) -> DataFrame:
     )
 
 
-def write_time_partitioned(df: DataFrame, ts: str, path: str, tasks: int | None = None) -> None:
+def write_time_partitioned(df: DataFrame, ts: str, path: str) -> None:
     """Parquet in year/month/day/hour folders.
 
     Rows are gathered by folder with a rebalance, which adaptive execution
-    splits where an hour is large and merges where hours are small. With
-    ``tasks`` the number of writers is fixed instead, and each hour is shared by
-    up to four of them.
+    splits where an hour is large and merges where hours are small.
     """
     folders = ["year", "month", "day", "hour"]
-    rows = with_time_folders(df, ts)
-    if tasks:
-        spread = F.pmod(F.xxhash64(ts), F.lit(4)) if tasks >= 64 else F.lit(0)
-        rows = rows.repartition(tasks, *folders, spread)
-    else:
-        rows = rows.hint("rebalance", *folders)
+    rows = with_time_folders(df, ts).hint("rebalance", *folders)
     rows.write.mode("overwrite").partitionBy(*folders).parquet(path)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemill.operators.patterns import Pattern, find_matches, followers, pattern_regex, row_code, row_mask, variable_bits
-from tidemill.streaming.stateful import JSON_TIMES
+from tidemill.streaming.stateful import JSON_TIMES, state_key
 
 _ROW = "us bigint, tie bigint, mask int, body string"
 
@@ -115,14 +115,14 @@ def stream_match_rows(
     """
     at = F.col(order).cast("timestamp")
     rows = df.select(
-        F.col(key).alias("key"),
+        state_key(F.col(key).alias("k")).alias("key"),
         at.alias("at"),
         F.unix_micros(at).alias("row_us"),
         F.col(tie).cast("long").alias("tie"),
         row_mask(pattern, define).alias("mask"),
         F.to_json(F.struct(*df.columns), JSON_TIMES).alias("body"),
     )
-    out = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("match", T.StringType())])
+    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("match", T.StringType())])
     found = (
         rows.withWatermark("at", f"{delay_ms} milliseconds")
         .groupBy("key")
@@ -133,4 +133,5 @@ def stream_match_rows(
     kind = T.ArrayType(
         T.StructType([T.StructField("variable", T.StringType()), T.StructField("row", df.schema)])
     )
-    return found.select(F.col("key").alias(key), F.from_json("match", kind, JSON_TIMES).alias("match"))
+    own = F.from_json("key", T.StructType([T.StructField("k", df.schema[key].dataType)]), JSON_TIMES)
+    return found.select(own["k"].alias(key), F.from_json("match", kind, JSON_TIMES).alias("match"))

@@ -40,13 +40,12 @@ def state_settings(backend: str = "rocksdb", parallelism: int | None = None) ->
 def state_partitions(batch: DataFrame, bytes_each: int = 64 << 20) -> int:
     """How many state partitions a stream of about this much data needs.
 
-    One per ``bytes_each`` of the optimizer's estimate, at least one per core
-    and at most what the session sets for shuffles. The number is fixed for the
-    life of a checkpoint, so size it for what the stream will hold.
+    One per ``bytes_each`` of the optimizer's estimate, at least one per core.
+    The number is fixed for the life of a checkpoint, so size it for what the
+    stream will hold.
     """
     spark = batch.sparkSession
-    wanted = max(spark.sparkContext.defaultParallelism, -(-estimated_bytes(batch) // bytes_each))
-    return min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(spark.sparkContext.defaultParallelism, -(-estimated_bytes(batch) // bytes_each))
 
 
 def append_to(df: DataFrame, path: str, timeout: int | None = None) -> DataFrame:

@@ -5,26 +5,36 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# Rows carried through state as text keep their microseconds.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def state_key(*keys: Column) -> Column:
+    """The keys as one text that is never null: state of null keys must not meet that of others."""
+    return F.to_json(F.struct(*keys), JSON_TIMES)
+
 
 class _CountWithTtl(StatefulProcessor):
-    def __init__(self, ttl_ms: int, key_names: Sequence[str]):
-        self.ttl_ms, self.key_names = ttl_ms, list(key_names)
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("totals", "n bigint, total double", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, total = self.state.get() if self.state.exists() else (0, 0.0)
+        n, total = self.state.get() if self.state.exists() else (0, None)
         for batch in rows:
             n += int(batch["n"].sum())
-            total += float(batch["total"].sum())
+            known = batch["total"].dropna()
+            if len(known):
+                total = (total or 0.0) + float(known.sum())
         self.state.update((n, total))
-        yield pd.DataFrame({**{k: [v] for k, v in zip(self.key_names, key)}, "n": [n], "total": [total]})
+        yield pd.DataFrame({"state_key": [key[0]], "n": [n], "total": [total]}).astype({"total": "float64"})
 
     def close(self) -> None:
         pass
@@ -40,23 +50,21 @@ def totals_with_ttl(df: DataFrame, keys: Sequence[str], value: str, ttl_ms: int)
     """
     if ttl_ms <= 0:
         raise ValueError("the TTL must be positive")
-    keys = list(keys)
-    out = T.StructType([df.schema[k] for k in keys]).add("n", "long").add("total", "double")
+    out = "state_key string, n long, total double"
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            groups = batch.groupby(keys, dropna=False, sort=False)[value]
-            yield groups.agg(n="size", total="sum").reset_index()
-
-    partial = df.select(*keys, F.col(value).cast("double").alias(value)).mapInPandas(combine, out)
-    return partial.groupBy(*keys).transformWithStateInPandas(
-        _CountWithTtl(ttl_ms, keys), out, "update", "ProcessingTime"
+            groups = batch.groupby("state_key", sort=False)["value"]
+            yield pd.DataFrame({"n": groups.size(), "total": groups.sum(min_count=1)}).reset_index()
+
+    rows = df.select(state_key(*[F.col(k) for k in keys]).alias("state_key"), F.col(value).cast("double").alias("value"))
+    totals = rows.mapInPandas(combine, out).groupBy("state_key")
+    counted = totals.transformWithStateInPandas(_CountWithTtl(ttl_ms), out, "update", "ProcessingTime")
+    kinds = T.StructType([df.schema[k] for k in keys])
+    return counted.select(F.from_json("state_key", kinds, JSON_TIMES).alias("k"), "n", F.nanvl("total", F.lit(None).cast("double")).alias("total")).select(
+        "k.*", "n", "total"
     )
 
-
-# Rows carried through state as text keep their microseconds.
-JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-
 # Input columns of the processors below have no leading underscore: rows reach
 # Python as named tuples, which cannot carry such names.
 
@@ -90,9 +98,10 @@ def mark_late_rows(df: DataFrame, partition: str, ts: str, offset: str, delay_ms
     source partition; a micro-batch of one partition is ordered by offset, so
     bound it with the source's rate options.
     """
-    rows = df.withColumn("row_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumn("row_us", at).withColumn("state_key", state_key(F.col(partition)))
     out = T.StructType([*df.schema.fields, T.StructField("late", T.BooleanType())])
-    return rows.groupBy(partition).transformWithStateInPandas(
+    return rows.groupBy("state_key").transformWithStateInPandas(
         _LateRows(delay_ms, offset, df.columns), out, "append", "None"
     )
 
@@ -176,13 +185,13 @@ def stream_as_of_join(
 
     A probe waits until the watermark passes its time, so a version that arrives
     late but within ``delay_ms`` is still found; versions are kept back to the
-    last one at or before the watermark.
+    last one at or before the watermark. A null key has no version.
     """
 
     def side(df: DataFrame, n: int, k: str, ts: str, seq, body: Sequence[str]) -> DataFrame:
         at = F.col(ts).cast("timestamp")
         return df.select(
-            F.col(k).alias("key"),
+            state_key(F.col(k).alias("k")).alias("key"),
             at.alias("at"),
             F.unix_micros(at).alias("row_us"),
             F.lit(n).alias("side"),
@@ -191,7 +200,7 @@ def stream_as_of_join(
         )
 
     line = side(probes, 1, key[0], probe_ts, F.lit(0), probes.columns).unionByName(
-        side(versions, 0, key[1], version_ts, F.col(sequence), columns)
+        side(versions.where(F.col(key[1]).isNotNull()), 0, key[1], version_ts, F.col(sequence), columns)
     )
     answered = (
         line.withWatermark("at", f"{delay_ms} milliseconds")
@@ -252,7 +261,7 @@ def stream_lag(df: DataFrame, key: str, order: str, tie: str, delay_ms: int, off
     """
     at = F.col(order).cast("timestamp")
     rows = df.select(
-        F.col(key).alias("key"),
+        state_key(F.col(key)).alias("key"),
         at.alias("at"),
         F.unix_micros(at).alias("row_us"),
         F.col(tie).cast("long").alias("tie"),

@@ -45,11 +45,19 @@ class Tables:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def stream(self, name: str, event_time: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-        """File stream of one table; ``event_time`` is cast to the zoned type watermarks need."""
-        reader = self.spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}*.parquet")
+        """File stream of one table, a folder of files or a single one; ``event_time`` is cast to the zoned type watermarks need."""
+        path = f"{self.folder}/{name}.parquet"
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(at):
+            raise FileNotFoundError(path)
+        reader = self.spark.readStream.schema(SCHEMAS[name])
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        df = reader.parquet(self.folder)
+        if files.getFileStatus(at).isDirectory():
+            df = reader.parquet(path)
+        else:  # a file stream watches folders
+            df = reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
         return df.withColumn(event_time, F.col(event_time).cast("timestamp")) if event_time else df
 
     def sql(self, text: str) -> DataFrame:
