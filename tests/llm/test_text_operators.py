@@ -146,7 +146,7 @@ def test_token_files_round_trip(spark, tokenizer):
     marks = ["a", "b ", " ", ".", ",", "\n", "é", "1", "!", "Ж", "<|endoftext|>", "'s", "\t", "日", "Word", " the"]
     texts = [*AWKWARD, *("".join(rng.choices(marks, k=rng.randrange(40))) for _ in range(300))]
     shards = wavelet.write_shards(documents(spark, texts), tokenizer, shard_tokens=5000)
-    assert shards.count() > 5
+    assert shards.count() > 4  # more files than partitions
     got = {r.doc_id: r for r in wavelet.read_documents(shards).collect()}
     want, start = plain_tokens(tokenizer, texts), 0
     for i, ids in enumerate(want):

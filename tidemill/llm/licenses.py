@@ -43,7 +43,7 @@ NOTICES = (
     ("bsd", ((0, "redistribution and use in source and binary forms"), (14, "are permitted provided that the following conditions are met"))),
     ("mpl-2.0", ((0, "subject to the terms of the mozilla public license"), (9, "v 2 0"))),
 )
-SLACK = 8
+SLACK = 2
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
