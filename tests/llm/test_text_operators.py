@@ -310,6 +310,19 @@ def test_shingle_groups(spark, seed):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted({c for _, c in want.values()})
 
 
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 500, 511, 512, 3000, 40000):
+        own = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        for share in (0, 0.1, 0.14, 0.2, 0.6):
+            gone = int(share * len(own))
+            other = np.unique(np.concatenate((own[gone:], rng.integers(0, 1 << 63, gone, np.uint64))))
+            both = len(np.intersect1d(own, other))
+            may = jaccard.may_link(len(own), len(other), jaccard.parities(own), jaccard.parities(other))
+            assert may or 100 * both < 75 * (len(own) + len(other) - both)
+            assert not may or n < 500 or share < 0.6
+
+
 def test_shingle_groups_without_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (5, "A b c D e f")], "doc_id long, text string")
     rows = sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard.similar_groups(docs).collect())

@@ -12,7 +12,9 @@ candidates meet on prefix shingles and pass
 - the suffix filter: fixed pivots cut both sets into parts, and what differs
   within the parts bounds the overlap (one pivot and sizes at first; then
   ``PARTS`` parts and whether each size is odd, which differs in a part only if
-  some shingle does).
+  some shingle does). A pair that is to be verified is first held against that
+  once more, with more parts than shingles in the set, which costs a fraction of
+  its whole sets and turns away most of those that are not similar enough.
 
 Candidates are verified on the whole sets, each pair once. As only connected
 groups are asked for, verification goes in rounds, and a pair whose documents
@@ -120,13 +122,26 @@ def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
 
 
 def parities(own: np.ndarray) -> bytes:
-    """Whether each of ``PARTS`` parts of a set has an odd size, as bits."""
-    part = ((own >> np.uint64(20)) % np.uint64(PARTS)).astype(np.int64)
-    return np.packbits(np.bincount(part, minlength=PARTS).astype(np.uint8) & 1, bitorder="little").tobytes()
+    """Whether each part of a set has an odd size, as bits: a power of two above the set's size of them, ``PARTS`` at least."""
+    parts = max(PARTS, 1 << len(own).bit_length())
+    part = ((own >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=parts) & 1, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int = PARTS // 8) -> np.ndarray:
+    """The parities of fewer, larger parts, as ``size`` bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+
+
+def may_link(n: int, m: int, bits: bytes, cits: bytes) -> bool:
+    """Whether sets of ``n`` and ``m`` shingles with these parities can be similar enough."""
+    size = min(len(bits), len(cits))
+    differ = int(np.bitwise_count(folded(bits, size) ^ folded(cits, size)).sum(dtype=np.int64))
+    return differ <= n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row per document (``doc_id, n, digest, odd``), and the sketch's blocks per task (``block, counts``)."""
+    """One pass over the texts: a row per document (``doc_id, n, digest, odd, bits``), and the sketch's blocks per task (``block, counts``)."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -135,21 +150,23 @@ def summaries(docs: DataFrame) -> DataFrame:
             if sets:
                 every = np.concatenate(sets)
                 sketch += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+            bits = [parities(s) for s in sets]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
                     "n": [len(s) for s in sets],
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "odd": [parities(s) for s in sets],
+                    "odd": [folded(b).tobytes() for b in bits],
+                    "bits": bits,
                     "block": None,
                     "counts": None,
                 }
             )
         parts = sketch.reshape(SKETCH_BLOCKS, -1)
-        yield pd.DataFrame({"doc_id": None, "n": 0, "digest": None, "odd": None, "block": range(SKETCH_BLOCKS), "counts": [p.astype("<u4").tobytes() for p in parts]})
+        yield pd.DataFrame({"doc_id": None, "n": 0, "digest": None, "odd": None, "bits": None, "block": range(SKETCH_BLOCKS), "counts": [p.astype("<u4").tobytes() for p in parts]})
 
     own = docs.select(F.col("doc_id").cast("string"), "text")
-    out = own.mapInPandas(measure, "doc_id string, n long, digest binary, odd binary, block int, counts binary")
+    out = own.mapInPandas(measure, "doc_id string, n long, digest binary, odd binary, bits binary, block int, counts binary")
     return settled(out.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
@@ -306,9 +323,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return kept_keys(docs, wanted, "doc_id").select("doc_id", "text").mapInPandas(emit, "doc long, members array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose whole sets are similar enough."""
-    wanted = settled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) that their parities do not rule out; ``marks`` has ``doc, n, bits``, null where unknown."""
+
+    def judge(n: pd.Series, m: pd.Series, bits: pd.Series, cits: pd.Series) -> pd.Series:
+        rows = zip(n, m, bits, cits, strict=True)
+        return pd.Series([p is None or q is None or may_link(int(a), int(b), p, q) for a, b, p, q in rows], dtype="bool")
+
+    wanted = settled(_ends(pairs).withColumnRenamed("doc_id", "doc"))
+    own = kept_keys(marks, wanted, "doc")
+    for end in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("doc").alias(end), F.col("n").alias(f"_n{end}"), F.col("bits").alias(f"_{end}")), end)
+    return pairs.where(F.pandas_udf(judge, "boolean")("_na", "_nb", "_a", "_b")).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def verified(docs: DataFrame, candidates: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of ``candidates`` (``a, b``) whose whole sets are similar enough."""
+    pairs = settled(plausible(candidates, marks))
+    wanted = settled(_ends(pairs))
     sets = settled(sets_of(docs, wanted))
     left, right = (sets.select(F.col("doc").alias(k), F.col("members").alias(f"_{k}")) for k in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -333,7 +369,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     docs = docs.select("doc_id", "text")
     summary = summaries(docs)
-    each = summary.where(F.col("block").isNull()).select("doc_id", "n", "digest", "odd")
+    each = summary.where(F.col("block").isNull()).select("doc_id", "n", "digest", "odd", "bits")
     linkable = each.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = settled(linkable.join(classes, "digest").where(F.col("doc_id") != F.col("first")).select("doc_id", "first"))
@@ -342,9 +378,12 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     shared = settled(shared_prefixes(prefixes(distinct, sketch_of(summary))))
     by_head = shared.where(F.col("head").isNotNull()).groupBy("doc", "head").agg(F.count("*").alias("k"))
     best = by_head.groupBy("doc").agg(F.max_by("head", F.struct("k", "head")).alias("head"))
-    odd = linkable.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("texts"), F.first("odd").alias("odd"))
-    odd = odd.select("doc", F.when(F.col("texts") == 1, F.col("odd")).alias("odd"))
-    links = settled(verified(docs, settled(_ordered(best, "doc", "head").distinct())))
+    several = settled(linkable.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("doc")))
+    once = kept_keys(linkable.withColumnRenamed("doc_id", "doc"), several, "doc", "left_anti")
+    unknown = several.select("doc", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("bits"))
+    marks = once.select("doc", "n", "bits").unionAll(unknown)
+    odd = once.select("doc", "odd").unionAll(unknown.select("doc", "bits"))
+    links = settled(verified(docs, settled(_ordered(best, "doc", "head").distinct()), marks))
     groups = settled(components(links))
     elsewhere = _apart(by_head.select(F.col("doc").alias("a"), F.col("head").alias("b"), "k"), groups)
     second = elsewhere.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
@@ -352,7 +391,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     for candidates in (lambda: near, lambda: open_pairs(shared, groups, odd)):
         pairs = settled(candidates())
         if not pairs.isEmpty():
-            links = links.unionAll(settled(verified(docs, pairs)))
+            links = links.unionAll(settled(verified(docs, pairs, marks)))
             groups = settled(components(links))
 
     everything = copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
