@@ -1,6 +1,7 @@
 """Sliced operators must equal the plain window, hot key or not."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window
@@ -104,6 +105,40 @@ def test_heavy_keys_and_slices_are_bounded(rows):
     assert line.df.groupBy("k", "_slice").count().where("k = 1").agg(F.max("count")).first()[0] < 200
 
 
+def _odd(kind):
+    """An ordering column of 400 rows with ties, nulls and odd values."""
+    value = {
+        "double": lambda i: None if i % 9 == 0 else float("nan") if i % 11 == 0 else float(i * 7 % 50),
+        "string": lambda i: None if i % 9 == 0 else "" if i % 11 == 0 else f"w{i * 7 % 50}",
+        "decimal(20,2)": lambda i: None if i % 9 == 0 else Decimal(i * 7 % 50),
+        "boolean": lambda i: None if i % 9 == 0 else i % 2 == 0,
+    }[kind]
+    return [(i, 1 if i % 4 else None, value(i)) for i in range(400)]
+
+
+@pytest.mark.parametrize("down", [False, True], ids=["up", "down"])
+@pytest.mark.parametrize("kind", ["double", "string", "decimal(20,2)", "boolean"])
+def test_cuts_take_any_order(spark, kind, down):
+    df = spark.createDataFrame(_odd(kind), f"id long, k int, o {kind}").repartition(3, "id")
+    line = Ordered(df, ["k"], "o", ["id"], descending=down, skew=CUT)
+    assert line.cut
+    o = F.desc("o") if down else F.asc("o")
+    peers = Window.partitionBy("k").orderBy(o)
+    w = Window.partitionBy("k").orderBy(o, F.desc("id") if down else F.asc("id"))
+    want = df.select("id", F.row_number().over(w).alias("row_number"), F.rank().over(peers).alias("rank"), F.dense_rank().over(peers).alias("dense_rank"))
+    got = line.ranks().select("id", "row_number", "rank", "dense_rank")
+    assert same(got, want)
+
+
+@pytest.mark.parametrize("values", ["if(id = 0, -1e15, id)", "if(id = 0, double('NaN'), id)", "if(id % 10 = 0, id * 1000, 5 + id / 1e6)"], ids=["stray", "nan", "burst"])
+def test_slices_are_even(spark, values):
+    df = spark.range(0, 20_000, 1, 4).select("id", F.lit(1).alias("k"), F.expr(values).cast("double").alias("o"))
+    line = Ordered(df, ["k"], "o", ["id"], skew=Skew(0.1, 100, 4, 0))
+    sizes = [r["count"] for r in line.df.groupBy("_slice").count().collect()]
+    assert sum(sizes) == 20_000
+    assert max(sizes) <= 2 * 20_000 / len(sizes)
+
+
 def test_nth_value_far_into_a_hot_key(spark):
     df = spark.range(4000).select("id", F.lit(1).alias("k"), (F.col("id") % 100).cast("double").alias("o"))
     got = Ordered(df, ["k"], "o", ["id"], skew=Skew(0.01, 100, 4, 0)).ranks(nth={"x": ("id", 1500)})

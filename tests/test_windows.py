@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemill.operators import windows as W
@@ -48,6 +49,26 @@ def test_hop_plans_agree(spark):
     assert out(plain, *cols) == out(panes, *cols)
 
 
+@pytest.mark.parametrize(("size", "slide"), [("10 seconds", "4 seconds"), ("5 seconds", "3 seconds"), ("4 seconds", "10 seconds")])
+def test_hop_panes_of_any_size_and_slide(spark, size, slide):
+    df = frame(spark, *[("ab"[i % 2], i * 3, i) for i in range(60)])
+    cols = ("k", "window_start", "window_end", "n", "total")
+    try:
+        plain = out(W.hop_agg(df, "ts", size, slide, ["k"], F.count("*").alias("n"), F.sum("v").alias("total")), *cols)
+    except AnalysisException:  # a slide above the size is no window of Spark's; both forms say so
+        with pytest.raises(AnalysisException):
+            out(W.hop_panes(df, "ts", size, slide, ["k"], aggs()), *cols)
+    else:
+        assert out(W.hop_panes(df, "ts", size, slide, ["k"], aggs()), *cols) == plain
+
+
+def test_cumulate_needs_whole_steps(spark):
+    df = frame(spark, ("a", 1, 1))
+    for make in (lambda: W.cumulate(df, "ts", "3 seconds", "10 seconds"), lambda: W.cumulate_panes(df, "ts", "3 seconds", "10 seconds", ["k"], aggs())):
+        with pytest.raises(ValueError, match="multiple"):
+            make()
+
+
 @pytest.mark.parametrize("second", [30, 31])
 def test_session_gap_edge(spark, second):
     """Events exactly a gap apart share a session; a second more parts them."""

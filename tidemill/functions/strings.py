@@ -63,4 +63,4 @@ def to_base64(c: Column) -> Column:
 
 def from_base64(c: Column) -> Column:
     """The decoded bytes as text; NULL for text that is no base64."""
-    return F.try_to_binary(c, F.lit("base64")).cast("string")
+    return F.try_to_binary(c, F.lit("base64"))

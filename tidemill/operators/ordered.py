@@ -4,12 +4,17 @@
 for most keys and fatal for one that holds a third of the table. Here a key
 above a set share of the rows is cut into slices of its ordering column; every
 slice is one window partition, and a small carry row per slice brings in what
-came before. Light keys keep a single slice, so ordinary data costs one shuffle,
-as the plain window would, plus a count per key.
+came before. Light keys keep a single slice. Ordinary data costs one shuffle, as
+the plain window would, plus a count per key.
+
+Slices are the ranges into which Spark's range partitioning deals the rows of
+heavy keys: their bounds follow the rows, so that a stray value or a burst does
+not fill one slice, and any sortable type will do, nulls and NaN included. The
+dealt rows are written to the shared folder once, which fixes their slices.
 
 Sizes that are broadcast are bounded by construction: a heavy key has more than
 ``share`` of all rows, so there are at most ``1/share`` of them, and at most
-``2 * oversplit / share`` slices, whatever the size of the table.
+``2 * oversplit / share`` slices (and one more a key), whatever the size of the table.
 
 All functions expect ``df`` to be cheap to read twice (a scan, a view on one, or
 a reliably checkpointed result), because heavy keys are found by a first pass.
@@ -23,9 +28,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemill.operators.sizes import at_most
+from tidemill.session import reliable_checkpoint
 
 
 @dataclass(frozen=True)
@@ -64,32 +69,24 @@ class Ordered:
             df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
         self.keys, self.order, self.ties = list(keys), order, list(ties)
         self.descending, self.skew = descending, skew
-        kind = df.schema[order].dataType
-        stamp = isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
-        self._position = (
-            F.unix_micros(F.col(order).cast("timestamp")).cast("double") if stamp else F.col(order).cast("double")
-        )
-        self.cut = not at_most(df, skew.min_bytes)
-        if self.cut:
+        slices = 0
+        if not at_most(df, skew.min_bytes):
             self._heavy = self._find_heavy(df)
-            self.df = self._slice(df)
-        else:
-            self.df = df.withColumn("_total", F.lit(None).cast("long"))
+            slices = self._heavy.agg(F.sum("_cuts")).first()[0] or 0
+        self.cut = slices > 0
+        self.df = self._slice(df, slices) if self.cut else df.withColumn("_total", F.lit(None).cast("long"))
         self.parts = [*self.keys, "_slice"] if self.cut else self.keys
 
     def _find_heavy(self, df: DataFrame) -> DataFrame:
-        counts = df.groupBy(*self.keys).agg(
-            F.count("*").alias("_rows"), F.min(self._position).alias("_lo"), F.max(self._position).alias("_hi")
-        )
-        total = df.select(F.count("*")).scalar()
+        counts = df.groupBy(*self.keys).agg(F.count("*").alias("_total"))
+        total = counts.select(F.sum("_total")).scalar()
         limit = F.greatest(F.lit(float(self.skew.min_rows)), total * F.lit(self.skew.share))
-        cuts = F.ceil(F.col("_rows") / limit) * self.skew.oversplit
-        return counts.where(F.col("_rows") > limit).select(
+        heavy = counts.where(F.col("_total") > limit).select(
             *[F.col(k).alias(f"_k_{k}") for k in self.keys],
-            F.col("_rows").alias("_total"),
-            "_lo",
-            F.greatest((F.col("_hi") - F.col("_lo")) / cuts, F.lit(1e-9)).alias("_width"),
+            "_total",
+            (F.ceil(F.col("_total") / limit) * self.skew.oversplit).alias("_cuts"),
         )
+        return reliable_checkpoint(heavy)  # at most 1/share rows, read by several plans
 
     def _same_key(self, df: DataFrame, other: DataFrame) -> Column:
         cond = F.lit(True)
@@ -97,11 +94,14 @@ class Ordered:
             cond = cond & df[k].eqNullSafe(other[f"_k_{k}"])
         return cond
 
-    def _slice(self, df: DataFrame) -> DataFrame:
+    def _slice(self, df: DataFrame, slices: int) -> DataFrame:
         heavy = F.broadcast(self._heavy)  # at most 1/share rows
-        joined = df.join(heavy, self._same_key(df, heavy), "left").drop(*[f"_k_{k}" for k in self.keys])
-        cut = F.floor((self._position - F.col("_lo")) / F.col("_width"))
-        return joined.withColumn("_slice", F.coalesce(cut, F.lit(0))).drop("_lo", "_width")
+        light = df.join(heavy, self._same_key(df, heavy), "left_anti")
+        rows = df.join(heavy, self._same_key(df, heavy)).drop(*[f"_k_{k}" for k in self.keys], "_cuts")
+        dealt = rows.repartitionByRange(slices, *self.keys, self.order)
+        dealt = reliable_checkpoint(dealt.withColumn("_slice", F.spark_partition_id().cast("long")))
+        light = light.withColumn("_total", F.lit(None).cast("long")).withColumn("_slice", F.lit(0).cast("long"))
+        return dealt.unionByName(light)
 
     # -- windows -----------------------------------------------------------
     def _ordering(self, reverse: bool = False) -> list[Column]:

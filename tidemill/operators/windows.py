@@ -11,9 +11,10 @@ Pane forms take ``aggs`` as ``{name: (partial, merge)}``, for example
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Aggs = Mapping[str, tuple[Column, Callable[[Column], Column]]]
@@ -23,6 +24,17 @@ def _interval(text: str) -> Column:
     return F.expr(f"interval {text}")
 
 
+def _micros(spark: SparkSession, text: str) -> int:
+    """The length of an interval of days or less."""
+    return spark.sql(f"SELECT unix_micros(timestamp_micros(0L) + interval {text})").first()[0]
+
+
+def _check_steps(df: DataFrame, step: str, size: str) -> None:
+    spark = df.sparkSession
+    if _micros(spark, step) <= 0 or _micros(spark, size) % _micros(spark, step):
+        raise ValueError(f"the size of cumulating windows ({size}) must be a multiple of their step ({step})")
+
+
 def _with_bounds(df: DataFrame, w: Column) -> DataFrame:
     return (
         df.withColumn("_w", w)
@@ -50,6 +62,7 @@ def cumulate(df: DataFrame, ts: str, step: str, size: str) -> DataFrame:
     Every window from the first step with data is present per row, so grouping
     by the bounds gives the same windows as ``cumulate_panes``.
     """
+    _check_steps(df, step, size)
     outer, pane = F.window(ts, size), F.window(ts, step)
     return (
         df.withColumn("_o", outer)
@@ -85,13 +98,14 @@ def hop_agg(df: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str |
 
 
 def hop_panes(df: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str], aggs: Aggs) -> DataFrame:
-    """Hopping windows from panes of one slide; ``size`` must be a multiple of ``slide``.
+    """Hopping windows from panes that divide both ``size`` and ``slide``.
 
     Rows are reduced to panes first, and only panes are copied ``size/slide``
     times. Use it for large ratios and mergeable aggregates.
     """
+    width = math.gcd(_micros(df.sparkSession, size), _micros(df.sparkSession, slide))
     panes = (
-        df.groupBy(F.window(ts, slide).alias("_p"), *keys)
+        df.groupBy(F.window(ts, f"{width} microseconds").alias("_p"), *keys)
         .agg(*[partial.alias(name) for name, (partial, _) in aggs.items()])
         .withColumn("_start", F.col("_p.start"))
         .drop("_p")
@@ -151,6 +165,7 @@ def cumulate_panes(df: DataFrame, ts: str, step: str, size: str, keys: Sequence[
     holds ``size/step`` panes at most. A step without new rows repeats the last
     result, so a window is reported at every step from the first one with data.
     """
+    _check_steps(df, step, size)
     panes = (
         df.withColumn("_p", F.window(ts, step))
         .withColumn("_o", F.window(ts, size))

@@ -111,7 +111,7 @@ def url_and_encoding(t: Tables):
         F.url_encode(url).alias("encoded"),
         F.try_url_decode(F.url_encode(url)).alias("decoded"),
         S.to_base64(url).alias("b64"),
-        S.from_base64(S.to_base64(url)).alias("unb64"),
+        S.from_base64(S.to_base64(url)).cast("string").alias("unb64"),
         F.md5(url).alias("digest"),
     )
 
