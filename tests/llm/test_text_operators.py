@@ -117,6 +117,25 @@ def test_blocks_of_items_give_the_same(spark):
     assert max(sum(map(len, b.words)) for b in decontaminate.blocks(benchmark, 45)) <= 45
 
 
+@pytest.mark.parametrize("beside", [False, True], ids=["alone", "beside an exact copy"])
+def test_edited_copies_equal_alignment_without_seeds(spark, beside):
+    rng = random.Random(4)
+    items = [prose(rng, rng.randrange(16, 27), 5000) for _ in range(12)]
+    texts = list(items) if beside else []
+    for every in (0.1, 0.15, 0.2, 0.25, 4, 5):
+        for item in items:
+            words = [f"new{rng.randrange(10**6)}" if (k % every == every - 1 if every > 1 else rng.random() < every) else w for k, w in enumerate(item.split())]
+            texts.append(prose(rng, 40, 5000) + " " + " ".join(words) + " " + prose(rng, 40, 5000))
+    texts += [" ".join(w for word in items[0].split() for w in (word, "between")), " ".join(w for k, w in enumerate(items[1].split()) if k % 3), "of the"]
+    items.append("nothing of the sort")
+    got = {(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.contaminated(documents(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    number = {}
+    coded = lambda text: np.array([number.setdefault(w, len(number)) for w in decontaminate.words_of(text)])
+    scores = {(d, i): decontaminate.align(coded(item), coded(text))[0] / (2 * len(item.split())) for d, text in enumerate(texts) for i, item in enumerate(items)}
+    assert got == {k: round(s, 9) for k, s in scores.items() if s >= 0.5 and k[1] < 12}
+    assert len(got) >= 12 * 5 + 12 * beside
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_alignment_equals_the_plain_recurrence(seed):
     rng = np.random.default_rng(seed)

@@ -1,27 +1,33 @@
-"""Benchmark decontamination: rare seeds, then Smith-Waterman.
-
-Words are runs of letters and digits, lower-cased. The ``SEED``-word n-grams of
-the test items are counted over all documents; the rarer half of each item's
-n-grams are its seeds, however frequent they are, so that a passage copied into
-a third of all documents keeps its seeds. Where a document holds a seed, the
-item is aligned with the words around it. The score is the alignment's share of
-the best one possible, and a document with ``THRESHOLD`` or more is a copy,
-verbatim or edited, of the item.
+"""Benchmark decontamination: pairs of words, then Smith-Waterman.
+
+Words are runs of letters and digits, lower-cased. A test item is aligned with
+the words of a document; the score is the alignment's share of the best one
+possible, and a document with ``THRESHOLD`` or more is a copy, verbatim or
+edited, of the item. At least ``EVIDENCE`` words have to match.
+
+Only documents that may reach the score are aligned, and none that does is
+missed: an alignment of ``m`` matches loses 1 for each word changed, put in or
+left out. Where two matches follow each other after at most one such edit, both
+their words stand one or two words apart in item and document. Every other step
+costs 2 at least, so that a score ``s`` needs ``s / 2 - 1`` such pairs, at
+different words of the item and of the document. All pairs of all items are
+indexed, frequent ones too. An alignment spans at most ``3 m - s`` words of the
+document; where a stretch of that length holds pairs enough, the item is aligned
+with the words around it.
 
 The test items are a query set against all documents: they are read in blocks of
-at most ``BLOCK_WORDS`` words, each one pass over the documents for counting and
-one for aligning. Documents are never shuffled.
+at most ``BLOCK_WORDS`` words, each one pass over the documents. Documents are
+never shuffled.
 
-Cases: null and empty texts match nothing; an item of fewer than ``SEED`` words
-is no evidence and matches nothing; repeated rows match alike, each on its own
-row; null ids are passed through; empty tables give an empty result; further
+Cases: null and empty texts match nothing; an item of fewer than ``EVIDENCE``
+words is no evidence and matches nothing; repeated rows match alike, each on its
+own row; null ids are passed through; empty tables give an empty result; further
 columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
 import string
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -32,8 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED = 3
-BLOCK_WORDS = 1 << 20  # three word numbers of a block fit 63 bits
+EVIDENCE = 3
+BLOCK_WORDS = 1 << 20
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
 SCHEMA = "doc_id string, item_id string, score double, first_word long, last_word long"
@@ -65,71 +71,85 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class Items:
-    """A block of test items: word numbers (from 1; 0 is any other word), and the n-grams with where they stand."""
+    """A block of test items: word numbers (from 1; 0 is any other word), and the pairs with where they begin.
+
+    Places count through all items of the block. A pair's places are
+    ``places[first[k]:first[k + 1]]``.
+    """
 
     ids: list[str | None]
     words: list[np.ndarray]
     number: dict[bytes, int]
-    codes: np.ndarray  # sorted, distinct
-    where: list[list[tuple[int, int]]]  # of each code: item, place
+    begin: np.ndarray  # each item's first place
+    codes: np.ndarray  # of the pairs: sorted, distinct
+    first: np.ndarray
+    places: np.ndarray
+    own: list[np.ndarray]  # each item's pairs, sorted
 
     @classmethod
     def of(cls, rows: list[tuple[str | None, str | None]]) -> Items:
         number: dict[bytes, int] = {}
         words = [np.array([number.setdefault(w, len(number) + 1) for w in words_of(text)], np.int64) for _, text in rows]
-        found = defaultdict(list)
-        for i, own in enumerate(words):
-            for place, code in enumerate(cls._grams(own, len(number) + 1)[0]):
-                found[int(code)].append((i, place))
-        codes = np.array(sorted(found), np.int64)
-        return cls([r[0] for r in rows], words, number, codes, [found[int(c)] for c in codes])
+        begin = np.cumsum([0, *map(len, words)])[:-1]
+        pairs = [cls._pairs(own, len(number) + 1) for own in words]
+        every = np.concatenate([c for c, _ in pairs])
+        places = np.concatenate([at + b for (_, at), b in zip(pairs, begin, strict=True)])
+        order = np.argsort(every, kind="stable")
+        codes, first = np.unique(every[order], return_index=True)
+        own = [np.searchsorted(codes, np.unique(c)) for c, _ in pairs]
+        return cls([r[0] for r in rows], words, number, begin, codes, np.append(first, len(every)), places[order], own)
 
     @staticmethod
-    def _grams(own: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the n-grams without an unknown word, and where they begin."""
-        if len(own) < SEED:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        runs = [own[k : len(own) - SEED + 1 + k] for k in range(SEED)]
-        at = np.flatnonzero(np.minimum.reduce(runs))
-        return reduce(lambda code, run: code * base + run[at], runs, np.zeros(len(at), np.int64)), at
+    def _pairs(own: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pairs of known words that stand one or two words apart, and where they begin."""
+        codes, begins = [], []
+        for apart in (1, 2):
+            at = np.flatnonzero((own[:-apart] > 0) & (own[apart:] > 0))
+            codes.append(own[at] * base + own[at + apart])
+            begins.append(at)
+        return np.concatenate(codes), np.concatenate(begins)
 
     def number_words(self, text: str | None) -> np.ndarray:
         words = words_of(text)
         return np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
 
-    def hits(self, own: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of ``codes`` the document holds, and where."""
-        grams, at = self._grams(own, len(self.number) + 1)
-        k = np.searchsorted(codes, grams)
-        same = codes[np.minimum(k, len(codes) - 1)] == grams if len(codes) else np.zeros(len(grams), bool)
+    def hits(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs the document holds, and where."""
+        codes, at = self._pairs(own, len(self.number) + 1)
+        if not len(self.codes):
+            return at[:0], at[:0]
+        k = np.searchsorted(self.codes, codes)
+        same = self.codes[np.minimum(k, len(self.codes) - 1)] == codes
         return k[same], at[same]
 
-    def seeds(self, counts: dict[int, int]) -> Items:
-        """Only the rarer half of each item's n-grams (all that tie with the last)."""
-        own = defaultdict(list)
-        for k, places in enumerate(self.where):
-            for i in {i for i, _ in places}:
-                own[i].append(counts.get(k, 0))
-        limit = {i: sorted(c)[(len(c) - 1) // 2] for i, c in own.items()}
-        where = [[(i, p) for i, p in places if counts.get(k, 0) <= limit[i]] for k, places in enumerate(self.where)]
-        keep = [k for k, places in enumerate(where) if places]
-        return Items(self.ids, self.words, self.number, self.codes[keep], [where[k] for k in keep])
-
-    def matches(self, own: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
+    def least(self, threshold: float) -> np.ndarray:
+        """The score from which an alignment with each item is reported."""
+        n = np.array([len(w) for w in self.words], np.int64)
+        return np.maximum(np.ceil(threshold * MATCH * n - 1e-9), MATCH * (EVIDENCE - 1) + 1).astype(np.int64)
+
+    def matches(self, own: np.ndarray, least: np.ndarray) -> list[tuple[int, float, int, int]]:
         """``(item, score, first word, last word)`` of each item the document copies: its best place."""
-        windows = defaultdict(list)
-        for k, at in zip(*self.hits(own, self.codes), strict=True):
-            for i, place in self.where[k]:
-                n = len(self.words[i])
-                windows[i].append((max(0, int(at) - place - n // 2), min(len(own), int(at) - place + n + n // 2)))
+        found, at = self.hits(own)
+        pairs = -(-least // 2) - 1
+        if len(found) < pairs.min(initial=1):
+            return []
+        seen = np.unique(found)
+        n = self.first[seen + 1] - self.first[seen]
+        places = np.unique(self.places[np.repeat(self.first[seen] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        held = np.bincount(np.searchsorted(self.begin, places, "right") - 1, minlength=len(self.words))
         out = []
-        for i, spans in windows.items():
-            item, best = self.words[i], (0, 0, 0)
-            for a, b in _merged(sorted(spans)):
+        for i in np.flatnonzero(held >= pairs).tolist():
+            item, q, best = self.words[i], int(pairs[i]), (0, 0, 0)
+            reach = 3 * len(item) - int(least[i])
+            begins = np.unique(at[np.isin(found, self.own[i])])
+            early, late = begins[: max(0, len(begins) - q + 1)], begins[q - 1 :]
+            dense = late - early < reach
+            spans = zip((late[dense] - reach).tolist(), (early[dense] + reach + 1).tolist(), strict=True)
+            for a, b in _merged([(max(0, a), min(len(own), b)) for a, b in spans]):
                 score, end = align(item, own[a:b])
                 if score > best[0]:
                     best = (score, a, a + end)
-            if best[0] >= threshold * MATCH * len(item):
+            if best[0] >= least[i]:
                 score, a, end = best
                 back = align(item[::-1], own[a:end][::-1])[1]
                 out.append((i, score / (MATCH * len(item)), end - back, end - 1))
@@ -161,36 +181,18 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Ite
         yield Items.of(rows)
 
 
-def seeded(docs: DataFrame, items: Items) -> Items:
-    """``items`` with its n-grams counted over all documents and cut down to seeds."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(items.codes), np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                total += np.bincount(items.hits(items.number_words(text), items.codes)[0], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"k": seen, "n": total[seen]})
-
-    if not len(items.codes):
-        return items
-    counted = docs.select("text").mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    return items.seeds({r.k: r.n for r in counted.collect()})  # a row per n-gram of the block at most
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, score, first_word, last_word``: a row for each document and item it holds a copy of."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("string"), "text")
     parts = []
     for block in blocks(benchmark):
-        items = seeded(docs, block)
 
-        def find(batches: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
+        def find(batches: Iterator[pd.DataFrame], items: Items = block, least: np.ndarray = block.least(threshold)) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    rows += [(doc, items.ids[i], s, a, z) for i, s, a, z in items.matches(items.number_words(text), threshold)]
+                    rows += [(doc, items.ids[i], s, a, z) for i, s, a, z in items.matches(items.number_words(text), least)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
 
         parts.append(own.mapInPandas(find, SCHEMA))
@@ -201,14 +203,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that hold no copy of a test item, with all their columns."""
 
-    def free_of(items: Items):
+    def free_of(items: Items, least: np.ndarray):
         def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                yield pd.Series([not items.matches(items.number_words(t), threshold) for t in texts], dtype="bool")
+                yield pd.Series([not items.matches(items.number_words(t), least) for t in texts], dtype="bool")
 
         free.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(free, "boolean")
 
     for block in blocks(benchmark):
-        docs = docs.where(free_of(seeded(docs, block))(F.coalesce("text", F.lit(""))))
+        docs = docs.where(free_of(block, block.least(threshold))(F.coalesce("text", F.lit(""))))
     return docs
