@@ -136,6 +136,23 @@ def test_edited_copies_equal_alignment_without_seeds(spark, beside):
     assert len(got) >= 12 * 5 + 12 * beside
 
 
+def test_passages_of_long_items(spark):
+    rng = random.Random(5)
+    items = [prose(rng, n, 5000) for n in (59, 300, 300)]
+    part = lambda i, a, n: " ".join(items[i].split()[a : a + n])
+    put = lambda text: prose(rng, 60, 5000) + " here " + text + " there " + prose(rng, 60, 5000)
+    edited = part(2, 100, 30).split()
+    edited[8], edited[20] = "changed", "words"
+    texts = [put(part(0, 10, 25)), put(part(1, 90, 120)), put(part(1, 200, 13)), put(part(1, 0, 11)), put(" ".join(edited)), put(part(2, 287, 13)) + put(part(0, 0, 10))]
+    docs, benchmark = documents(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.last_word) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert sorted(got) == [(0, 0), (1, 1), (2, 1), (4, 2), (5, 2)]
+    assert got[0, 0] == (25 / 59, 61, 85)
+    assert got[1, 1] == (0.4, 61, 180)
+    assert got[2, 1] == (13 / 300, 61, 73)
+    assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [3]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_alignment_equals_the_plain_recurrence(seed):
     rng = np.random.default_rng(seed)

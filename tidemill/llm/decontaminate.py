@@ -3,7 +3,9 @@
 Words are runs of letters and digits, lower-cased. A test item is aligned with
 the words of a document; the score is the alignment's share of the best one
 possible, and a document with ``THRESHOLD`` or more is a copy, verbatim or
-edited, of the item. At least ``EVIDENCE`` words have to match.
+edited, of the item. So is, whatever the item's length, a document whose
+alignment is worth ``PASSAGE`` words in a row: that run itself, or a longer
+passage with edits. At least ``EVIDENCE`` words have to match.
 
 Only documents that may reach the score are aligned, and none that does is
 missed: an alignment of ``m`` matches loses 1 for each word changed, put in or
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 EVIDENCE = 3
 BLOCK_WORDS = 1 << 20
 THRESHOLD = 0.5
+PASSAGE = 13
 MATCH, MISMATCH, GAP = 2, -1, 1
 SCHEMA = "doc_id string, item_id string, score double, first_word long, last_word long"
 
@@ -125,7 +128,8 @@ class Items:
     def least(self, threshold: float) -> np.ndarray:
         """The score from which an alignment with each item is reported."""
         n = np.array([len(w) for w in self.words], np.int64)
-        return np.maximum(np.ceil(threshold * MATCH * n - 1e-9), MATCH * (EVIDENCE - 1) + 1).astype(np.int64)
+        share = np.ceil(threshold * MATCH * n - 1e-9)
+        return np.maximum(np.minimum(share, MATCH * PASSAGE), MATCH * (EVIDENCE - 1) + 1).astype(np.int64)
 
     def matches(self, own: np.ndarray, least: np.ndarray) -> list[tuple[int, float, int, int]]:
         """``(item, score, first word, last word)`` of each item the document copies: its best place."""
