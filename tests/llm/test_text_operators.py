@@ -12,6 +12,7 @@ import pytest
 import corpus_pipeline
 from tidemill.llm import decontaminate, jaccard, licenses, mixing, quality, suffixes, wavelet
 from tidemill.llm.components import components
+from tidemill.llm.queries import ORACLES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score string, _words string, h string"
 
@@ -61,6 +62,59 @@ def test_licences(spark):
     assert got[n + 4].labels == "cc-by,cc-by-nc-4.0"
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License."""
+
+
+def test_standard_notices(spark):
+    duckdb = pytest.importorskip("duckdb")
+    cases = {
+        "int main() {}\nCopyright (c) 2020 Someone\n" + MIT: "mit-notice",
+        MIT.replace("and this permission notice", "and this permission notice (including the next paragraph)"): "mit-notice",
+        MIT.replace("and associated documentation files ", ""): "mit-notice",
+        MIT.replace("THE SOFTWARE IS PROVIDED", "x " * 30 + "THE SOFTWARE IS PROVIDED"): "",
+        GPL: "gpl,gpl-3.0",
+        GPL.replace("version 3", "version 2"): "gpl,gpl-2.0",
+        GPL.replace("either version 3 of the License", "version 3"): "gpl,gpl-3.0",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": "gpl,gpl-2.0",
+        "under the terms of version 2 of the GNU General Public License as published by the": "gpl,gpl-2.0",
+        GPL.replace("either version 3", "x " * 30 + "version 3"): "gpl",
+        "* " + BSD: "bsd",
+        "/* " + MPL + " */": "mpl-2.0",
+        "x = 1\n" + APACHE: "apache,apache-2.0",
+    }
+    docs = documents(spark, list(cases))
+    got = licenses.scan(docs)
+    assert [r.labels for r in got.orderBy("doc_id").collect()] == list(cases.values())
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.execute(ORACLES["op1_license_scan"])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.select(columns).collect())
+
+
 # -- quality ------------------------------------------------------------------
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(1)

@@ -7,7 +7,9 @@ looked up there; a hit at file position ``p`` for template position ``q`` says
 that the template would begin at ``p - q``. Hits of one template that agree on
 that place (within ``SLACK`` words, for edited notices) support each other, and
 every key phrase is verified word for word. Every place of a key phrase holds
-its rarest word, so the lookup misses none.
+its rarest word, so the lookup misses none. A notice whose phrases stand far
+apart, or that is in use with different words between them, has a template for
+each such distance, under one label.
 
 ``score`` is the best share of a template's key phrases verified at one place.
 A template whose score is 1 gives its label. Base labels are templates of one
@@ -20,6 +22,8 @@ the input are ignored.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,23 +40,36 @@ BASE = (
 NOTICES = (
     ("apache-2.0", ((0, "licensed under the apache license"), (5, "version 2 0"))),
     ("gpl-3.0", ((0, "gnu general public license"), (4, "version 3"))),
+    ("gpl-3.0", ((0, "gnu general public license"), (12, "version 3"))),  # as published by the free software foundation either
+    ("gpl-3.0", ((0, "version 3"), (4, "gnu general public license"))),  # of the
     ("gpl-2.0", ((0, "gnu general public license"), (4, "version 2"))),
+    ("gpl-2.0", ((0, "gnu general public license"), (12, "version 2"))),
+    ("gpl-2.0", ((0, "version 2"), (4, "gnu general public license"))),
     ("cc-by-nc-4.0", ((0, "cc by nc"), (3, "4 0"))),
     ("cc-by-sa-4.0", ((0, "cc by sa"), (3, "4 0"))),
-    ("mit-notice", ((0, "permission is hereby granted free of charge"), (60, "the software is provided as is without warranty"))),
-    ("bsd", ((0, "redistribution and use in source and binary forms"), (14, "are permitted provided that the following conditions are met"))),
+    ("mit-notice", ((0, "permission is hereby granted free of charge"), (87, "the software is provided as is without warranty"))),
+    ("bsd", ((0, "redistribution and use in source and binary forms"), (12, "are permitted provided that the following conditions are met"))),
     ("mpl-2.0", ((0, "subject to the terms of the mozilla public license"), (9, "v 2 0"))),
 )
 SLACK = 2
+DRIFT = 7  # a later phrase may stand a DRIFT-th of its distance from its place
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def forms(phrases: tuple[tuple[int, str], ...]) -> list[tuple[tuple[int, str], ...]]:
+    """The notice with its far phrases moved in steps that ``SLACK`` fills, up to a ``DRIFT``-th of their distance."""
+    step = 2 * SLACK + 1
+    most = [max(0, -(-(at // DRIFT - SLACK) // step)) for at, _ in phrases]
+    moves = product(*(range(-m, m + 1) for m in most))
+    return [tuple((at + step * k, words) for (at, words), k in zip(phrases, ks, strict=True)) for ks in moves]
+
+
 def key_phrases() -> list[dict]:
     """One row per key phrase: template, its label, the phrase's number, place and words, and how many the template has."""
     rows = []
     for t, (label, phrase) in enumerate(BASE):
         rows.append({"t": t, "label": label, "i": 0, "n": 1, "at": 0, "words": phrase.split(), "base": True})
-    for t, (label, phrases) in enumerate(NOTICES, len(BASE)):
+    for t, (label, phrases) in enumerate(((label, form) for label, phrases in NOTICES for form in forms(phrases)), len(BASE)):
         for i, (at, phrase) in enumerate(phrases):
             rows.append({"t": t, "label": label, "i": i, "n": len(phrases), "at": at, "words": phrase.split(), "base": False})
     return rows
