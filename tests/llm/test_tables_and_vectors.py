@@ -118,6 +118,17 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_one_id_on_several_vectors(spark):
+    x, y, z, u, v = np.eye(8)[:5].tolist()
+    near = lambda a: (np.array(a) + 0.1 * np.eye(8)[7]).tolist()
+    rows = [(1, x), (7, x), (3, y), (7, y), (4, z), (4, u), (9, near(z)), (8, u), (6, v), (5, near(v))]
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert {r[0]: r[2] for r in got} == {1: 1, 3: 1, 7: 1, 4: 4, 8: 4, 9: 4, 5: 5, 6: 5}
+    assert [r[1] for r in got] == [1] * 10
+    assert all(len({r[2] for r in got if r[0] == i}) == 1 for i, _ in rows)
+    assert [r[0] for r in got if r[3]] == [1, 4, 4, 5]
+
+
 def test_tables_grow_so_that_pairs_at_the_threshold_are_found():
     for n in (10, 10**4, 10**7, 10**10):
         bits, tables = embeddings.plan(n)

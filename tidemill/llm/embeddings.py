@@ -137,12 +137,19 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     """``vec_id, n_links, component_id, kept`` of every row."""
     rows = embeddings.select("vec_id", F.col("embedding").alias("vector"))
     good = rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    classes = settled(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
-    found = settled(linked_classes(classes.select("id", "copies", "vector"), threshold))
-    groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    classes = good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    classes = settled(classes.withColumn("class", F.monotonically_increasing_id()))  # two classes may have one smallest id
+    found = settled(linked_classes(classes.select(F.col("class").alias("id"), "copies", "vector"), threshold))
+    found = found.withColumnsRenamed({"id": "class"})
+    first = classes.select("class", F.col("id").alias("a"))
+    roots = classes.select(F.col("class").alias("root"), F.col("id").alias("b"))
+    near = found.select("class", "root").distinct().join(first, "class").join(roots, "root").select("a", "b")
+    again = good.groupBy("vec_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("vec_id")
+    shared = good.join(again, "vec_id", "left_semi").join(classes.select("vector", "id"), "vector").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))
+    groups = components(near.unionAll(shared))
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
     result = (
-        classes.join(links, "id", "left")
+        classes.join(links, "class", "left")
         .join(groups.withColumnRenamed("node", "id"), "id", "left")
         .select(
             "vector",
