@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontaminate, embeddings, jaccard, licenses, mixing, quality, sharding, suffixes, urls, wavelet
+from tidemill.llm import bpe, decontaminate, embeddings, jaccard, licenses, mixing, quality, sharding, spelling, suffixes, tries, urls, wavelet
 from tidemill.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,80 @@ SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule,
 def op10_url_filter(t: Tables) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     return urls.judge(t.pages)
+
+
+#: The table of the reflected CRC-32 polynomial, for ``_crc32``.
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS tab)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes; ``tab`` must be in scope."""
+    code = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce({code}, lambda a, b: xor(a >> 8, tab[CAST(xor(a, b) & 255 AS INTEGER) + 1]), 4294967295), 4294967295)"
+
+
+def _spelling_sql() -> str:
+    low = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[{spelling.LETTERS}]{{{spelling.MIN_LETTERS},}}')) AS run FROM documents),
+low AS (SELECT id, {low} AS w, count(*) AS c FROM runs GROUP BY ALL),
+checked AS (SELECT w, c, {_crc32("id || ':' || w")} AS h FROM low, crc_table),
+seen AS (SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM checked),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM seen WHERE length(word) >= {spelling.MIN_LETTERS} GROUP BY word HAVING sum(c) >= {spelling.MIN_COUNT}),
+dels AS (SELECT word, n, p, left(word, p) || substr(word, p + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM words)),
+pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM dels a JOIN dels b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, d.n, w.word, w.n FROM dels d JOIN words w ON d.rest = w.word
+  UNION SELECT w.word, w.n, d.word, d.n FROM dels d JOIN words w ON d.rest = w.word),
+best AS (SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM pairs),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {spelling.RATIO} * w.n THEN other END AS form,
+  CASE WHEN other_n >= {spelling.RATIO} * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word AND k = 1),
+chain AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN ends e ON e.word = f.word"""
+
+
+@_query(_spelling_sql())
+def op11_spelling_variants(t: Tables) -> DataFrame:
+    """Every word with the frequent word it is a variant of."""
+    return spelling.variants(t.documents)
+
+
+@_query()
+def op12_bpe_round_trip(t: Tables) -> DataFrame:
+    """Checksums of every document's ids and of the text they decode to."""
+    import public_tokenizers
+
+    return bpe.round_trips(t.documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _trie_sql() -> str:
+    heads = tries.HEADS
+    return f"""
+WITH {_CRC_TABLE},
+turns AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, octet_length(encode(coalesce(text, ''))) AS size,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - (conv_id % {tries.FAMILY} + {tries.FAMILY}) % {tries.FAMILY} AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % {heads} AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+parts AS (SELECT c.conv_id, 0 AS own, p, k, size FROM convs c JOIN turns t ON t.conv_id = c.base AND t.p < c.h
+  UNION ALL SELECT c.conv_id, 1, p, k, size FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.p >= c.h),
+beginnings AS (SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(k, '') OVER w) AS path, size FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY own, p)),
+members AS (SELECT conv_id, depth, path, lag(path, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS above, size FROM beginnings
+  UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM convs),
+sized AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS whole FROM members),
+node AS (SELECT depth, path, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = whole), '')) AS ends_sha256 FROM sized GROUP BY depth, path),
+kids AS (SELECT depth - 1 AS depth, above AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN kids USING (depth, path)),
+up AS (SELECT a.depth, a.path, x.depth AS d2, x.path AS p2 FROM sized a JOIN sized x ON x.conv_id = a.conv_id AND x.depth >= a.depth GROUP BY ALL),
+sums AS (SELECT u.depth, u.path, CAST(count(*) FILTER (f.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((f.n_convs - 1) * f.size) AS BIGINT) AS saved_tokens
+  FROM up u JOIN full_ f ON f.depth = u.d2 AND f.path = u.p2 GROUP BY ALL)
+SELECT f.conv_id, f.depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums s ON s.depth = f.depth AND s.path = f.path LEFT JOIN node a ON a.depth = f.depth - 1 AND a.path = f.above"""
+
+
+@_query(_trie_sql())
+def op13_conversation_trie(t: Tables) -> DataFrame:
+    """Every shared beginning of the rebuilt conversations."""
+    return tries.nodes(tries.shared_heads(t.conversations))
