@@ -163,7 +163,7 @@ def byte_letters() -> list[str]:
     return out
 
 
-_NEAR = "\x00-\u0239\u2010-\u2027"  # characters without composed forms; lower case of none lies outside, but for one dot
+_NEAR = "\x00-\u0239\u2010-\u2027"  # characters that no normal form changes
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _RULES = {
     "normalizer": ["NFC", ("Replace", "\\s+", " "), "Lowercase"],
@@ -210,8 +210,8 @@ class Bpe:
             self.tokens[i] = token
         self._quick = _rules(setup) == _RULES
         self._far = re.compile(f"[^{_NEAR}]")
-        near = [c for c in map(chr, range(0x3000)) if not self._far.match(c)]
-        letters, digits = (re.escape("".join(c for c in near if unicodedata.category(c)[0] == kind)) for kind in "LN")
+        # Lower case of near characters lies below U+0370, so classes reach that far.
+        letters, digits = (re.escape("".join(c for c in map(chr, range(0x370)) if unicodedata.category(c)[0] == kind)) for kind in "LN")
         self._words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\t-\\r \\x85\\xa0{letters}{digits}]+")
 
     # words are texts; their bytes are what is merged

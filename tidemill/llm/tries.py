@@ -268,31 +268,35 @@ def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         yield key, sizes, n, low, digest.hexdigest()
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forest(block_turns: int):
     """One task: its range block by block, as final nodes and the spines left open."""
-    part, spine, held, turns = TaskContext.get().partitionId(), None, [], 0
-
-    def block() -> pd.DataFrame:
-        nonlocal spine
-        forest = Block(*map(list, zip(*held, strict=True)))
-        forest.build()
-        spine = spine or Spine(forest.first)
-        for node in forest.spine:
-            spine.add(node)
-        final, spine.final = spine.final, []
-        return _frame(part, forest.rows, final, [])
-
-    for item in _distinct(batches):
-        held.append(item)
-        turns += len(item[1]) + 1
-        if turns >= BLOCK_TURNS:
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, spine, held, turns = TaskContext.get().partitionId(), None, [], 0
+
+        def block() -> pd.DataFrame:
+            nonlocal spine
+            forest = Block(*map(list, zip(*held, strict=True)))
+            forest.build()
+            spine = spine or Spine(forest.first)
+            for node in forest.spine:
+                spine.add(node)
+            final, spine.final = spine.final, []
+            return _frame(part, forest.rows, final, [])
+
+        for item in _distinct(batches):
+            held.append(item)
+            turns += len(item[1]) + 1
+            if turns >= block_turns:
+                yield block()
+                held, turns = [], 0
+        if held:
             yield block()
-            held, turns = [], 0
-    if held:
-        yield block()
-    if spine:
-        spine.close()
-        yield _frame(part, [], spine.final, spine.open)
+        if spine:
+            spine.close()
+            yield _frame(part, [], spine.final, spine.open)
+
+    return run
 
 
 def _merge_spines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,11 +312,11 @@ def _merge_spines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 # -- the trie -------------------------------------------------------------------------
-def nodes(conversations: DataFrame) -> DataFrame:
+def nodes(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """Every node of the trie of ``conversations`` (``conv_id, turns``)."""
     keys = _keys(conversations)
     dealt = keys.repartitionByRange("key").sortWithinPartitions("key", "slice")
-    found = settled(dealt.select("key", "sizes", "n", "low", "ids").mapInPandas(_forest, _ROWS))
+    found = settled(dealt.select("key", "sizes", "n", "low", "ids").mapInPandas(_forest(block_turns), _ROWS))
     open_ = found.where(~F.col("final"))
     merged = settled(open_.repartition(1).sortWithinPartitions("part", "side", "depth").mapInPandas(_merge_spines, _ROWS))
     every = found.where("final").unionAll(merged)
