@@ -12,7 +12,7 @@ from tidemill.operators import quality as Q
 from tidemill.operators import windows as W
 from tidemill.sources import records, sinks
 from tidemill.streaming import event_time as E
-from tidemill.streaming import run, stateful
+from tidemill.streaming import in_order, run, stateful
 from tidemill.streaming.patterns import stream_match_rows
 
 T0 = datetime(2024, 1, 1)
@@ -164,7 +164,7 @@ def test_stream_as_of_join_finds_versions_that_come_late(spark, tmp_path):
     p = files(spark, tmp_path / "p", probes, end)
     v = files(spark, tmp_path / "v", [], versions, [(999, 1, at(1000), 0.0)])
     with run.settings(spark, **run.state_settings("rocksdb", 2)):
-        joined = stateful.stream_as_of_join(p, v.withColumnsRenamed({"id": "vid", "k": "vk", "ts": "vts", "v": "state"}), ("k", "vk"), "ts", "vts", ["vid", "state"], "vid", 100_000)
+        joined = in_order.stream_as_of_join(p, v.withColumnsRenamed({"id": "vid", "k": "vk", "ts": "vts", "v": "state"}), ("k", "vk"), "ts", "vts", ["vid", "state"], "vid", 100_000)
         got = run.append_to(joined, str(tmp_path / "out"), timeout=300)
     want = []
     for i, k, ts, _ in probes:
@@ -205,7 +205,7 @@ def test_lag_over_rows_out_of_order_and_across_batches(spark, tmp_path, offset):
     data = [(i, rng.randint(1, 2), at(rng.randint(0, 60)), float(i)) for i in range(40)]
     s = files(spark, tmp_path / "in", data[:20], data[20:], [(900, 1, at(500), 0.0), (901, 2, at(500), 0.0)], [(902, 1, at(2000), 0.0)])
     with run.settings(spark, **run.state_settings("rocksdb", 2)):
-        lagged = stateful.stream_lag(s, "k", "ts", "id", 100_000, offset).select("id", F.col("previous.id").alias("before"))
+        lagged = in_order.stream_lag(s, "k", "ts", "id", 100_000, offset).select("id", F.col("previous.id").alias("before"))
         got = run.append_to(lagged, str(tmp_path / "out"), timeout=300).where("id < 900")
     want = []
     for k in (1, 2):

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidemill.operators import patterns as P
+from tidemill.operators import row_patterns as R
+from tidemill.operators.automaton import Ref, Test
 from tidemill.plans.catalog import query
 from tidemill.tables import Tables
 
@@ -34,7 +36,7 @@ LETTERS = """
 def match_browse_to_purchase(t: Tables):
     """Views, then clicks, then a purchase: PATTERN (A+ B+ C), one row per match."""
     kind = F.col(KIND)
-    found = P.match_rows(
+    found = R.matched_rows(
         _events(t),
         ["user_id"],
         "ts",
@@ -42,14 +44,14 @@ def match_browse_to_purchase(t: Tables):
         {"A": kind == "view", "B": kind == "click", "C": kind == "purchase"},
         ties=["event_id"],
     )
-    return P.one_row_per_match(
+    return R.one_row_per_match(
         found,
         ["user_id"],
-        session_start=P.first_of("A", "ts"),
-        purchase_time=P.first_of("C", "ts"),
-        purchase_amount=P.first_of("C", "value"),
-        views=P.count_of("A"),
-        clicks=P.count_of("B"),
+        session_start=R.first_of("A", "ts"),
+        purchase_time=R.first_of("C", "ts"),
+        purchase_amount=R.first_of("C", "value"),
+        views=R.count_of("A"),
+        clicks=R.count_of("B"),
     )
 
 
@@ -62,7 +64,7 @@ def match_browse_to_purchase(t: Tables):
 )
 def match_rising_values(t: Tables):
     """PATTERN (A B+) with B AS B.value > LAST(value): a row may satisfy both variables."""
-    found = P.match_rows(
+    found = R.matched_rows(
         _events(t),
         ["user_id"],
         "ts",
@@ -71,14 +73,14 @@ def match_rising_values(t: Tables):
         ties=["event_id"],
         lookback={"prev": lambda w: F.lag("value").over(w)},
     )
-    return P.one_row_per_match(
+    return R.one_row_per_match(
         found,
         ["user_id"],
-        start_value=P.first_of("A", "value"),
-        end_value=P.last_of("B", "value"),
-        start_time=P.first_of("A", "ts"),
-        end_time=P.last_of("B", "ts"),
-        rises=P.count_of("B"),
+        start_value=R.first_of("A", "value"),
+        end_value=R.last_of("B", "value"),
+        start_time=R.first_of("A", "ts"),
+        end_time=R.last_of("B", "ts"),
+        rises=R.count_of("B"),
     )
 
 
@@ -90,7 +92,7 @@ def match_rising_values(t: Tables):
 def match_all_rows(t: Tables):
     """Two or three errors, maybe a view, then a signup: ALL ROWS PER MATCH with CLASSIFIER."""
     kind = F.col(KIND)
-    found = P.match_rows(
+    found = R.matched_rows(
         _events(t),
         ["user_id"],
         "ts",
@@ -98,7 +100,7 @@ def match_all_rows(t: Tables):
         {"ERR": kind == "error", "LOOK": kind == "view", "SIGN": kind == "signup"},
         ties=["event_id"],
     )
-    return P.all_rows_per_match(found, "ts").select("user_id", "event_id", "match_start", "classifier")
+    return R.all_rows_per_match(found, ["user_id"], "ts").select("user_id", "event_id", "match_start", "classifier")
 
 
 @query(
@@ -127,3 +129,34 @@ def match_within_time(t: Tables):
         purchase_id=P.first_of("B", "event_id"),
         within_hour=P.last_of("B", "ts") <= P.first_of("A", "ts") + F.expr("interval 1 hour"),
     )
+
+
+PRICE_DROP = """
+    WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE value IS NOT NULL),
+         c AS (SELECT a.user_id, a.p, a.ts, a.value, min(b.p) AS q FROM e a JOIN e b ON b.user_id = a.user_id AND b.p > a.p AND b.value <= a.value - 10 GROUP BY ALL),
+         m AS (SELECT c.*, b.value AS low, b.ts AS drop_time FROM c JOIN e b ON b.user_id = c.user_id AND b.p = c.q AND b.value < c.value - 10),
+         w AS (SELECT user_id, min(p) AS p FROM m GROUP BY 1
+               UNION ALL SELECT w.user_id, min(n.p) FROM w JOIN m ON m.user_id = w.user_id AND m.p = w.p JOIN m n ON n.user_id = w.user_id AND n.p > m.q GROUP BY w.user_id)
+    SELECT user_id, m.ts AS start_time, drop_time, value - low AS drop_diff, (q - p - 1)::INTEGER AS held FROM m SEMI JOIN w USING (user_id, p)"""
+
+
+@query(PRICE_DROP)
+def match_price_drop(t: Tables):
+    """PATTERN (A B* C) with B AS B.value > A.value - 10, C AS C.value < A.value - 10: conditions on an earlier variable's row."""
+    a = Ref("A", "value")
+    found = R.matched_rows(
+        _events(t).where("value IS NOT NULL"),
+        ["user_id"],
+        "ts",
+        [("A", ""), ("B", "*"), ("C", "")],
+        {"B": Test(("value",), (a,), lambda value, a: value > a - 10), "C": Test(("value",), (a,), lambda value, a: value < a - 10)},
+        ties=["event_id"],
+    )
+    return R.one_row_per_match(
+        found,
+        ["user_id"],
+        start_time=R.first_of("A", "ts"),
+        drop_time=R.first_of("C", "ts"),
+        drop_diff=R.first_of("A", "value") - R.first_of("C", "value"),
+        held=R.count_of("B"),
+    )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import windows as W
 from tidemill.operators import patterns as P
+from tidemill.operators.automaton import Ref, Test
 from tidemill.plans.catalog import query
 from tidemill.plans.patterns import LETTERS
 from tidemill.plans.quality import VIOLATIONS, _messages, violations_of
@@ -12,6 +13,7 @@ from tidemill.plans.windows import hourly_metrics
 from tidemill.sources import records as R
 from tidemill.sources import sinks as S
 from tidemill.streaming import event_time as E
+from tidemill.streaming import in_order
 from tidemill.streaming import run
 from tidemill.streaming import stateful
 from tidemill.streaming.patterns import stream_match_rows
@@ -255,7 +257,7 @@ def stream_as_of_join(t: Tables):
         F.col("user_id").alias("u"), F.col("ts").alias("at"), F.col("event_id").alias("signup_id"), F.col("value").alias("signup_value")
     )
     with run.settings(t.spark, **run.state_settings("rocksdb")):
-        joined = stateful.stream_as_of_join(
+        joined = in_order.stream_as_of_join(
             probes, versions, ("user_id", "u"), "ts", "at", ["signup_id", "signup_value"], "signup_id", 1000
         )
         return _append(t, joined.drop("ts"), "as-of")
@@ -300,7 +302,74 @@ def stream_lag(t: Tables):
     """LAG on a stream: every event with the user's value before it."""
     events = t.stream("events").select("event_id", "user_id", "ts", "value")
     with run.settings(t.spark, **run.state_settings("rocksdb")):
-        lagged = stateful.stream_lag(events, "user_id", "ts", "event_id", 1000)
+        lagged = in_order.stream_lag(events, "user_id", "ts", "event_id", 1000)
         before = F.col("previous.value")
         out = lagged.select("event_id", before.alias("before"), (F.col("value") - before).alias("change"))
         return _append(t, out, "lag")
+
+
+FINAL = "epoch_ms({0}) + ({0} > date_trunc('millisecond', {0}))::INTEGER <= (SELECT epoch_ms(max(ts)) - 1000 FROM events)"
+
+
+@query(
+    f"""
+    WITH o AS (SELECT *, CASE WHEN value > lag(value) OVER w THEN 0 ELSE 1 END AS cut, lead(ts) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+         r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM o),
+         g AS (SELECT user_id, arg_min(value, (ts, event_id)) AS start_value, arg_max(value, (ts, event_id)) AS end_value, min(ts) AS start_time, max(ts) AS end_time,
+                 count(*) - 1 AS rises, arg_max_null(after, (ts, event_id)) AS decided FROM r GROUP BY user_id, run HAVING count(*) > 1)
+    SELECT user_id, start_value, end_value, start_time, end_time, rises FROM g WHERE {FINAL.format("decided")}"""
+)
+def stream_match_rising_values(t: Tables):
+    """PATTERN (A B+) with B AS value > LAST(value) on a stream: a run leaves with the row that ends it."""
+    events = t.stream("events").select("event_id", "user_id", "ts", "value")
+    with run.settings(t.spark, **run.state_settings("rocksdb")):
+        found = in_order.stream_match(
+            events,
+            "user_id",
+            "ts",
+            "event_id",
+            [("A", ""), ("B", "+")],
+            {"B": Test(("value",), (Ref(None, "value"),), lambda value, before: value > before)},
+            {
+                "start_value": ("first", "A", "value"),
+                "end_value": ("last", "B", "value"),
+                "start_time": ("first", "A", "ts"),
+                "end_time": ("last", "B", "ts"),
+                "rises": ("count", "B", ""),
+            },
+            1000,
+        )
+        return _append(t, found, "rising")
+
+
+@query(
+    f"""
+    WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE value IS NOT NULL AND {FINAL.format("ts")}),
+         c AS (SELECT a.user_id, a.p, a.ts, a.value, min(b.p) AS q FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.p > a.p AND b.value <= a.value - 10 GROUP BY ALL),
+         m AS (SELECT c.*, b.value AS low, b.ts AS drop_time FROM c LEFT JOIN e b ON b.user_id = c.user_id AND b.p = c.q WHERE c.q IS NULL OR b.value < c.value - 10),
+         w AS (SELECT user_id, min(p) AS p FROM m GROUP BY 1
+               UNION ALL SELECT w.user_id, min(n.p) FROM w JOIN m ON m.user_id = w.user_id AND m.p = w.p JOIN m n ON n.user_id = w.user_id AND n.p > m.q GROUP BY w.user_id)
+    SELECT user_id, m.ts AS start_time, drop_time, value AS high, low, q - p - 1 AS held FROM m SEMI JOIN w USING (user_id, p) WHERE q IS NOT NULL"""
+)
+def stream_match_price_drop(t: Tables):
+    """PATTERN (A B* C) with conditions on A's row, on a stream; an undecided start holds back the matches behind it."""
+    events = t.stream("events").select("event_id", "user_id", "ts", "value").where("value IS NOT NULL")
+    a = Ref("A", "value")
+    with run.settings(t.spark, **run.state_settings("rocksdb")):
+        found = in_order.stream_match(
+            events,
+            "user_id",
+            "ts",
+            "event_id",
+            [("A", ""), ("B", "*"), ("C", "")],
+            {"B": Test(("value",), (a,), lambda value, a: value > a - 10), "C": Test(("value",), (a,), lambda value, a: value < a - 10)},
+            {
+                "start_time": ("first", "A", "ts"),
+                "drop_time": ("first", "C", "ts"),
+                "high": ("first", "A", "value"),
+                "low": ("first", "C", "value"),
+                "held": ("count", "B", ""),
+            },
+            1000,
+        )
+        return _append(t, found, "price-drop")

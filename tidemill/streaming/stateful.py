@@ -1,4 +1,4 @@
-"""Keyed stateful operators: TTL state, late rows, as-of join on streams."""
+"""Keyed stateful operators: TTL state, late rows."""
 
 from __future__ import annotations
 
@@ -104,175 +104,3 @@ def mark_late_rows(df: DataFrame, partition: str, ts: str, offset: str, delay_ms
     return rows.groupBy("state_key").transformWithStateInPandas(
         _LateRows(delay_ms, offset, df.columns), out, "append", "None"
     )
-
-
-class _AsOf(StatefulProcessor):
-    """Versions and waiting probes of one key; a probe is answered when the watermark reaches it.
-
-    Probe and version rows are opaque JSON text here; only times are looked at.
-    """
-
-    def __init__(self, how: str):
-        self.how = how
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.versions = handle.getListState("versions", "us bigint, seq bigint, body string")
-        self.probes = handle.getListState("probes", "us bigint, body string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now_ms = timerValues.getCurrentWatermarkInMs()
-        due, news = set(), []
-        for batch in rows:
-            news += batch[batch["side"] == 0][["row_us", "seq", "body"]].values.tolist()
-            waiting = batch[batch["side"] == 1][["row_us", "body"]].values.tolist()
-            if waiting:
-                self.probes.appendList([(us, body) for us, body in waiting])
-                due.update(max(-(-us // 1000), now_ms + 1) for us, _ in waiting)
-        if news:
-            # Of versions with one time the last by sequence stays.
-            newest = {us: (us, seq, body) for us, seq, body in sorted([*self._versions(), *map(tuple, news)])}
-            self.versions.put(list(newest.values()))
-        if due:  # later probes are seen to when this one is answered
-            self.handle.registerTimer(min(due))
-        return iter(())
-
-    def _versions(self) -> list:
-        return list(self.versions.get()) if self.versions.exists() else []
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.probes.get()) if self.probes.exists() else []
-        due = [p for p in waiting if p[0] <= now_us]
-        if not due:  # answered together with an earlier timer
-            return
-        known = self._versions()
-        out, i, found = [], 0, None
-        for us, body in due:
-            while i < len(known) and known[i][0] <= us:
-                found, i = known[i][2], i + 1
-            if found is not None or self.how == "left":
-                out.append((body, found))
-        rest = waiting[len(due) :]
-        if rest:
-            self.probes.put(rest)
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
-        else:
-            self.probes.clear()
-        # Only the newest version at or before the watermark can still be asked for.
-        past = sum(v[0] <= now_us for v in known)
-        if past > 1:
-            self.versions.put(known[past - 1 :])
-        if out:
-            yield pd.DataFrame(out, columns=["probe", "version"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_as_of_join(
-    probes: DataFrame,
-    versions: DataFrame,
-    key: tuple[str, str],
-    probe_ts: str,
-    version_ts: str,
-    columns: Sequence[str],
-    sequence: str,
-    delay_ms: int,
-    how: str = "left",
-) -> DataFrame:
-    """As-of join of two streams: each probe with the version of its key valid at its time.
-
-    A probe waits until the watermark passes its time, so a version that arrives
-    late but within ``delay_ms`` is still found; versions are kept back to the
-    last one at or before the watermark. A null key has no version.
-    """
-
-    def side(df: DataFrame, n: int, k: str, ts: str, seq, body: Sequence[str]) -> DataFrame:
-        at = F.col(ts).cast("timestamp")
-        return df.select(
-            state_key(F.col(k).alias("k")).alias("key"),
-            at.alias("at"),
-            F.unix_micros(at).alias("row_us"),
-            F.lit(n).alias("side"),
-            seq.cast("long").alias("seq"),
-            F.to_json(F.struct(*body), JSON_TIMES).alias("body"),
-        )
-
-    line = side(probes, 1, key[0], probe_ts, F.lit(0), probes.columns).unionByName(
-        side(versions.where(F.col(key[1]).isNotNull()), 0, key[1], version_ts, F.col(sequence), columns)
-    )
-    answered = (
-        line.withWatermark("at", f"{delay_ms} milliseconds")
-        .groupBy("key")
-        .transformWithStateInPandas(_AsOf(how), "probe string, version string", "append", "EventTime")
-    )
-    wanted = T.StructType([versions.schema[c] for c in columns])
-    parsed = answered.select(
-        F.from_json("probe", probes.schema, JSON_TIMES).alias("p"), F.from_json("version", wanted, JSON_TIMES).alias("v")
-    )
-    return parsed.select("p.*", "v.*")
-
-
-class _Previous(StatefulProcessor):
-    """Emits rows in time order once the watermark has passed them, each with the row ``offset`` before."""
-
-    def __init__(self, offset: int):
-        self.offset = offset
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, tie bigint, body string")
-        self.last = handle.getListState("last", "body string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for batch in rows for r in batch[["row_us", "tie", "body"]].values.tolist()]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(max(-(-min(new)[0] // 1000), timerValues.getCurrentWatermarkInMs() + 1))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        bodies = [body for us, _, body in rows if us <= now_us]
-        if not bodies:  # seen to by an earlier timer
-            return
-        rest = rows[len(bodies) :]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
-        else:
-            self.waiting.clear()
-        seen = [r[0] for r in self.last.get()] if self.last.exists() else []
-        line = [None] * (self.offset - len(seen)) + seen + bodies
-        self.last.put([(b,) for b in line[-self.offset :] if b is not None])
-        yield pd.DataFrame({"body": bodies, "previous": line[: len(bodies)]})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_lag(df: DataFrame, key: str, order: str, tie: str, delay_ms: int, offset: int = 1) -> DataFrame:
-    """LAG over a stream: the columns of ``df`` and ``previous``, the row ``offset`` before it in its key.
-
-    Rows may come out of order within ``delay_ms``; each leaves when the
-    watermark has passed it. State per key: rows ahead of the watermark and the
-    last ``offset`` rows.
-    """
-    at = F.col(order).cast("timestamp")
-    rows = df.select(
-        state_key(F.col(key)).alias("key"),
-        at.alias("at"),
-        F.unix_micros(at).alias("row_us"),
-        F.col(tie).cast("long").alias("tie"),
-        F.to_json(F.struct(*df.columns), JSON_TIMES).alias("body"),
-    )
-    lagged = (
-        rows.withWatermark("at", f"{delay_ms} milliseconds")
-        .groupBy("key")
-        .transformWithStateInPandas(_Previous(offset), "body string, previous string", "append", "EventTime")
-    )
-    parsed = lagged.select(
-        F.from_json("body", df.schema, JSON_TIMES).alias("r"), F.from_json("previous", df.schema, JSON_TIMES).alias("previous")
-    )
-    return parsed.select("r.*", "previous")
