@@ -45,7 +45,7 @@ LENGTH = 50
 GRAM = 26
 SPAN = LENGTH - GRAM + 1  # grams in a window
 STRETCH = LENGTH + SPAN - 1  # a gram is picked by SPAN windows at most
-CHUNKS_PER_PARTITION = 2
+CHUNK_BYTES = 16 << 20  # of text, about, in a chunk
 BLOCK_BYTES = 1 << 20  # text that is hashed at a time
 SAMPLE_DOCS = 2000  # documents the splitters are sampled from; they decide balance alone
 NO_ID = np.iinfo(np.int64).max
@@ -148,18 +148,22 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return padded.view(">u8").astype(np.uint64)
 
 
+def _slices(rows: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """``length`` bytes of each row from its place ``at`` on."""
+    flat = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(rows).ravel(), length)
+    return flat[np.arange(len(rows)) * rows.shape[1] + at]
+
+
 def removed_windows(stretch: np.ndarray, before: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For every stretch, which of its windows also stand in a smaller document.
 
     ``stretch`` is (n, STRETCH) bytes with zeros behind; ``before`` the bytes in
     front of the gram; ``count`` the number of windows. Returns (n, SPAN) booleans.
     """
-    n = len(stretch)
-    place = np.arange(GRAM)
-    gram = _keys(stretch[np.arange(n)[:, None], before[:, None] + place])
-    shape = np.stack((before, count), 1).astype(np.uint64)
+    gram = _keys(_slices(stretch, before, GRAM))
+    shape = (before << 8 | count).astype(np.uint64)[:, None]
     order, new = multikey_order(np.concatenate((gram, shape, _keys(stretch)), 1))
-    cls = np.empty(n, np.int64)
+    cls = np.empty(len(stretch), np.int32)
     cls[order] = np.cumsum(new) - 1
     heads = order[new]
     smallest = np.full(len(heads), NO_ID)
@@ -167,22 +171,30 @@ def removed_windows(stretch: np.ndarray, before: np.ndarray, count: np.ndarray,
     # Neighbouring classes of one gram: their windows are compared one by one.
     own = gram[heads]
     same = (own[1:] == own[:-1]).all(1)
+    del gram, own, order, new
     mixed = np.zeros(len(heads), bool)
     mixed[1:] |= same
     mixed[:-1] |= same
-    windows = np.broadcast_to(smallest[:, None], (len(heads), SPAN)).copy()
+    run = np.concatenate(([0], np.cumsum(~same))).astype(np.uint64)[: len(heads)]
+    gone = np.broadcast_to(smallest[cls][:, None] < doc[:, None], (len(stretch), SPAN)) & (np.arange(SPAN) < count[:, None])
     many = np.flatnonzero(mixed)
     if len(many):
-        row = np.repeat(np.arange(len(many)), count[heads[many]])
-        shift = np.arange(len(row)) - np.repeat(np.cumsum(count[heads[many]]) - count[heads[many]], count[heads[many]])
-        text = stretch[heads[many]][row[:, None], shift[:, None] + np.arange(LENGTH)]
-        order, new = multikey_order(_keys(text))
-        group = np.empty(len(row), np.int64)
-        group[order] = np.cumsum(new) - 1
-        least = np.full(int(new.sum()), NO_ID)
-        np.minimum.at(least, group, smallest[many][row])
-        windows[many[row], shift] = least[group]
-    return (windows[cls] < doc[:, None]) & (np.arange(SPAN) < count[:, None])
+        least = np.broadcast_to(smallest[:, None], (len(heads), SPAN)).copy()
+        own, front, windows = stretch[heads[many]], before[heads[many]], count[heads[many]]
+        # Equal windows hold their gram at the same place, so each place is compared for itself.
+        for place in range(SPAN):
+            at = np.flatnonzero((front >= place) & (front - place < windows))
+            if len(at):
+                shift = front[at] - place
+                order, new = multikey_order(np.concatenate((run[many[at]][:, None], _keys(_slices(own[at], shift, LENGTH))), 1))
+                group = np.empty(len(at), np.int64)
+                group[order] = np.cumsum(new) - 1
+                first = np.full(int(new.sum()), NO_ID)
+                np.minimum.at(first, group, smallest[many[at]])
+                least[many[at], shift] = first[group]
+        rows = np.flatnonzero(mixed[cls])
+        gone[rows] = (least[cls[rows]] < doc[rows, None]) & (np.arange(SPAN) < count[rows, None])
+    return gone
 
 
 # -- packing --------------------------------------------------------------------
@@ -318,9 +330,9 @@ def _stretches(chunks: DataFrame, repeated: DataFrame, splitters: np.ndarray) ->
             text = np.concatenate([*chunk.texts, np.zeros(STRETCH, np.uint8)])
             begin = np.concatenate(([0], np.cumsum(size)[:-1]))[row] + first
             count = last - first + 1
-            stretch = text[begin[:, None] + np.arange(STRETCH)]
+            stretch = np.lib.stride_tricks.sliding_window_view(text, STRETCH)[begin]
             stretch[np.arange(STRETCH) >= (count + LENGTH - 1)[:, None]] = 0
-            lead = stretch[np.arange(len(row))[:, None], (place - first)[:, None] + np.arange(8)].copy().view(">u8").ravel().astype(np.uint64)
+            lead = _eight(text, big=True)[begin + place - first]
             columns = {
                 "stretch": stretch,
                 "before": (place - first).astype("u1"),
@@ -393,7 +405,7 @@ def _results(chunks: DataFrame, removed: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(removed.groupBy("chunk")).applyInPandas(emit, schema)
 
 
-def splitters_of(texts: DataFrame, buckets: int) -> np.ndarray:
+def splitters_of(texts: DataFrame, buckets: int, rows: int) -> np.ndarray:
     """Bucket bounds on leading bytes: quantiles over the anchors of at most about ``SAMPLE_DOCS`` documents."""
 
     def leads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -405,7 +417,7 @@ def splitters_of(texts: DataFrame, buckets: int) -> np.ndarray:
                     lead = _eight(data, big=True)[place[:: max(1, len(place) // 50)]]
                     yield pd.DataFrame({"lead": lead.view(np.int64)})
 
-    share = min(1.0, SAMPLE_DOCS / max(texts.count(), 1))
+    share = min(1.0, SAMPLE_DOCS / max(rows, 1))
     found = texts.sample(share, seed=5).select("text").mapInPandas(leads, "lead long").toPandas()["lead"]
     lead = np.sort(found.to_numpy(np.int64).view(np.uint64))
     if not len(lead):
@@ -416,10 +428,12 @@ def splitters_of(texts: DataFrame, buckets: int) -> np.ndarray:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the ``kept`` bytes of every document."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    splitters = splitters_of(texts, buckets)
-    chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(CHUNKS_PER_PARTITION * buckets)).cast("int")
+    size = texts.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_chunks = max(2 * partitions(spark), -(-size["bytes"] // CHUNK_BYTES))
+    buckets = max(partitions(spark), n_chunks // 2)
+    splitters = splitters_of(texts, buckets, size["rows"])
+    chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n_chunks)).cast("int")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))
     chunks = texts.select(F.col("doc_id").cast("string"), "text", key.alias("key"), chunk.alias("chunk"))
     repeated = _repeated(_fingerprints(chunks, buckets))
