@@ -123,3 +123,41 @@ def test_repeated_members_add_no_rows(spark):
     members = spark.createDataFrame([(1,), (1,), (None,)], "m int")
     got = J.flag_members(df, members, {"k": "m"}, "hit").collect()
     assert sorted(((r.k, r.hit) for r in got), key=str) == [(1, True), (2, False), (None, False)]
+
+
+def test_validity_join_with_open_ends_and_a_hot_key(spark):
+    rng = random.Random(8)
+    far = datetime(9999, 12, 31)
+    ranges = [(i, rng.choice([1, 1, 1, 2]), at(rng.randint(-500, 900)), rng.choice([None, far, at(rng.randint(0, 2000))])) for i in range(60)]
+    ranges += [(100, 1, datetime(1900, 1, 1), far), (101, 2, at(70), at(60)), (102, None, at(0), far)]
+    probes = [(i, rng.choice([1, 1, 2, 3, None]), rng.randint(-600, 2500)) for i in range(80)] + [(90, 1, 100)] * 2
+    left = lefts(spark, probes).unionAll(spark.createDataFrame([(99, 1, None)], lefts(spark, probes).schema))
+    table = spark.createDataFrame(ranges, "r long, rk int, s timestamp_ntz, e timestamp_ntz")
+    hits = lambda k, t: [j for j, rk, s, e in ranges if k is not None and k == rk and t is not None and e is not None and s <= t <= e]
+    rows = [(i, k, at(s)) for i, k, s in probes] + [(99, 1, None)]
+    for how in ("left", "inner"):
+        want = [(i, j) for i, k, t in rows for j in hits(k, t) or ([None] if how == "left" else [])]
+        for grain in (None, "1 second", "3 days"):
+            assert pairs(J.validity_join(left, table, {"lk": "rk"}, "lts", "s", "e", how, grain)) == sorted(want, key=str)
+
+
+def test_long_ranges_have_few_nodes_and_are_not_paired_with_all_points(spark):
+    """A thousand short ranges and a thousand points of one key: what is joined stays near what matches."""
+    ranges = spark.range(1000).select(F.col("id").alias("r"), F.lit(1).alias("rk"), F.timestamp_seconds(F.col("id") * 100).cast("timestamp_ntz").alias("s"))
+    ranges = ranges.withColumn("e", F.col("s") + F.expr("interval 150 seconds"))
+    points = spark.range(1000).select(F.col("id").alias("l"), F.lit(1).alias("lk"), F.timestamp_seconds(F.col("id") * 100 + 20).cast("timestamp_ntz").alias("lts"))
+    joined = J.validity_join(points, ranges, {"lk": "rk"}, "lts", "s", "e", "left", "10 seconds")
+    assert joined.count() == 1999
+    plan = joined._jdf.queryExecution().toString()
+    assert "_up" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_containment_moves_no_text_and_is_not_misled_by_a_run_of_all_names(spark):
+    texts = spark.createDataFrame([(i, f"the common part and name{i:04d} of it") for i in range(300)], "l long, t string")
+    names = spark.createDataFrame([(i, f"common part and name{i:04d}") for i in range(300)], "r long, n string")
+    got = J.contains_join(texts, names, "t", "n", gram=6)
+    assert pairs(got) == sorted([(i, i) for i in range(300)], key=str)
+    index = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(array_distinct(transform" in line]
+    assert index and all("[t#" not in line.split("explode")[0] for line in index)
+    for line in index:  # the exploded rows hold a checksum and a run
+        assert "outer" not in line and "t#" not in line.split("]")[-1]

@@ -1,10 +1,13 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tidemill.operators import frames
 from tidemill.operators import windows as W
+from tidemill.operators.ordered import Skew
 
 T0 = datetime(2024, 1, 1)
 
@@ -109,3 +112,83 @@ def test_empty_input(spark):
 def test_null_key_is_a_group(spark):
     got = W.session_panes(frame(spark, (None, 0, 1), (None, 5, 2)), "ts", "10 seconds", ["k"], aggs())
     assert out(got, "k", "n") == [(None, 2)]
+
+
+def test_intervals_are_read_without_spark():
+    assert W.micros_of("1 hour 30 minutes") == 5_400_000_000 and W.micros_of("2 DAYS") == 2 * W.micros_of("24 hours")
+    for bad in ("1 month", "soon", "", "1 hour and a bit"):
+        with pytest.raises(ValueError):
+            W.micros_of(bad)
+
+
+@pytest.mark.parametrize(("size", "slide"), [("60 seconds", "10 seconds"), ("10 seconds", "4 seconds"), ("20 seconds", "20 seconds")])
+def test_distinct_counts_over_hops_equal_the_expansion(spark, size, slide):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), T0 + timedelta(seconds=rng.randint(-300, 300)), rng.choice([1.0, 2.0, 3.0, None])) for _ in range(200)]
+    df = spark.createDataFrame([*rows, ("z", T0, None), ("a", None, 5.0)], "k string, ts timestamp_ntz, v double")
+    plain = W.hop_agg(df, "ts", size, slide, ["k"], F.count_distinct("v").alias("n"))
+    gaps = W.hop_distinct(df, "ts", size, slide, ["k"], "v", "n")
+    cols = ("k", "window_start", "window_end", "n")
+    key = lambda r: str(r)
+    assert sorted(map(tuple, gaps.select(*cols).collect()), key=key) == sorted(map(tuple, plain.select(*cols).collect()), key=key)
+    assert "Expand" not in gaps._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hop_panes_with_nulls_and_gaps(spark):
+    rows = [(None, T0 + timedelta(seconds=s), v) for s, v in ((0, 1.0), (500, None), (505, 2.0), (-70, 3.0))] + [("a", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    plain = W.hop_agg(df, "ts", "60 seconds", "10 seconds", ["k"], F.count("*").alias("n"), F.sum("v").alias("total"))
+    cols = ("window_start", "window_end", "n", "total")
+    assert out(W.hop_panes(df, "ts", "60 seconds", "10 seconds", ["k"], aggs()), *cols) == out(plain, *cols)
+
+
+def test_sessions_for_any_aggregate(spark):
+    rng = random.Random(2)
+    df = frame(spark, *[(rng.choice("aab"), rng.randint(0, 4000), rng.randint(0, 4)) for _ in range(300)]).unionAll(
+        spark.createDataFrame([(None, T0, 1.0), (None, at(5), 1.0), ("a", None, 9.0)], "k string, ts timestamp_ntz, v double")
+    )
+    native = W.session_agg(df.where("ts is not null"), "ts", "20 seconds", ["k"], F.count_distinct("v").alias("kinds"), F.count("*").alias("n"))
+    rows = W.session(df, "ts", "20 seconds", ["k"]).groupBy("k", "window_start", "window_end").agg(F.count_distinct("v").alias("kinds"), F.count("*").alias("n"))
+    cols = ("k", "window_start", "window_end", "kinds", "n")
+    assert sorted(map(tuple, rows.select(*cols).collect()), key=str) == sorted(map(tuple, native.select(*cols).collect()), key=str)
+
+
+def _framed(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+
+
+FRAME_AGGS = {"s": ("sum", "v"), "n": ("count", "v"), "lo": ("min", "v"), "hi": ("max", "v")}
+
+
+@pytest.mark.parametrize("pieces", [1, 3, 16])
+@pytest.mark.parametrize("seconds", [0, 1, 7, 60, 10_000])
+def test_range_frames_equal_the_plain_frame(spark, seconds, pieces):
+    rng = random.Random(seconds)
+    rows = [(i, rng.choice(["a", "a", None]), None if rng.random() < 0.05 else at(rng.randint(-100, 300)), rng.choice([None, 1.0, 2.5, -4.0])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, v double")
+    aggs = {name: (kind, F.col(c)) for name, (kind, c) in FRAME_AGGS.items()}
+    got = frames.range_frame(df, ["k"], "ts", f"{seconds} seconds", aggs, pieces)
+    over = f"over (partition by k order by ts range between interval '{seconds}' second preceding and current row)"
+    want = df.select("id", *[F.expr(f"{kind}(v) {over}").alias(name) for name, (kind, _) in FRAME_AGGS.items()])
+    assert _framed(got, "id", "s", "n", "lo", "hi") == _framed(want, "id", "s", "n", "lo", "hi")
+
+
+@pytest.mark.parametrize("rows_back", [0, 1, 5, 40, 1000])
+def test_long_row_frames_equal_the_plain_frame(spark, rows_back):
+    rng = random.Random(rows_back)
+    rows = [(i, rng.choice(["a", "a", None]), at(rng.randint(0, 50)), rng.choice([None, 1.0, 2.5, -4.0])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, v double")
+    aggs = {name: (kind, F.col(c)) for name, (kind, c) in FRAME_AGGS.items()}
+    want = df.select("id", *[F.expr(f"{k}(v) over (partition by k order by ts, id rows between {rows_back} preceding and current row)").alias(n) for n, (k, _) in FRAME_AGGS.items()])
+    for skew in (Skew(), Skew(share=0.01, min_rows=10, oversplit=2, min_bytes=0)):
+        got = frames.row_frame(df, ["k"], "ts", rows_back, aggs, ties=["id"], pieces=4, skew=skew)
+        assert _framed(got, "id", "s", "n", "lo", "hi") == _framed(want, "id", "s", "n", "lo", "hi")
+
+
+def test_a_frame_deals_one_key_by_time(spark):
+    df = spark.range(4000).select(F.lit("a").alias("k"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.col("id").cast("double").alias("v"))
+    plan = frames.range_frame(df, ["k"], "ts", "1000 seconds", {"s": ("sum", F.col("v"))})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(k#") >= 1 and "_in#" in plan
+    for line in plan.splitlines():  # only rows per bucket are ever dealt by key alone
+        if "Exchange hashpartitioning(k#" in line and "_in#" not in line and "_b#" not in line:
+            assert line.split("hashpartitioning(")[1].count("#") == 1

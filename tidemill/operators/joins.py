@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.operators.ordered import DEFAULT_SKEW, Ordered, Skew
+from tidemill.operators.sizes import settle
+from tidemill.operators.windows import micros_of
 
 KeyPairs = Mapping[str, str]  # left column -> right column
 
@@ -147,49 +149,85 @@ def validity_join(
     start: str,
     end: str,
     how: str = "left",
-    bucket: str | None = None,
+    grain: str | None = None,
 ) -> DataFrame:
     """Rows whose time lies in ``[start, end]`` of a range with the same key; several may match.
 
-    With ``bucket`` the ranges are cut into time buckets of that width, which
-    then join the equi key and spread a hot key; use a width near the usual
-    range length, since a range is copied once per bucket it touches.
+    Time is a binary tree over pieces of about ``grain``. A range is covered by the
+    fewest whole nodes, at most two a level, however long it is (one that ends in
+    9999 has some fifty). A point looks up the nodes above it on the levels that
+    ranges use; exactly one of a range's nodes is above it, so node and key make
+    an equi-join without doubled pairs, which spreads a hot key over its time.
+    The exact times decide last. Only the distinct points (key and time) are
+    copied to the levels; ``left`` itself is joined once with what they found, so
+    ``how`` may be any join. The grain, an hour unless given, is best below the
+    usual range.
     """
-    cond = F.col(left_ts).between(F.col(start), F.col(end))
-    for lk, rk in keys.items():
-        cond = cond & (left[lk] == ranges[rk])
-    if not bucket:
-        return left.join(ranges, cond, how)
-    width = _width(bucket)
-    cut = ranges.withColumn("_lo", _micros(F.col(start))).withColumn("_hi", _micros(F.col(end)))
-    cut = cut.withColumn("_w", width).withColumn("_rb", F.explode(F.expr("sequence(_lo div _w, _hi div _w)")))
-    probe = left.withColumn("_us", _micros(F.col(left_ts))).withColumn("_w2", width)
-    probe = probe.withColumn("_lb", F.expr("_us div _w2"))
-    out = probe.join(cut, cond & (F.col("_lb") == F.col("_rb")), how)
-    return out.drop("_lo", "_hi", "_w", "_rb", "_us", "_w2", "_lb")
+    names = list(keys)
+    bits = micros_of(grain or "1 hour").bit_length() - 1  # pieces of a power of two, at most the grain
+
+    def piece(ts: str) -> Column:
+        return F.shiftright(_micros(F.col(ts)), bits)
+
+    first, behind = piece(start), piece(end) + 1
+    levels = F.sequence(F.lit(0), F.lit(62))
+    half = lambda x, k: F.call_function("shiftright", x, k)
+
+    def nodes(k: Column) -> Column:
+        # What is left of the range on a level begins and ends between whole nodes; an odd end belongs to this level.
+        low, high = -half(-first, k), half(behind, k)
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        node = lambda at: F.struct(k.alias("level"), at.alias("at"))
+        return F.when(low < high, F.array(F.when(odd(low), node(low)), F.when(odd(high), node(high - 1))))
+
+    cover = F.filter(F.flatten(F.filter(F.transform(levels, nodes), lambda x: x.isNotNull())), lambda x: x.isNotNull())
+    covered = ranges.where(F.col(start) <= F.col(end)).withColumn("_node", F.explode(cover))
+    used = covered.agg(F.collect_set("_node.level")).scalar()  # at most 63 numbers
+    point = {f"_p{i}": k for i, k in enumerate(names)}
+    points = left.select(*[F.col(k).alias(p) for p, k in point.items()], F.col(left_ts).alias("_at")).distinct()
+    points = points.where(F.col("_at").isNotNull()).withColumn("_level", F.explode(used))
+    points = points.withColumn("_up", F.struct(F.col("_level").alias("level"), half(piece("_at"), F.col("_level")).alias("at")))
+    same = F.col("_up") == F.col("_node")
+    for p, k in point.items():
+        same = same & (points[p] == covered[keys[k]])
+    hits = points.join(covered, same & F.col("_at").between(F.col(start), F.col(end))).drop("_up", "_level", "_node")
+    back = left[left_ts] == hits["_at"]
+    for p, k in point.items():
+        back = back & (left[k] == hits[p])
+    return left.join(hits, back, how).drop("_at", *point)
 
 
 def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 4) -> DataFrame:
     """``text LIKE '%' || name || '%'`` with the name taken literally, without comparing all pairs.
 
-    Each name is found by its first ``gram`` characters (all of it when
-    shorter); a text offers each distinct run of up to ``gram`` characters it
-    holds. The equi-join on those runs yields candidates, and ``contains``
-    decides. Empty names, which every text contains, are not matched.
+    An inverted index: every run of ``gram`` characters that some name holds
+    (all of a shorter name) points to the texts that hold it. Each name is looked
+    up by its rarest run, so a run that all names share decides nothing. What is
+    exploded and shuffled is a text's checksum and its runs, never the text;
+    texts are joined back to the candidates, and ``contains`` decides. Empty
+    names, which every text contains, are not matched.
     """
-    anchors = names.where(F.length(name) > 0).withColumn("_gram", F.substring(name, 1, gram))
-    # The run lengths in use, at most ``gram`` numbers.
-    lengths = anchors.agg(F.collect_set(F.length("_gram"))).scalar()
+    size = F.least(F.length("_name"), F.lit(gram))
+    held = F.transform(F.sequence(F.lit(1), F.length("_name") - size + 1), lambda i: F.substr(F.col("_name"), i, size))
+    usable = names.where(F.length(name) > 0)
+    runs = usable.select(F.col(name).alias("_name")).distinct().select("_name", F.explode(F.array_distinct(held)).alias("_gram"))
+    lengths = runs.agg(F.collect_set(F.length("_gram"))).scalar()  # at most ``gram`` numbers
     last = F.length(text) - F.col("_n") + 1
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(text), i, F.col("_n")))
-    # A list of names under the broadcast threshold is joined without moving the texts.
-    offered = (
-        texts.withColumn("_n", F.explode(lengths))
+    offered = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(text), i, F.col("_n")))
+    index = (
+        texts.select(F.xxhash64(text).alias("_id"), text, F.explode(lengths).alias("_n"))
         .where(F.length(text) >= F.col("_n"))
-        .withColumn("_gram", F.explode(F.array_distinct(runs)))
-        .drop("_n")
+        .select("_id", F.explode(F.array_distinct(offered)).alias("_gram"))
+        .join(runs.select("_gram").distinct(), "_gram", "left_semi")
+        .distinct()
     )
-    return offered.join(anchors, "_gram").where(F.contains(F.col(text), F.col(name))).drop("_gram")
+    index = settle(index)  # counted, then looked up
+    counts = index.groupBy("_gram").agg(F.count("*").alias("_texts"))
+    rarest = runs.join(counts, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_r"))
+    looked_up = rarest.where(F.col("_r.n") > 0).select("_name", F.col("_r.g").alias("_gram"))
+    found = index.join(looked_up, "_gram").select("_id", "_name").distinct()
+    candidates = texts.join(found, F.xxhash64(text) == F.col("_id")).where(F.contains(F.col(text), F.col("_name")))
+    return candidates.join(usable, F.col("_name") == F.col(name)).drop("_id", "_name")
 
 
 def reconcile(

@@ -12,9 +12,10 @@ Pane forms take ``aggs`` as ``{name: (partial, merge)}``, for example
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Aggs = Mapping[str, tuple[Column, Callable[[Column], Column]]]
@@ -24,14 +25,31 @@ def _interval(text: str) -> Column:
     return F.expr(f"interval {text}")
 
 
-def _micros(spark: SparkSession, text: str) -> int:
-    """The length of an interval of days or less."""
-    return spark.sql(f"SELECT unix_micros(timestamp_micros(0L) + interval {text})").first()[0]
+#: Microseconds of the units an interval text may use here.
+_UNITS = {
+    "microsecond": 1,
+    "millisecond": 1_000,
+    "second": 1_000_000,
+    "minute": 60_000_000,
+    "hour": 3_600_000_000,
+    "day": 86_400_000_000,
+    "week": 604_800_000_000,
+}
 
 
-def _check_steps(df: DataFrame, step: str, size: str) -> None:
-    spark = df.sparkSession
-    if _micros(spark, step) <= 0 or _micros(spark, size) % _micros(spark, step):
+def micros_of(text: str) -> int:
+    """The length of an interval like ``1 hour 30 minutes`` of units with a fixed length."""
+    parts = re.findall(r"(-?\d+)\s*([A-Za-z]+)", text)
+    if not parts or re.sub(r"(-?\d+)\s*([A-Za-z]+)", "", text).strip():
+        raise ValueError(f"not an interval: {text!r}")
+    try:
+        return sum(int(n) * _UNITS[unit.lower().removesuffix("s")] for n, unit in parts)
+    except KeyError as error:
+        raise ValueError(f"a unit without a fixed length in {text!r}") from error
+
+
+def _check_steps(step: str, size: str) -> None:
+    if micros_of(step) <= 0 or micros_of(size) % micros_of(step):
         raise ValueError(f"the size of cumulating windows ({size}) must be a multiple of their step ({step})")
 
 
@@ -62,7 +80,7 @@ def cumulate(df: DataFrame, ts: str, step: str, size: str) -> DataFrame:
     Every window from the first step with data is present per row, so grouping
     by the bounds gives the same windows as ``cumulate_panes``.
     """
-    _check_steps(df, step, size)
+    _check_steps(step, size)
     outer, pane = F.window(ts, size), F.window(ts, step)
     return (
         df.withColumn("_o", outer)
@@ -97,22 +115,92 @@ def hop_agg(df: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str |
     )
 
 
+def floor_div(x: Column, width: int) -> Column:
+    """``x`` divided by ``width`` and rounded down, exact for any 64-bit number that is not near its limits."""
+    return F.round((x - F.pmod(x, F.lit(width))) / width).cast("long")  # whole, whatever the rounding of the quotient
+
+
+def _pane(ts: str, width: int) -> Column:
+    """The number of the pane a time lies in, counted from the epoch."""
+    return floor_div(F.unix_micros(F.col(ts).cast("timestamp")), width)
+
+
+class _Hops:
+    """Hopping windows as numbers: window ``j`` starts at ``j`` slides and holds the panes from ``first`` to ``last``."""
+
+    def __init__(self, size: str, slide: str):
+        self.size, self.slide = micros_of(size), micros_of(slide)
+        if self.size <= 0 or self.slide <= 0:
+            raise ValueError("size and slide must be positive")
+        self.width = math.gcd(self.size, self.slide)
+        self.panes = self.size // self.width  # in a window
+        self.step = self.slide // self.width  # panes from a window to the next
+
+    def earliest(self, pane: Column) -> Column:
+        """The first window that holds a pane."""
+        return F.floor((pane - self.panes) / self.step) + 1
+
+    def latest(self, pane: Column) -> Column:
+        return F.floor(pane / self.step)
+
+    def bounds(self, j: Column, kind) -> list[Column]:
+        start = F.timestamp_micros(j * self.slide).cast(kind)
+        return [start.alias("window_start"), F.timestamp_micros(j * self.slide + self.size).cast(kind).alias("window_end")]
+
+
 def hop_panes(df: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str], aggs: Aggs) -> DataFrame:
     """Hopping windows from panes that divide both ``size`` and ``slide``.
 
-    Rows are reduced to panes first, and only panes are copied ``size/slide``
-    times. Use it for large ratios and mergeable aggregates.
+    Rows are reduced to panes, combined before the shuffle. Panes are then shuffled
+    by key once, as they are: each adds the windows that no earlier pane of its
+    key opened, as one row each, and a window row takes the panes of its range
+    in a frame over pane numbers. Use it for mergeable aggregates.
     """
-    width = math.gcd(_micros(df.sparkSession, size), _micros(df.sparkSession, slide))
+    hops = _Hops(size, slide)
+    df.select(F.window(ts, size, slide))  # Spark's own rules for the two
     panes = (
-        df.groupBy(F.window(ts, f"{width} microseconds").alias("_p"), *keys)
+        df.where(F.col(ts).isNotNull())
+        .groupBy(_pane(ts, hops.width).alias("_pane"), *keys)
         .agg(*[partial.alias(name) for name, (partial, _) in aggs.items()])
-        .withColumn("_start", F.col("_p.start"))
-        .drop("_p")
-    )
-    return hop_agg(
-        panes, "_start", size, slide, keys, *[merge(F.col(name)).alias(name) for name, (_, merge) in aggs.items()]
     )
+    by_pane = Window.partitionBy(*keys).orderBy("_pane")
+    pane, seen = F.col("_pane"), F.lag(hops.latest(F.col("_pane"))).over(by_pane)
+    opened = F.greatest(hops.earliest(pane), seen + 1)
+    opens = F.when(opened <= hops.latest(pane), F.sequence(opened, hops.latest(pane)))
+    # A pane itself (null) and the windows it opens, each at its last pane.
+    lines = panes.withColumn("_opens", F.coalesce(opens, F.array().cast("array<bigint>")))
+    lines = lines.withColumn("_j", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("_opens"))))
+    at = F.coalesce(F.col("_j") * hops.step + (hops.panes - 1), pane)
+    frame = Window.partitionBy(*keys).orderBy("_last").rangeBetween(-(hops.panes - 1), 0)
+    only = {name: F.when(F.col("_j").isNull(), F.col(name)) for name in aggs}
+    merged = lines.withColumn("_last", at).select(*keys, "_j", *[merge(only[name]).over(frame).alias(name) for name, (_, merge) in aggs.items()])
+    return merged.where(F.col("_j").isNotNull()).select(*keys, *aggs, *hops.bounds(F.col("_j"), df.schema[ts].dataType))
+
+
+def hop_distinct(df: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Exact ``COUNT(DISTINCT value)`` in hopping windows, without a copy of a row for each window.
+
+    A value counts in a window once, whatever its occurrences, so only the gaps
+    between its panes matter: an occurrence adds the value to the windows after
+    the last one that an earlier occurrence reached. These are runs of windows,
+    noted as +1 at their first and -1 behind their last; running sums over the
+    notes of a key are the counts. A null value makes a window but counts nothing.
+    """
+    hops = _Hops(size, slide)
+    df.select(F.window(ts, size, slide))
+    seen = df.where(F.col(ts).isNotNull()).select(*keys, F.col(value).alias("_v"), _pane(ts, hops.width).alias("_pane")).distinct()
+    pane = F.col("_pane")
+    reached = F.lag(hops.latest(pane)).over(Window.partitionBy(*keys, "_v").orderBy("_pane"))
+    first, last = F.greatest(hops.earliest(pane), reached + 1), hops.latest(pane)
+    gains = seen.select(*keys, F.col("_v").isNotNull().cast("long").alias("_one"), first.alias("_from"), last.alias("_to")).where(F.col("_from") <= F.col("_to"))
+    note = lambda j, sign: F.struct(j.alias("j"), F.lit(sign).cast("long").alias("any"), (F.col("_one") * sign).alias("some"))
+    notes = gains.select(*keys, F.explode(F.array(note(F.col("_from"), 1), note(F.col("_to") + 1, -1))).alias("_n")).select(*keys, "_n.*")
+    sums = notes.groupBy(*keys, "j").agg(F.sum("any").alias("any"), F.sum("some").alias("some"))
+    by_window = Window.partitionBy(*keys).orderBy("j")
+    so_far = by_window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = sums.select(*keys, "j", F.lead("j").over(by_window).alias("_next"), F.sum("any").over(so_far).alias("_any"), F.sum("some").over(so_far).alias(name))
+    windows = runs.where(F.col("_any") > 0).withColumn("_j", F.explode(F.sequence(F.col("j"), F.col("_next") - 1)))
+    return windows.select(*keys, name, *hops.bounds(F.col("_j"), df.schema[ts].dataType))
 
 
 def session_agg(df: DataFrame, ts: str, gap: str, keys: Sequence[str | Column], *aggs: Column) -> DataFrame:
@@ -126,6 +214,14 @@ def session_agg(df: DataFrame, ts: str, gap: str, keys: Sequence[str | Column],
     )
 
 
+def _session_panes(df: DataFrame, ts: str, gap: str, keys: Sequence[str], *aggs: Column) -> DataFrame:
+    """Panes as wide as the gap (``_pane``), with the number of their session in the key (``_session``)."""
+    panes = df.where(F.col(ts).isNotNull()).groupBy(_pane(ts, micros_of(gap)).alias("_pane"), *keys).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), *aggs)
+    by_time = Window.partitionBy(*keys).orderBy("_first")
+    opens = F.col("_first") > F.lag("_last").over(by_time) + _interval(gap)
+    return panes.withColumn("_opens", F.coalesce(opens, F.lit(True)).cast("int")).withColumn("_session", F.sum("_opens").over(by_time))
+
+
 def session_panes(df: DataFrame, ts: str, gap: str, keys: Sequence[str], aggs: Aggs) -> DataFrame:
     """Session windows built from panes as wide as the gap (batch, mergeable aggregates).
 
@@ -134,21 +230,9 @@ def session_panes(df: DataFrame, ts: str, gap: str, keys: Sequence[str], aggs: A
     per pane, so a key holding a third of all rows costs its time range divided
     by the gap, not its row count. Rows exactly one gap apart share a session.
     """
-    panes = (
-        df.groupBy(F.window(ts, gap).alias("_p"), *keys)
-        .agg(
-            F.min(ts).alias("_first"),
-            F.max(ts).alias("_last"),
-            *[partial.alias(name) for name, (partial, _) in aggs.items()],
-        )
-        .drop("_p")
-    )
-    by_time = Window.partitionBy(*keys).orderBy("_first")
-    opens = F.col("_first") > F.lag("_last").over(by_time) + _interval(gap)
+    panes = _session_panes(df, ts, gap, keys, *[partial.alias(name) for name, (partial, _) in aggs.items()])
     return (
-        panes.withColumn("_opens", F.coalesce(opens, F.lit(True)).cast("int"))
-        .withColumn("_session", F.sum("_opens").over(by_time))
-        .groupBy(*keys, "_session")
+        panes.groupBy(*keys, "_session")
         .agg(
             F.min("_first").alias("window_start"),
             (F.max("_last") + _interval(gap)).alias("window_end"),
@@ -158,6 +242,27 @@ def session_panes(df: DataFrame, ts: str, gap: str, keys: Sequence[str], aggs: A
     )
 
 
+def session(df: DataFrame, ts: str, gap: str, keys: Sequence[str]) -> DataFrame:
+    """Every row with the bounds of its session, for any aggregate (batch).
+
+    Sessions are found on panes (see ``session_panes``); a row meets its session
+    by key and pane, so no task sorts the rows of a key. Rows without a time
+    belong to no session and are left out.
+    """
+    whole = Window.partitionBy(*keys, "_session")
+    found = _session_panes(df, ts, gap, keys).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_pane").alias("_k__pane"),
+        F.min("_first").over(whole).alias("window_start"),
+        (F.max("_last").over(whole) + _interval(gap)).alias("window_end"),
+    )
+    rows = df.withColumn("_pane", _pane(ts, micros_of(gap)))
+    same = F.col("_pane") == F.col("_k__pane")
+    for k in keys:
+        same = same & rows[k].eqNullSafe(found[f"_k_{k}"])
+    return rows.join(found, same).drop("_pane", "_k__pane", *[f"_k_{k}" for k in keys])
+
+
 def cumulate_panes(df: DataFrame, ts: str, step: str, size: str, keys: Sequence[str], aggs: Aggs) -> DataFrame:
     """Cumulating windows from panes of one step.
 
@@ -165,7 +270,7 @@ def cumulate_panes(df: DataFrame, ts: str, step: str, size: str, keys: Sequence[
     holds ``size/step`` panes at most. A step without new rows repeats the last
     result, so a window is reported at every step from the first one with data.
     """
-    _check_steps(df, step, size)
+    _check_steps(step, size)
     panes = (
         df.withColumn("_p", F.window(ts, step))
         .withColumn("_o", F.window(ts, size))

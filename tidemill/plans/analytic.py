@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.cdc import earliest_per_key
+from tidemill.operators.frames import range_frame, row_frame
 from tidemill.operators.ordered import Ordered
 from tidemill.plans.catalog import query
 from tidemill.tables import Tables
@@ -117,15 +118,24 @@ def moving_aggregates(t: Tables):
     FROM events"""
 )
 def time_range_frame(t: Tables):
-    """A frame of the last 24 hours. Day buckets joined to the key bound a partition to two days of a key."""
+    """A frame of the last 24 hours, dealt by key and hour and a half."""
     events = t.events.select("event_id", "user_id", "ts", "value")
-    day = F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date"))
-    # A row is summed over in its own day and, as history only, in the next one.
-    copies = events.withColumn("_day", F.explode(F.array(day, day + 1))).withColumn("_own", F.col("_day") == day)
-    total = F.expr(
-        "sum(value) OVER (PARTITION BY user_id, _day ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW)"
-    )
-    return copies.select("event_id", "_own", F.round(total, 2).alias("day_total")).where("_own").drop("_own")
+    out = range_frame(events, ["user_id"], "ts", "1 day", {"day_total": ("sum", F.col("value"))})
+    return out.select("event_id", F.round("day_total", 2).alias("day_total"))
+
+
+@query(
+    """
+    SELECT event_id, max(value) OVER w AS high, min(value) OVER w AS low, count(value) OVER w AS n, round(sum(value) OVER w, 2) AS total
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 500 PRECEDING AND CURRENT ROW)"""
+)
+def long_row_frame(t: Tables):
+    """Frames of 501 rows over six keys, each dealt by position."""
+    v = F.col("value")
+    events = t.events.select("event_id", "event_type", "ts", "value")
+    aggs = {"high": ("max", v), "low": ("min", v), "n": ("count", v), "total": ("sum", v)}
+    out = row_frame(events, ["event_type"], "ts", 500, aggs, ties=["event_id"])
+    return out.select("event_id", "high", "low", "n", F.round("total", 2).alias("total"))
 
 
 @query("SELECT user_id, event_type, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(value, (ts, event_id)) AS value FROM events GROUP BY ALL")

@@ -242,12 +242,12 @@ VALIDITY = """
       ON l_suppkey = o_custkey AND l_shipdate >= s AND l_shipdate <= e"""
 
 
-def _validity(t: Tables, bucket=None):
+def _validity(t: Tables, grain="1 day"):
     ranges = t.orders.select(
         "o_orderkey", "o_custkey", F.col("o_orderdate").alias("s"), (F.col("o_orderdate") + F.expr("interval 90 days")).alias("e")
     )
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
-    out = J.validity_join(lines, ranges, {"l_suppkey": "o_custkey"}, "l_shipdate", "s", "e", "left", bucket)
+    out = J.validity_join(lines, ranges, {"l_suppkey": "o_custkey"}, "l_shipdate", "s", "e", "left", grain)
     return out.select("l_orderkey", "l_linenumber", "o_orderkey")
 
 
@@ -259,8 +259,8 @@ def validity_range_join(t: Tables):
 
 @query(VALIDITY)
 def validity_range_join_bucketed(t: Tables):
-    """The same with the ranges cut into buckets that join the equi key."""
-    return _validity(t, "90 days")
+    """The same over a tree of coarse pieces, where the exact times decide more."""
+    return _validity(t, "60 days")
 
 
 @query(

@@ -94,8 +94,8 @@ def hop_from_panes(t: Tables):
     GROUP BY ALL"""
 )
 def hop_distinct_users(t: Tables):
-    """Exact distinct counts in hopping windows need the plain expansion."""
-    return W.hop_agg(t.events, "ts", "2 hours", "1 hour", ["event_type"], F.count_distinct("user_id").alias("users"))
+    """Exact distinct counts in hopping windows, from the gaps between a value's panes."""
+    return W.hop_distinct(t.events, "ts", "2 hours", "1 hour", ["event_type"], "user_id", "users")
 
 
 SESSIONS = """
@@ -109,12 +109,8 @@ SESSIONS = """
 
 @query(SESSIONS.format(more=", count(DISTINCT event_type) AS kinds"))
 def session_windows(t: Tables):
-    """Session windows of users with a gap of 2 hours."""
-    return W.session_agg(
-        t.events,
-        "ts",
-        "2 hours",
-        ["user_id"],
+    """Session windows of users with a gap of 2 hours, with an aggregate that does not merge."""
+    return W.session(t.events, "ts", "2 hours", ["user_id"]).groupBy("user_id", "window_start", "window_end").agg(
         F.count("*").alias("n"),
         F.round(F.sum("value"), 2).alias("total"),
         F.count_distinct("event_type").alias("kinds"),
