@@ -248,14 +248,14 @@ def reconcile(
     cond = F.lit(True)
     for k in keys:
         cond = cond & (F.col(f"_a_{k}") == F.col(f"_b_{k}"))
-    status = F.when(F.col("_in_b").isNull(), "MISSING_IN_NEW").when(F.col("_in_a").isNull(), "MISSING_IN_LEGACY")
+    status = F.when(F.col("_in_b").isNull(), "only in legacy").when(F.col("_in_a").isNull(), "only in current")
     for c, label in compare.items():
         status = status.when(~F.col(f"legacy_{c}").eqNullSafe(F.col(f"current_{c}")), label)
     return a.join(b, cond, "full").select(
         *[F.coalesce(f"_a_{k}", f"_b_{k}").alias(k) for k in keys],
         *[f"legacy_{c}" for c in compare],
         *[f"current_{c}" for c in compare],
-        status.otherwise("MATCH").alias("status"),
+        status.otherwise("same").alias("status"),
     )
 
 

@@ -310,8 +310,8 @@ RECONCILE = """
     WITH l AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 11 <> 0),
          n AS (SELECT o_orderkey, o_custkey + (o_orderkey % 13 = 0)::INTEGER AS o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus
                FROM orders WHERE o_orderkey % 17 <> 0),
-         c AS (SELECT coalesce(n.o_orderkey, l.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN 'MISSING_IN_NEW' WHEN l.o_orderkey IS NULL THEN 'MISSING_IN_LEGACY'
-                 WHEN n.o_custkey <> l.o_custkey THEN 'CUSTOMER_MISMATCH' WHEN n.o_orderstatus <> l.o_orderstatus THEN 'STATUS_MISMATCH' ELSE 'MATCH' END AS status
+         c AS (SELECT coalesce(n.o_orderkey, l.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN 'only in legacy' WHEN l.o_orderkey IS NULL THEN 'only in current'
+                 WHEN n.o_custkey <> l.o_custkey THEN 'other customer' WHEN n.o_orderstatus <> l.o_orderstatus THEN 'other state' ELSE 'same' END AS status
                FROM n FULL JOIN l ON n.o_orderkey = l.o_orderkey)"""
 
 
@@ -324,7 +324,7 @@ def _reconciled(t: Tables):
         .withColumn("o_orderstatus", F.when(key % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
     )
     return J.reconcile(
-        legacy, current, ["o_orderkey"], {"o_custkey": "CUSTOMER_MISMATCH", "o_orderstatus": "STATUS_MISMATCH"}
+        legacy, current, ["o_orderkey"], {"o_custkey": "other customer", "o_orderstatus": "other state"}
     )
 
 

@@ -54,30 +54,34 @@ def ml_evaluate(t: Tables):
     return S.ml_evaluate(_scored(t), label, F.col("prediction.is_fraud"))
 
 
-@query("SELECT label AS segment, count(*) AS rows, round(sqrt(avg(pow(y - 0.5, 2))), 6) AS rmse FROM (SELECT label % 3 AS label, (vec_id % 2)::DOUBLE AS y FROM embeddings) GROUP BY 1")
+@query(
+    SCORED.replace("event_type,", "event_type, user_id % 5 AS segment,")
+    + """SELECT segment, count(*) AS rows, round(sqrt(avg(pow((event_type IN ('purchase', 'error'))::INTEGER - round(p, 6), 2))), 6) AS rmse FROM z GROUP BY 1"""
+)
 def ml_evaluate_rmse(t: Tables):
-    """Regression error per segment."""
-    rows = t.embeddings.select((F.col("label") % 3).alias("segment"), (F.col("vec_id") % 2).alias("y"))
-    out = S.ml_evaluate(rows, F.col("y"), F.col("y") > 1, F.lit(0.5), ["segment"])
-    return out.select("segment", "rows", F.round("rmse", 6).alias("rmse"))
+    """Error of the model's confidence per segment."""
+    label = F.col("event_type").isin("purchase", "error")
+    out = S.ml_evaluate(_scored(t), label.cast("int"), F.col("prediction.is_fraud"), F.col("prediction.confidence"), ["items"])
+    return out.select(F.col("items").alias("segment"), "rows", F.round("rmse", 6).alias("rmse"))
 
 
 @query(
     """
-    WITH s AS (SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 30 WHEN o_totalprice > 200000 THEN 20 WHEN o_totalprice > 100000 THEN 10 ELSE 0 END
-                 + CASE WHEN c_acctbal IS NULL THEN 25 WHEN c_acctbal < 1000 THEN 10 ELSE 0 END + CASE WHEN c_nationkey NOT IN (1, 2, 3, 4, 5) THEN 15 ELSE 0 END AS score
+    WITH s AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 7 WHEN 'O' THEN 1 ELSE 0 END + CASE WHEN month(o_orderdate) IN (11, 12) THEN 3 ELSE 0 END
+                 + CASE WHEN o_orderpriority LIKE '1%' THEN 5 WHEN o_orderpriority LIKE '5%' THEN 2 ELSE 0 END + CASE WHEN c_mktsegment LIKE '%E%' THEN 1 ELSE 0 END AS points
                FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
-    SELECT o_orderkey, score, CASE WHEN score > 45 THEN 'HIGH' WHEN score > 25 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s"""
+    SELECT o_orderkey, points, CASE WHEN points > 9 THEN 'first' WHEN points > 5 THEN 'soon' WHEN points > 1 THEN 'later' ELSE 'last' END AS turn FROM s"""
 )
 def rule_based_score(t: Tables):
-    """A sum of CASE terms with level bands."""
-    price, balance = F.col("o_totalprice"), F.col("c_acctbal")
-    score = S.rule_score(
+    """In which turn an order is handled: points for state, season, priority and segment, in bands."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    points = S.rule_score(
         [
-            [(price > 400000, 30), (price > 200000, 20), (price > 100000, 10)],
-            [(balance.isNull(), 25), (balance < 1000, 10)],
-            [(~F.col("c_nationkey").isin(1, 2, 3, 4, 5), 15)],
+            [(status == "P", 7), (status == "O", 1)],
+            [(F.month("o_orderdate").isin(11, 12), 3)],
+            [(priority.startswith("1"), 5), (priority.startswith("5"), 2)],
+            [(F.col("c_mktsegment").contains("E"), 1)],
         ]
     )
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return rows.select("o_orderkey", score.alias("score")).withColumn("level", S.band(F.col("score"), {"HIGH": 45, "MEDIUM": 25}, "LOW"))
+    return rows.select("o_orderkey", points.alias("points")).withColumn("turn", S.band(F.col("points"), {"first": 9, "soon": 5, "later": 1}, "last"))
