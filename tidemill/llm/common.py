@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import string
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,29 @@ def kept_keys(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi")
     return df.join(F.broadcast(keys) if small else keys, key, how)
 
 
+def _give_back() -> None:
+    """Freed memory back to the system, where the C library knows how."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition, with what it freed given back at its end.
+
+    Python workers live on from task to task, and what one stage needed for a
+    moment would otherwise stand against the memory of the next.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would change other letters as well)."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

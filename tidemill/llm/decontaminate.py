@@ -40,6 +40,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import tidied
+
 EVIDENCE = 3
 BLOCK_WORDS = 1 << 20
 THRESHOLD = 0.5
@@ -199,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     rows += [(doc, items.ids[i], s, a, z) for i, s, a, z in items.matches(items.number_words(text), least)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
 
-        parts.append(own.mapInPandas(find, SCHEMA))
+        parts.append(own.mapInPandas(tidied(find), SCHEMA))
     found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], SCHEMA)
     return found.withColumns({"doc_id": F.col("doc_id").cast("long"), "item_id": F.col("item_id").cast("long")})
 

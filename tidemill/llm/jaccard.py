@@ -26,7 +26,7 @@ instead of its square.
 
 Cases: null, empty and wordless texts have the empty set and link with nothing;
 a text of fewer than ``WORDS`` words is one shingle; a row without an id links
-with nothing and has a null component; rows that share an id are one node; an
+with nothing and has a null component; rows that share an id are one node (``one_of_each`` keeps one row of it); an
 empty table gives an empty result; further columns of the input are ignored.
 """
 
@@ -34,13 +34,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import kept_keys, partitions, settled, sorted_runs
+from tidemill.llm.common import kept_keys, partitions, settled, sorted_runs, tidied
 from tidemill.llm.components import components
 
 WORDS = 5
@@ -56,18 +57,39 @@ _PARTS = 2047
 # -- shingles ---------------------------------------------------------------
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = np.arange(1, 257, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
-_BASE = 0xD1342543DE82EF95
+#: Words are polynomials modulo a prime: modulo a power of two, words of a regular build meet whatever the base.
+_PRIME = (1 << 61) - 1
+_BASE = 0x1342543DE82EF951
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+_LOW30, _LOW31, _P = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1), np.uint64(_PRIME)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves of 30 and 31 bits."""
+    high, low, big, small = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = low * big + high * small
+    return _reduced(_reduced(high * big * np.uint64(2) + (middle >> _30)) + _reduced((middle & _LOW30) << _31) + _reduced(low * small))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, _times(out, np.uint64(pow(base, len(out), _PRIME)))))
+    return out[:n]
 
 
-_UP, _DOWN = _powers(_BASE, 2 * BLOCK_BYTES), _powers(pow(_BASE, -1, 1 << 64), 2 * BLOCK_BYTES)
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for a block of text."""
+    return _powers(_BASE, 2 * BLOCK_BYTES), _powers(pow(_BASE, -1, _PRIME), 2 * BLOCK_BYTES)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -80,9 +102,16 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = np.concatenate(([True], _SPACE[data], [True]))
     start, end = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
     n = len(data)
-    up, down = (_UP, _DOWN) if n <= len(_UP) else (_powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:n], dtype=np.uint64)))
-    return start, _mixed((sums[end] - sums[start]) * down[start])
+    up, down = _tables()
+    if n > len(up):
+        up, down = _powers(_BASE, n), _powers(pow(_BASE, -1, _PRIME), n)
+    value = _BYTE[data]
+    # Sums of the powers' low 30 and high 31 bits stay below 2**64 for texts of up to 2**24 letters in a word.
+    word = np.zeros(len(start), np.uint64)
+    for part, shift in ((up[:n] & _LOW30, 0), (up[:n] >> _30, 30)):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * part, dtype=np.uint64)))
+        word = _reduced(word + _times(_reduced(sums[end] - sums[start]), np.uint64(1 << shift)))
+    return start, _mixed(_times(word, down[start]))
 
 
 def _joined(words: np.ndarray, width: int) -> np.ndarray:
@@ -166,7 +195,7 @@ def summaries(docs: DataFrame) -> DataFrame:
         yield pd.DataFrame({"doc_id": None, "n": 0, "digest": None, "odd": None, "bits": None, "block": range(SKETCH_BLOCKS), "counts": [p.astype("<u4").tobytes() for p in parts]})
 
     own = docs.select(F.col("doc_id").cast("string"), "text")
-    out = own.mapInPandas(measure, "doc_id string, n long, digest binary, odd binary, bits binary, block int, counts binary")
+    out = own.mapInPandas(tidied(measure), "doc_id string, n long, digest binary, odd binary, bits binary, block int, counts binary")
     return settled(out.withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
@@ -230,7 +259,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if h:
                     yield pd.DataFrame({"h": np.concatenate(h), "doc": np.concatenate(doc), "info": np.concatenate(info)})
 
-    return docs.select("doc_id", "text").mapInPandas(emit, "h long, doc long, info long")
+    return docs.select("doc_id", "text").mapInPandas(tidied(emit), "h long, doc long, info long")
 
 
 def shared_prefixes(prefix: DataFrame) -> DataFrame:
@@ -266,7 +295,7 @@ def shared_prefixes(prefix: DataFrame) -> DataFrame:
 
     place = F.shiftright("info", 11).bitwiseAND(F.lit((1 << 26) - 1))
     ordered = prefix.repartition(partitions(prefix.sparkSession), "h").sortWithinPartitions("h", place, "info", "doc")
-    return ordered.mapInPandas(link, "h long, doc long, info long, head long")
+    return ordered.mapInPandas(tidied(link), "h long, doc long, info long, head long")
 
 
 def _with_heads(rows: np.ndarray, heads: np.ndarray) -> pd.DataFrame:
@@ -309,7 +338,7 @@ def open_pairs(shared: DataFrame, groups: DataFrame, odd: DataFrame) -> DataFram
                 left = left[left + step < len(h)]
 
     dealt = rows.repartition(partitions(shared.sparkSession), "h").sortWithinPartitions("h", "info", "doc")
-    return dealt.mapInPandas(pair, "a long, b long").distinct()
+    return dealt.mapInPandas(tidied(pair), "a long, b long").distinct()
 
 
 # -- verification -------------------------------------------------------------
@@ -320,7 +349,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc": batch["doc_id"], "members": [s.view(np.int64) for s in shingle_sets(batch["text"])]})
 
-    return kept_keys(docs, wanted, "doc_id").select("doc_id", "text").mapInPandas(emit, "doc long, members array<long>")
+    return kept_keys(docs, wanted, "doc_id").select("doc_id", "text").mapInPandas(tidied(emit), "doc long, members array<long>")
 
 
 def plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -373,12 +402,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     linkable = each.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = settled(linkable.join(classes, "digest").where(F.col("doc_id") != F.col("first")).select("doc_id", "first"))
-    distinct = kept_keys(docs.where(F.col("doc_id").isNotNull()), copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    # An id on several rows may be a copy with one text and not with another: all its rows stay in the search.
+    several = settled(linkable.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("doc")))
+    spare = copies.select("doc_id").distinct().join(several, F.col("doc_id") == F.col("doc"), "left_anti")
+    distinct = kept_keys(docs.where(F.col("doc_id").isNotNull()), spare, "doc_id", "left_anti")
 
     shared = settled(shared_prefixes(prefixes(distinct, sketch_of(summary))))
     by_head = shared.where(F.col("head").isNotNull()).groupBy("doc", "head").agg(F.count("*").alias("k"))
     best = by_head.groupBy("doc").agg(F.max_by("head", F.struct("k", "head")).alias("head"))
-    several = settled(linkable.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("doc")))
     once = kept_keys(linkable.withColumnRenamed("doc_id", "doc"), several, "doc", "left_anti")
     unknown = several.select("doc", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("bits"))
     marks = once.select("doc", "n", "bits").unionAll(unknown)
@@ -406,4 +437,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """Documents without those that a smaller id stands for, with all their columns."""
     groups = similar_groups(docs)
     gone = settled(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return kept_keys(docs, gone, "doc_id", "left_anti")
+    kept = kept_keys(docs, gone, "doc_id", "left_anti")
+    repeated = settled(groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    # Of an id's own rows the one with the smallest text stays.
+    order = F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))
+    first = kept_keys(kept, repeated, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return kept_keys(kept, repeated, "doc_id", "left_anti").unionByName(first.select("_row.*"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import settled
+from tidemill.llm.common import settled, tidied
 
 FEATURES = (
     "words", "word_length", "upper", "digits", "symbols", "marks", "lines",
@@ -83,7 +83,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "features": [statistics(t) for t in batch["text"]]})
 
     kept = docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
-    out = kept.mapInPandas(measure, "doc_id string, features array<double>")
+    out = kept.mapInPandas(tidied(measure), "doc_id string, features array<double>")
     return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "features")
 
 
@@ -125,7 +125,7 @@ def class_sums(labelled: DataFrame) -> dict[int, np.ndarray]:
                 sums[k] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
         yield pd.DataFrame({"quality": np.repeat([0, 1], sums.shape[1]), "i": np.tile(np.arange(sums.shape[1]), 2), "s": sums.ravel()})
 
-    parts = labelled.mapInPandas(add, "quality int, i int, s double")
+    parts = labelled.mapInPandas(tidied(add), "quality int, i int, s double")
     out = {k: np.zeros(1 + d + d * d) for k in (0, 1)}
     for r in parts.groupBy("quality", "i").agg(F.sum("s").alias("s")).collect():
         out[r.quality][r.i] = r.s

@@ -28,21 +28,21 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm.common import partitions, settled
+from tidemill.llm.common import partitions, settled, tidied
 
 SHARD_TOKENS = 1 << 20
 END = 0
-CACHE_ENTRIES = 600_000  # pieces remembered; a full store is begun anew
+CACHE_ENTRIES = 200_000  # pieces remembered by a task, about 36 MB; a full store is begun anew
 _MAGIC, _VERSION = b"TMWM", 1
 _HEAD = struct.Struct("<4sHHQQ")
 
@@ -290,12 +290,6 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One per Python worker; what it remembers serves the worker's later tasks."""
-    return Encoder(path)
-
-
 def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS, end: int = END) -> DataFrame:
     """Encode all documents and write the shard files; one row per file, read back from the shared folder.
 
@@ -303,23 +297,24 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
     ``start_in_part`` counts the ids of the part's earlier files.
     """
 
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, start = TaskContext.get().partitionId(), 0, 0
-        own = encoder(tokenizer)
+        own = Encoder(tokenizer)  # goes with the task, and what it remembers
         last, width = np.array([end], own.dtype).tobytes(), own.dtype.itemsize
         held, ids, n = [], [], 0
 
-        def file() -> pd.DataFrame:
+        def file() -> pa.RecordBatch:
             lengths = np.array([len(h) // width for h in held], np.int64)
             data = write_file(np.frombuffer(b"".join(held), own.dtype), lengths, ids, own.bits)
-            return pd.DataFrame({"part": [part], "shard": [shard], "start_in_part": [start], "n_tokens": [n], "n_docs": [len(ids)], "file": [data]})
+            row = {"part": part, "shard": shard, "start_in_part": start, "n_tokens": n, "n_docs": len(ids), "file": data}
+            return pa.RecordBatch.from_pylist([row], schema=kind)
 
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                for doc, tokens in zip(some["doc_id"], own.encode(some["text"].tolist()), strict=True):
+            for at in range(0, batch.num_rows, 500):  # a few texts at a time become Python strings
+                some = batch.slice(at, 500)
+                for doc, tokens in zip(some.column("doc_id").to_pylist(), own.encode(some.column("text").to_pylist()), strict=True):
                     held.append(tokens + last)
-                    ids.append(None if doc is None else int(doc))
+                    ids.append(doc)
                     n += len(held[-1]) // width
                     if n >= shard_tokens:
                         yield file()
@@ -327,10 +322,11 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
         if held:
             yield file()
 
+    kind = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("file", pa.binary())])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = texts.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    named = dealt.select(F.col("doc_id").cast("string"), "text")  # as text, a missing id does not turn the others into floats
-    return settled(named.mapInPandas(files, "part int, shard int, start_in_part long, n_tokens long, n_docs long, file binary"))
+    whole = dealt.select(F.col("doc_id").cast("long"), "text")
+    return settled(whole.mapInArrow(tidied(files), "part int, shard int, start_in_part long, n_tokens long, n_docs long, file binary"))
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -359,7 +355,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 )
 
     out = shards.select("part", "shard", "start_in_part", "file").mapInPandas(
-        read, "doc_id string, start long, n_tokens long, ids_crc32 long, part int, shard int"
+        tidied(read), "doc_id string, start long, n_tokens long, ids_crc32 long, part int, shard int"
     )
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
