@@ -1,28 +1,33 @@
-"""Benchmark decontamination: pairs of words, then Smith-Waterman.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
 
 Words are runs of letters and digits, lower-cased. A test item is aligned with
 the words of a document; the score is the alignment's share of the best one
 possible, and a document with ``THRESHOLD`` or more is a copy, verbatim or
 edited, of the item. So is, whatever the item's length, a document whose
 alignment is worth ``PASSAGE`` words in a row: that run itself, or a longer
-passage with edits. At least ``EVIDENCE`` words have to match.
-
-Only documents that may reach the score are aligned, and none that does is
-missed: an alignment of ``m`` matches loses 1 for each word changed, put in or
-left out. Where two matches follow each other after at most one such edit, both
-their words stand one or two words apart in item and document. Every other step
-costs 2 at least, so that a score ``s`` needs ``s / 2 - 1`` such pairs, at
-different words of the item and of the document. All pairs of all items are
-indexed, frequent ones too. An alignment spans at most ``3 m - s`` words of the
-document; where a stretch of that length holds pairs enough, the item is aligned
-with the words around it.
+passage with edits. Few words are no evidence: an alignment must be worth
+``EVIDENCE`` words in a row, or the whole of an item that is shorter, and an
+item of fewer than ``LEAST_WORDS`` words matches nothing.
+
+Seeds are pairs of words, one or two words apart. An alignment of ``m`` matches
+loses 1 for each word changed, put in or left out. Where two matches follow each
+other after at most one such edit, both their words stand one or two words apart
+in item and document. Every other step costs 2 at least, so that a score ``s``
+needs ``s / 2 - 1`` such pairs, at different words of the item. Of an item's
+pairs, all but that many less one must therefore hold one that the document
+holds. These seeds are its rarest pairs, by the number of documents that hold
+them, counted over the whole corpus (a count of none is as good as any: the
+argument does not need a seed to occur). Frequent pairs are seeds of items that
+have nothing else. Documents meet items by seed; then all pairs of the items met
+are counted, and an item that has enough of them within a stretch of ``3 m - s``
+words is aligned with the words around it. Nothing that reaches the score is
+missed.
 
 The test items are a query set against all documents: they are read in blocks of
-at most ``BLOCK_WORDS`` words, each one pass over the documents. Documents are
-never shuffled.
+at most ``BLOCK_WORDS`` words, each two passes over the documents, one that
+counts and one that joins. A block is broadcast. Documents are never shuffled.
 
-Cases: null and empty texts match nothing; an item of fewer than ``EVIDENCE``
-words is no evidence and matches nothing; repeated rows match alike, each on its
+Cases: null and empty texts match nothing; repeated rows match alike, each on its
 own row; null ids are passed through; empty tables give an empty result; further
 columns of the inputs are ignored.
 """
@@ -31,7 +36,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import repeat
 
@@ -42,7 +47,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import tidied
 
-EVIDENCE = 3
+EVIDENCE = 8
+LEAST_WORDS = 3
 BLOCK_WORDS = 1 << 20
 THRESHOLD = 0.5
 PASSAGE = 13
@@ -78,8 +84,9 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
 class Items:
     """A block of test items: word numbers (from 1; 0 is any other word), and the pairs with where they begin.
 
-    Places count through all items of the block. A pair's places are
-    ``places[first[k]:first[k + 1]]``.
+    Places count through all items of the block.
+    Those where seed pair ``k`` begins are ``places[first[k]:first[k + 1]]``;
+    other pairs have none. Without counts every pair is a seed.
     """
 
     ids: list[str | None]
@@ -90,6 +97,7 @@ class Items:
     first: np.ndarray
     places: np.ndarray
     own: list[np.ndarray]  # each item's pairs, sorted
+    begun: list[np.ndarray]  # each item's two pairs (or -1) that begin at each of its words
 
     @classmethod
     def of(cls, rows: list[tuple[str | None, str | None]]) -> Items:
@@ -102,7 +110,32 @@ class Items:
         order = np.argsort(every, kind="stable")
         codes, first = np.unique(every[order], return_index=True)
         own = [np.searchsorted(codes, np.unique(c)) for c, _ in pairs]
-        return cls([r[0] for r in rows], words, number, begin, codes, np.append(first, len(every)), places[order], own)
+        begun = []
+        for item, (c, at) in zip(words, pairs, strict=True):
+            both = np.full((len(item), 2), -1)
+            near = max(len(item) - 1, 0)  # pairs one word apart come first
+            both[at[:near], 0] = np.searchsorted(codes, c[:near])
+            both[at[near:], 1] = np.searchsorted(codes, c[near:])
+            begun.append(both)
+        return cls([r[0] for r in rows], words, number, begin, codes, np.append(first, len(every)), places[order], own, begun)
+
+    def seeded(self, counts: np.ndarray, least: np.ndarray) -> Items:
+        """The same items with only their seeds in the index; ``counts`` has the documents that hold each pair."""
+        counted = np.append(counts, 0)  # -1 counts nothing
+        pairs, places = [], []
+        for item, start, score in zip(self.begun, self.begin.tolist(), least.tolist(), strict=True):
+            there = np.flatnonzero((item >= 0).any(1))
+            some = max(len(there) - (-(-score // 2) - 1) + 1, 0)  # places of which an alignment must hold one
+            rare = there[np.argsort(counted[item[there]].sum(1), kind="stable")][:some]
+            for k in (0, 1):
+                at = rare[item[rare, k] >= 0]
+                pairs.append(item[at, k])
+                places.append(at + start)
+        none = np.zeros(0, np.int64)
+        every = np.concatenate([*pairs, none])
+        order = np.argsort(every, kind="stable")
+        first = np.searchsorted(every[order], np.arange(len(self.codes) + 1))
+        return replace(self, first=first, places=np.concatenate([*places, none])[order])
 
     @staticmethod
     def _pairs(own: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +161,11 @@ class Items:
         return k[same], at[same]
 
     def least(self, threshold: float) -> np.ndarray:
-        """The score from which an alignment with each item is reported."""
+        """The score from which an alignment with each item is reported; for the shortest, one that none reaches."""
         n = np.array([len(w) for w in self.words], np.int64)
         share = np.ceil(threshold * MATCH * n - 1e-9)
-        return np.maximum(np.minimum(share, MATCH * PASSAGE), MATCH * (EVIDENCE - 1) + 1).astype(np.int64)
+        enough = np.where(n < LEAST_WORDS, MATCH * LEAST_WORDS, MATCH * np.minimum(n, EVIDENCE))
+        return np.maximum(np.minimum(share, MATCH * PASSAGE), enough).astype(np.int64)
 
     def matches(self, own: np.ndarray, least: np.ndarray) -> list[tuple[int, float, int, int]]:
         """``(item, score, first word, last word)`` of each item the document copies: its best place."""
@@ -141,11 +175,12 @@ class Items:
             return []
         seen = np.unique(found)
         n = self.first[seen + 1] - self.first[seen]
-        places = np.unique(self.places[np.repeat(self.first[seen] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        held = np.bincount(np.searchsorted(self.begin, places, "right") - 1, minlength=len(self.words))
+        places = self.places[np.repeat(self.first[seen] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         out = []
-        for i in np.flatnonzero(held >= pairs).tolist():
+        for i in np.unique(np.searchsorted(self.begin, places, "right") - 1).tolist():
             item, q, best = self.words[i], int(pairs[i]), (0, 0, 0)
+            if np.isin(self.begun[i], seen).any(1).sum() < q:
+                continue
             reach = 3 * len(item) - int(least[i])
             begins = np.unique(at[np.isin(found, self.own[i])])
             early, late = begins[: max(0, len(begins) - q + 1)], begins[q - 1 :]
@@ -187,14 +222,38 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Ite
         yield Items.of(rows)
 
 
+def with_seeds(docs: DataFrame, items: Items, least: np.ndarray) -> Items:
+    """``items`` with their seeds: one pass over all documents counts those that hold each pair of the block."""
+    held = docs.sparkSession.sparkContext.broadcast(items)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = held.value
+        total = np.zeros(len(own.codes), np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                total[np.unique(own.hits(own.number_words(text))[0])] += 1
+        k = np.flatnonzero(total)
+        yield pd.DataFrame({"k": k, "n": total[k]})
+
+    rows = docs.select("text").mapInPandas(tidied(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counts = np.zeros(len(items.codes), np.int64)
+    found = rows.toPandas()  # at most the pairs of a block
+    counts[found["k"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    held.unpersist()
+    return items.seeded(counts, least)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, score, first_word, last_word``: a row for each document and item it holds a copy of."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("string"), "text")
     parts = []
     for block in blocks(benchmark):
+        least = block.least(threshold)
+        sent = spark.sparkContext.broadcast((with_seeds(docs, block, least), least))  # at most BLOCK_WORDS words
 
-        def find(batches: Iterator[pd.DataFrame], items: Items = block, least: np.ndarray = block.least(threshold)) -> Iterator[pd.DataFrame]:
+        def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            items, least = sent.value
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -209,8 +268,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that hold no copy of a test item, with all their columns."""
 
-    def free_of(items: Items, least: np.ndarray):
+    spark, whole = docs.sparkSession, docs
+
+    def free_of(sent):
         def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            items, least = sent.value
             for texts in batches:
                 yield pd.Series([not items.matches(items.number_words(t), least) for t in texts], dtype="bool")
 
@@ -218,5 +280,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         return F.pandas_udf(free, "boolean")
 
     for block in blocks(benchmark):
-        docs = docs.where(free_of(block, block.least(threshold))(F.coalesce("text", F.lit(""))))
+        least = block.least(threshold)
+        sent = spark.sparkContext.broadcast((with_seeds(whole, block, least), least))
+        docs = docs.where(free_of(sent)(F.coalesce("text", F.lit(""))))
     return docs
