@@ -8,7 +8,7 @@ breaks around them are entered under their own, later, ranks. An entry whose pai
 is gone by its turn is passed over. Each word is thus merged once per block,
 whatever its number of occurrences.
 
-``load`` reads a tokenizer file (format of the tokenizers library, model BPE) and
+``Bpe`` reads a tokenizer file (format of the tokenizers library, model BPE) and
 asks that a pair rank behind the merges that make its two sides, as training
 gives; then all words may share one ascending pass. Texts are parted at special
 tokens, normalised and split into words. For texts of Latin letters and common
@@ -35,6 +35,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidemill.llm.common import tidied
+
 BLOCK_LETTERS = 1 << 20  # letters of new words merged together, unless one word is longer
 STORE_BYTES = 48 << 20
 DOCS_AT_ONCE = 2000
@@ -248,6 +251,12 @@ class Bpe:
         return self.tokenizer.decoder.decode(tokens) if self.tokenizer.decoder else " ".join(tokens)
 
 
+@lru_cache(maxsize=1)
+def load(path: str) -> Bpe:
+    """One per Python worker: the library does not give back all that a loaded tokenizer took."""
+    return Bpe(path)
+
+
 class Encoder:
     """Texts to ids, with the words already merged; made for one task."""
 
@@ -287,7 +296,7 @@ def _each(docs: DataFrame, path: str, schema: str, row) -> DataFrame:
     """``doc_id`` and what ``row(bpe, ids)`` gives for every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = Bpe(path)
+        bpe = load(path)
         encoder = Encoder(bpe)
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
@@ -299,7 +308,7 @@ def _each(docs: DataFrame, path: str, schema: str, row) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType
     named = docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))  # as text, ids stay exact beside nulls
-    return named.mapInPandas(run, f"doc_id string, {schema}").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return named.mapInPandas(tidied(run), f"doc_id string, {schema}").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

@@ -28,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -224,6 +225,10 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        """Drop the pieces remembered."""
+        self._cache = {}
+
     def _learn(self, pieces: set[str]) -> None:
         """Remember pieces. Each is a space and what follows it, kept without the space, or a line break and the like.
 
@@ -290,6 +295,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per Python worker: the library does not give back all that a loaded tokenizer took."""
+    return Encoder(path)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS, end: int = END) -> DataFrame:
     """Encode all documents and write the shard files; one row per file, read back from the shared folder.
 
@@ -299,7 +310,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, start = TaskContext.get().partitionId(), 0, 0
-        own = Encoder(tokenizer)  # goes with the task, and what it remembers
+        own = encoder(tokenizer)
         last, width = np.array([end], own.dtype).tobytes(), own.dtype.itemsize
         held, ids, n = [], [], 0
 
@@ -321,6 +332,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
                         shard, start, held, ids, n = shard + 1, start + n, [], [], 0
         if held:
             yield file()
+        own.forget()
 
     kind = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("file", pa.binary())])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
