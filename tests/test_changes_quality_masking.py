@@ -1,10 +1,12 @@
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.operators import cdc as C
+from tidemill.operators import joins as J
 from tidemill.operators import masking as M
 from tidemill.operators import quality as Q
 from tidemill.operators import routing as R
@@ -225,8 +227,83 @@ def test_unknown_payload_and_connector_are_refused(spark):
 
 
 def test_merge_statement():
-    text = sinks.merge_statement("t", ["id"], ["id", "v"])
-    assert text == "MERGE INTO t t USING t_staging s ON t.id = s.id WHEN MATCHED THEN UPDATE SET v = s.v WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.id, s.v)"
+    text = sinks.merge_statement("t", "t_new", ["id"], [], ["id", "v"])
+    assert text == "MERGE INTO t t USING t_new s ON t.id = s.id WHEN MATCHED THEN UPDATE SET v = s.v WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.id, s.v)"
+    assert "WHEN MATCHED AND ((s.a > t.a) OR (s.a = t.a AND s.b >= t.b)) THEN" in sinks.merge_statement("t", "n", ["id"], ["a", "b"], ["id", "a", "b"])
+
+
+class _Connection:
+    """A DB-API connection on an in-process engine, which can be told to fail."""
+
+    def __init__(self, engine, fail_on=None):
+        self.engine, self.fail_on, self.open = engine, fail_on, False
+
+    def cursor(self):
+        return self
+
+    def execute(self, text):
+        if self.fail_on and text.startswith(self.fail_on):
+            raise RuntimeError("lost")
+        self.open = self.open or text == "BEGIN"
+        self.engine.execute(text)
+
+    def fetchone(self):
+        return self.engine.fetchone()
+
+    def commit(self):
+        if self.open:
+            self.engine.execute("COMMIT")
+        self.open = False
+
+    def rollback(self):
+        if self.open:
+            self.engine.execute("ROLLBACK")
+        self.open = False
+
+    def close(self):
+        pass
+
+
+def test_upsert_batches_end_in_the_target_once(spark):
+    engine = duckdb.connect()
+    engine.execute("CREATE TABLE orders (id BIGINT, v VARCHAR, seq BIGINT)")
+
+    def stage(batch, table):
+        engine.execute(f"CREATE OR REPLACE TABLE {table} (id BIGINT, v VARCHAR, seq BIGINT)")
+        engine.executemany(f"INSERT INTO {table} VALUES (?, ?, ?)", [tuple(r) for r in batch.collect()])
+
+    def writer(fail_on=None, stream="s"):
+        return sinks.upsert_batches(lambda: _Connection(engine, fail_on), stage, "orders", ["id"], ["seq"], stream)
+
+    batch = lambda *r: spark.createDataFrame(list(r), "id long, v string, seq long")
+    now = lambda: engine.execute("SELECT id, v, seq FROM orders ORDER BY id").fetchall()
+    writer()(batch((1, "a", 1), (1, "b", 2), (2, "c", 1)), 0)
+    assert now() == [(1, "b", 2), (2, "c", 1)]
+    second = batch((1, "old", 1), (2, "d", 3), (3, None, 1))
+    for fail_on in ("MERGE", "INSERT INTO orders_ledger"):
+        with pytest.raises(RuntimeError):
+            writer(fail_on)(second, 1)
+        assert now() == [(1, "b", 2), (2, "c", 1)]
+        assert engine.execute("SELECT count(*) FROM orders_ledger").fetchone() == (1,)
+    writer()(second, 1)
+    writer()(batch((1, "again", 9)), 1)  # a repeated batch changes nothing
+    assert now() == [(1, "b", 2), (2, "d", 3), (3, None, 1)]
+    writer(stream="other")(batch((3, "z", 5)), 1)
+    assert now()[2] == (3, "z", 5)
+    assert engine.execute("SELECT stream, batch_id FROM orders_ledger ORDER BY 1, 2").fetchall() == [("other", 1), ("s", 0), ("s", 1)]
+    assert engine.execute("SELECT count(*) FROM information_schema.tables WHERE table_name LIKE '%staging%'").fetchone() == (0,)
+
+
+def test_upsert_names_are_plain():
+    for names in (("a; drop", "s"), ("t", "it's")):
+        with pytest.raises(ValueError):
+            sinks.upsert_batches(None, None, names[0], ["id"], [], names[1])
+
+
+def test_a_long_list_is_not_crossed(spark):
+    assert J.cross_with_list(spark.range(3).toDF("a"), spark.range(2).toDF("b")).count() == 6
+    with pytest.raises(ValueError):
+        J.cross_with_list(spark.range(3).toDF("a"), spark.range(20).toDF("b"), most=10)
 
 
 def test_kafka_options():

@@ -2,7 +2,7 @@
 
 import random
 import time
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tests.plain import plain_matches
 from tidemill.operators import quality as Q
 from tidemill.operators import windows as W
+from tidemill.operators.ordered import Skew
 from tidemill.sources import records, sinks
 from tidemill.streaming import event_time as E
 from tidemill.streaming import in_order, run, stateful
+from tidemill.streaming.late import late_splitter, split_to
 from tidemill.streaming.patterns import stream_match_rows
 
 T0 = datetime(2024, 1, 1)
@@ -142,13 +144,14 @@ def test_ttl_must_be_positive(spark):
         stateful.totals_with_ttl(spark.range(1), ["id"], "id", 0)
 
 
-def test_late_rows_across_batches(spark, tmp_path):
-    batches = [[(1, 1, at(100), 0.0), (2, 1, at(95), 0.0), (3, 1, at(80), 0.0)], [(4, 1, at(89), 0.0), (5, 1, at(200), 0.0), (6, 2, at(0), 0.0), (7, 1, at(189), 0.0)]]
+@pytest.mark.parametrize("skew", [Skew(), Skew(share=0.01, min_rows=2, oversplit=2, min_bytes=0)])
+def test_late_rows_across_batches(spark, tmp_path, skew):
+    batches = [[(1, 1, at(100), 0.0), (2, 1, at(95), 0.0), (3, 1, at(80), 0.0)], [(4, 1, at(89), 0.0), (5, 1, at(200), 0.0), (6, 2, at(0), 0.0), (7, 1, at(189), 0.0), (8, None, at(5), 0.0), (9, 1, None, 0.0)], [(10, None, at(-6), 0.0), (11, 2, at(1), 0.0)]]
     s = files(spark, tmp_path / "in", *batches)
-    with run.settings(spark, **run.state_settings("rocksdb", 2)):
-        got = run.append_to(stateful.mark_late_rows(s, "k", "ts", "id", 10_000), str(tmp_path / "out"), timeout=300)
-    want = [(1, False), (2, False), (3, True), (4, True), (5, False), (6, False), (7, True)]
-    assert rows(got, "id", "late") == want
+    on_time, late = split_to(s, "k", "ts", "id", 10_000, str(tmp_path / "out"), timeout=300, skew=skew)
+    got = on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    want = [(1, False), (2, False), (3, True), (4, True), (5, False), (6, False), (7, True), (8, False), (9, False), (10, True), (11, False)]
+    assert rows(got, "id", "late") == sorted(want, key=str)
     # The batch replay agrees.
     replay = spark.createDataFrame([r for b in batches for r in b], SCHEMA)
     on_time, late = E.split_late(replay, "ts", ["k"], "id", 10_000)
@@ -212,3 +215,35 @@ def test_lag_over_rows_out_of_order_and_across_batches(spark, tmp_path, offset):
         mine = [i for _, i in sorted((ts, i) for i, kk, ts, _ in data if kk == k)]
         want += list(zip(mine, [None] * offset + mine))
     assert rows(got, "id", "before") == sorted(want, key=str)
+
+
+def test_a_repeated_batch_marks_the_same_rows(spark, tmp_path):
+    write = late_splitter("k", "ts", "id", 10_000, str(tmp_path))
+    first, second = (spark.createDataFrame(b, SCHEMA) for b in ([(1, 1, at(100), 0.0)], [(2, 1, at(80), 0.0), (3, 1, at(300), 0.0)]))
+    for batch, n in ((first, 0), (second, 1), (second, 1)):
+        write(batch, n)
+    assert rows(spark.read.parquet(str(tmp_path / "late")), "id") == [(2,)]
+    assert rows(spark.read.parquet(str(tmp_path / "rows")), "id") == [(1,), (3,)]
+
+
+def test_distinct_counts_of_windows_across_batches(spark, tmp_path):
+    rng = random.Random(3)
+    data = [(i, rng.choice([None, 1, 2]), at(rng.randint(0, 200)), rng.choice([None, 1.0, 2.0, 3.0])) for i in range(90)]
+    s = files(spark, tmp_path / "in", data[:30], data[30:60], data[60:], [(900, 9, at(5000), 0.0)], [(901, 9, at(9000), 0.0)])
+    with run.settings(spark, **run.state_settings("rocksdb", 2)):
+        out = E.distinct_per_window(s, "ts", "60 seconds", ["k"], "v", "n", delay_ms=1_000_000, slide="20 seconds")
+        got = run.append_to(out, str(tmp_path / "out"), timeout=300)
+    batch = W.hop_distinct(spark.createDataFrame(data, SCHEMA), "ts", "60 seconds", "20 seconds", ["k"], "v", "n")
+    want = rows(batch, "k", "window_start", "n")
+    assert rows(ntz(got).where("window_start < '2024-01-01 01:00:00'"), "k", "window_start", "n") == want
+
+
+def test_a_stream_that_skips_what_is_there(spark, tmp_path):
+    spark.createDataFrame([(1, 1, at(0), 0.0)], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in/b0"))
+    time.sleep(1.1)
+    since = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    time.sleep(1.1)
+    s = files(spark, tmp_path / "in/later", [(2, 1, at(0), 0.0)])
+    both = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in"))
+    assert rows(run.append_to(records.skip_backlog(both, since).select("id"), str(tmp_path / "a")), "id") == [(2,)]
+    assert rows(run.append_to(records.skip_backlog(s).select("id"), str(tmp_path / "b")), "id") == []

@@ -230,6 +230,16 @@ def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram
     return candidates.join(usable, F.col("_name") == F.col(name)).drop("_id", "_name")
 
 
+def cross_with_list(df: DataFrame, items: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every row with every row of a short list; a list of more than ``most`` rows is refused.
+
+    The list is sent to the executors, after its size is checked.
+    """
+    if items.limit(most + 1).count() > most:
+        raise ValueError(f"the list has more than {most} rows")
+    return df.crossJoin(F.broadcast(items))
+
+
 def reconcile(
     legacy: DataFrame, current: DataFrame, keys: Sequence[str], compare: Mapping[str, str]
 ) -> DataFrame:

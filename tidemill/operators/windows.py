@@ -63,6 +63,11 @@ def _with_bounds(df: DataFrame, w: Column) -> DataFrame:
     )
 
 
+def with_proctime(windows: DataFrame) -> DataFrame:
+    """Adds ``window_proctime``, the time at which a window's result is made (on a stream, its micro-batch's)."""
+    return windows.withColumn("window_proctime", F.current_timestamp())
+
+
 def tumble(df: DataFrame, ts: str, size: str) -> DataFrame:
     """Fixed windows ``[start, start + size)`` aligned to the epoch."""
     return _with_bounds(df, F.window(ts, size))

@@ -16,6 +16,7 @@ from tidemill.streaming import event_time as E
 from tidemill.streaming import in_order
 from tidemill.streaming import run
 from tidemill.streaming import stateful
+from tidemill.streaming.late import split_to
 from tidemill.streaming.patterns import stream_match_rows
 from tidemill.tables import Tables
 
@@ -236,10 +237,9 @@ def late_rows_to_side_output(t: Tables):
 
 @query(LATE + "SELECT event_id, coalesce(ts < wm, false) AS late FROM w")
 def stream_late_rows(t: Tables):
-    """The same on a stream, with the progress of each source partition in state."""
-    with run.settings(t.spark, **run.state_settings("rocksdb")):
-        marked = stateful.mark_late_rows(_shuffled(t.stream("events")), "part", "ts", "off", 20 * 86_400_000)
-        return _append(t, marked.select("event_id", "late"), "late")
+    """The same on a stream, with the progress of each source partition handed from batch to batch."""
+    on_time, late = split_to(_shuffled(t.stream("events")), "part", "ts", "off", 20 * 86_400_000, scratch(t, "late"))
+    return on_time.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
 
 
 @query(
@@ -373,3 +373,24 @@ def stream_match_price_drop(t: Tables):
             1000,
         )
         return _append(t, found, "price-drop")
+
+
+@query(
+    f"""
+    SELECT * FROM (
+      SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, event_type, count(DISTINCT user_id) AS users
+      FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts) - to_hours(i) for i in range(2)]) AS window_start FROM events) GROUP BY ALL) WHERE {CLOSED.format(delay=5000)}"""
+)
+def stream_hop_distinct_users(t: Tables):
+    """Exact distinct users in hopping windows on a stream."""
+    out = _append(t, E.distinct_per_window(t.stream("events"), "ts", "2 hours", ["event_type"], "user_id", "users", slide="1 hour"), "distinct")
+    return _ntz(out, "window_start", "window_end")
+
+
+@query("SELECT 'earliest' AS start, count(*) AS n FROM events UNION ALL SELECT 'latest', 0")
+def stream_scan_from_latest(t: Tables):
+    """A stream from the start of its source, and one that skips what is there already."""
+    every = _append(t, t.stream("events").select("event_id"), "earliest")
+    new = _append(t, R.skip_backlog(t.stream("events"), "2999-01-01").select("event_id"), "latest")
+    counts = [rows.agg(F.lit(start).alias("start"), F.count("*").alias("n")) for start, rows in (("earliest", every), ("latest", new))]
+    return counts[0].unionByName(counts[1])

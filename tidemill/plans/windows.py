@@ -98,6 +98,32 @@ def hop_distinct_users(t: Tables):
     return W.hop_distinct(t.events, "ts", "2 hours", "1 hour", ["event_type"], "user_id", "users")
 
 
+@query(
+    """
+    SELECT 'tumble' AS kind, count(DISTINCT time_bucket(INTERVAL 1 DAY, ts)) AS n, true AS later, 1::BIGINT AS times FROM events
+    UNION ALL SELECT 'hop', count(DISTINCT s), true, 1 FROM (SELECT unnest([time_bucket(INTERVAL 12 HOUR, ts) - to_hours(12 * i) for i in range(2)]) AS s FROM events)
+    UNION ALL SELECT 'session', sum(opens)::BIGINT, true, 1 FROM (SELECT CASE WHEN ts <= lag(ts) OVER (ORDER BY ts) + INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS opens FROM events)"""
+)
+def window_processing_time(t: Tables):
+    """Processing time of tumbling, hopping and session windows: one time for a result, behind every window's end."""
+    n = F.count("*").alias("rows")
+    forms = {
+        "tumble": W.tumble_agg(t.events, "ts", "1 day", [], n),
+        "hop": W.hop_agg(t.events, "ts", "1 day", "12 hours", [], n),
+        "session": W.session_panes(t.events, "ts", "20 minutes", [], {"rows": (F.count("*"), F.sum)}),
+    }
+    out = None
+    for kind, windows in forms.items():
+        times = W.with_proctime(windows).agg(
+            F.lit(kind).alias("kind"),
+            F.count("*").alias("n"),
+            F.bool_and(F.col("window_proctime") > F.col("window_end").cast("timestamp")).alias("later"),
+            F.count_distinct("window_proctime").alias("times"),
+        )
+        out = times if out is None else out.unionByName(times)
+    return out
+
+
 SESSIONS = """
     SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 2 HOUR AS window_end, count(*) AS n,
            round(sum(value), 2) AS total {more}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,35 +90,94 @@ def write_connector(df: DataFrame, connector: str, config: Mapping[str, str], mo
     df.write.format(CONNECTORS[connector]).options(**config).mode(mode).save()
 
 
-def jdbc_batches(
-    url: str, table: str, pk: Sequence[str] = (), version: Sequence[str] = (), **options: str
-) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function for a database.
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+
+
+def _named(*names: str) -> None:
+    for name in names:
+        if not _NAME.fullmatch(name):
+            raise ValueError(f"not a plain name: {name!r}")
+
+
+def jdbc_stage(url: str, **options: str) -> Callable[[DataFrame, str], None]:
+    """Writes a table of a database through JDBC, from the executors."""
+
+    def stage(rows: DataFrame, table: str) -> None:
+        rows.write.jdbc(url, table, mode="overwrite", properties=dict(options))
+
+    return stage
+
+
+def jdbc_batches(url: str, table: str, **options: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that appends to a database."""
 
-    Without a key rows are appended. With one, the newest row per key of the
-    batch goes to ``<table>_staging``, from where the database merges it.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.jdbc(url, table, mode="append", properties=dict(options))
+
+    return write
+
+
+def upsert_batches(
+    connect: Callable[[], Any],
+    stage: Callable[[DataFrame, str], None],
+    table: str,
+    pk: Sequence[str],
+    version: Sequence[str],
+    stream: str,
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that merges every batch into a database table, once.
+
+    The newest row per key of the batch is staged under the batch's own number,
+    by the executors. Then, in one transaction of the connection that
+    ``connect`` opens (DB-API 2.0), the batch is entered in the ledger
+    ``<table>_ledger`` and the staged rows are merged: a batch that is repeated
+    after a failure finds itself entered and changes nothing, and one that failed
+    on the way left neither. The ledger's key is the stream's name with the
+    batch's number.
     """
+    _named(table, *pk, *version, stream)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if pk:
-            staged = latest_per_key(batch, list(pk), list(version)).withColumn("batch_id", F.lit(batch_id))
-            staged.write.jdbc(url, f"{table}_staging", mode="overwrite", properties=dict(options))
-        else:
-            batch.write.jdbc(url, table, mode="append", properties=dict(options))
+        staging, ledger = f"{table}_staging_{stream}_{batch_id}", f"{table}_ledger"
+        columns = batch.columns
+        _named(*columns)
+        connection = connect()
+        try:
+            run = connection.cursor().execute
+            run(f"CREATE TABLE IF NOT EXISTS {ledger} (stream VARCHAR(200) NOT NULL, batch_id BIGINT NOT NULL, PRIMARY KEY (stream, batch_id))")
+            connection.commit()
+            seen = connection.cursor()
+            seen.execute(f"SELECT count(*) FROM {ledger} WHERE stream = '{stream}' AND batch_id = {int(batch_id)}")
+            if seen.fetchone()[0]:
+                return
+            stage(latest_per_key(batch, list(pk), list(version)), staging)
+            run("BEGIN")
+            run(f"INSERT INTO {ledger} (stream, batch_id) VALUES ('{stream}', {int(batch_id)})")  # a second writer fails here, on the key
+            run(merge_statement(table, staging, pk, version, columns))
+            connection.commit()
+            run(f"DROP TABLE IF EXISTS {staging}")
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
 
     return write
 
 
-def merge_statement(table: str, pk: Sequence[str], columns: Sequence[str]) -> str:
-    """The upsert a database or table format runs after staging."""
+def merge_statement(table: str, staging: str, pk: Sequence[str], version: Sequence[str], columns: Sequence[str]) -> str:
+    """The upsert of staged rows; a row that is older than the one in the table changes nothing."""
     on = " AND ".join(f"t.{k} = s.{k}" for k in pk)
     sets = ", ".join(f"{c} = s.{c}" for c in columns if c not in pk)
     names = ", ".join(columns)
     values = ", ".join(f"s.{c}" for c in columns)
-    return (
-        f"MERGE INTO {table} t USING {table}_staging s ON {on} "
-        f"WHEN MATCHED THEN UPDATE SET {sets} WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})"
+    # Newer, or as new: (a, b) >= (c, d) spelt out, which every dialect reads.
+    newer = " OR ".join(
+        "(" + " AND ".join([*(f"s.{e} = t.{e}" for e in version[:i]), f"s.{v} {'>=' if i == len(version) - 1 else '>'} t.{v}"]) + ")" for i, v in enumerate(version)
     )
+    matched = f"WHEN MATCHED AND ({newer}) THEN" if version else "WHEN MATCHED THEN"
+    return f"MERGE INTO {table} t USING {staging} s ON {on} {matched} UPDATE SET {sets} WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})"
 
 
 def upsert(current: DataFrame, changes: DataFrame, pk: Sequence[str], version: Sequence[str]) -> DataFrame:

@@ -51,3 +51,19 @@ def split_late(
     marked = with_current_watermark(df, ts, partition, offset, delay_ms)
     late = F.coalesce(F.col(ts) < F.col("current_watermark"), F.lit(False))
     return marked.where(~late), marked.where(late)
+
+
+def distinct_per_window(
+    df: DataFrame, ts: str, size: str, keys: Sequence[str], value: str, name: str, delay_ms: int = DEFAULT_DELAY_MS, slide: str | None = None
+) -> DataFrame:
+    """Exact ``COUNT(DISTINCT value)`` per window and key on a stream, in append mode.
+
+    A value is handed on when a window sees it first; the window counts what it is
+    handed. State holds a value once per open window, and both go when the
+    watermark passes the window's end. A null value makes a window but counts
+    nothing.
+    """
+    window = F.window(ts, size, slide) if slide else F.window(ts, size)
+    first = bounded_out_of_orderness(df, ts, delay_ms).select(window.alias("_w"), *keys, F.col(value).alias("_v")).dropDuplicates(["_w", *keys, "_v"])
+    counted = first.groupBy("_w", *keys).agg(F.count("_v").alias(name))
+    return counted.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), name)

@@ -61,7 +61,7 @@ def append_to(df: DataFrame, path: str, timeout: int | None = None) -> DataFrame
         .trigger(availableNow=True)
         .start(f"{path}/rows")
     )
-    _finish(query, timeout)
+    finish(query, timeout)
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
 
 
@@ -81,13 +81,13 @@ def update_to(df: DataFrame, path: str, keys: list[str], timeout: int | None = N
         .trigger(availableNow=True)
         .start()
     )
-    _finish(query, timeout)
+    finish(query, timeout)
     schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
     written = df.sparkSession.read.schema(schema).parquet(f"{path}/rows")
     return latest_per_key(written, keys, ["batch"]).drop("batch")
 
 
-def _finish(query, timeout: int | None) -> None:
+def finish(query, timeout: int | None) -> None:
     done = query.awaitTermination(timeout) if timeout else (query.awaitTermination() or True)
     if not done:
         query.stop()

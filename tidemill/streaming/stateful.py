@@ -1,4 +1,4 @@
-"""Keyed stateful operators: TTL state, late rows."""
+"""Keyed state with a time to live, and the form of state keys."""
 
 from __future__ import annotations
 
@@ -64,43 +64,3 @@ def totals_with_ttl(df: DataFrame, keys: Sequence[str], value: str, ttl_ms: int)
     return counted.select(F.from_json("state_key", kinds, JSON_TIMES).alias("k"), "n", F.nanvl("total", F.lit(None).cast("double")).alias("total")).select(
         "k.*", "n", "total"
     )
-
-# Input columns of the processors below have no leading underscore: rows reach
-# Python as named tuples, which cannot carry such names.
-
-
-class _LateRows(StatefulProcessor):
-    def __init__(self, delay_ms: int, offset: str, columns: Sequence[str]):
-        self.delay_us, self.offset, self.columns = delay_ms * 1000, offset, list(columns)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.top = handle.getValueState("top", "us bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        top = self.top.get()[0] if self.top.exists() else None
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.offset, kind="stable")
-        us = batch["row_us"]
-        before = us.cummax().shift()
-        if top is not None:
-            before = before.fillna(top).clip(lower=top)
-        batch["late"] = (us < before - self.delay_us).fillna(False).astype(bool)
-        self.top.update((int(us.max() if top is None else max(us.max(), top)),))
-        yield batch[[*self.columns, "late"]]
-
-    def close(self) -> None:
-        pass
-
-
-def mark_late_rows(df: DataFrame, partition: str, ts: str, offset: str, delay_ms: int) -> DataFrame:
-    """Adds ``late``: is the row behind the watermark its source partition had before it.
-
-    For a side output: late rows are routed, not lost. State is one number per
-    source partition; a micro-batch of one partition is ordered by offset, so
-    bound it with the source's rate options.
-    """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumn("row_us", at).withColumn("state_key", state_key(F.col(partition)))
-    out = T.StructType([*df.schema.fields, T.StructField("late", T.BooleanType())])
-    return rows.groupBy("state_key").transformWithStateInPandas(
-        _LateRows(delay_ms, offset, df.columns), out, "append", "None"
-    )
