@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -37,6 +38,41 @@ def test_shards_are_even_and_places_have_no_gaps(spark):
     assert sharding.shard(docs.limit(0), 8)[0].count() == 0
 
 
+def plain_places(rows, slot_map):
+    """Shard and place of every row by the stored map alone."""
+    out, at = [], dict.fromkeys(range(slot_map.n_shards), 0)
+    order = lambda r: (r.virtual_slot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size)
+    for r in sorted(rows, key=order):
+        shard = slot_map.shard_of[r.virtual_slot]
+        out.append((r.doc_id, r.text_crc32, shard, at[shard]))
+        at[shard] += 1
+    return sorted(out, key=repr)
+
+
+def test_shards_follow_the_stored_map(spark, tmp_path):
+    rng = random.Random(6)
+    texts = ["x" * rng.randrange(500) for _ in range(4000)] + [None, "", "same", "same"]
+    frame = lambda n: spark.createDataFrame([(i, t) for i, t in enumerate(texts[:n])] + [(None, "n"), (3, "again")], "doc_id long, text string")
+    store = str(tmp_path / "maps")
+    before, first = sharding.shard(frame(4004), 8, store)
+    rows = before.collect()
+    assert first == sharding.SlotMap.stored(spark, store) and first.version == 2
+    assert plain_places(rows, first) == sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in rows), key=repr)
+    again, second = sharding.shard(frame(4004), 8, store)  # nothing to edit: the same map, the same rows
+    assert second == first and sorted(map(repr, again.collect())) == sorted(map(repr, rows))
+    fewer, third = sharding.shard(frame(3500), 8, store)  # other loads: an edit of the stored map
+    moved = sum(a != b for a, b in zip(first.shard_of, third.shard_of, strict=True))
+    assert third.version == 3 and 0 < moved < 400
+    size = Counter()
+    for r in fewer.collect():
+        size[r.shard] += r.size
+    assert max(size.values()) - min(size.values()) <= 4
+    grown, fourth = sharding.shard(frame(3500), 9, store)
+    assert (fourth.version, fourth.n_shards) == (4, 9)
+    assert all(a == b or b == 8 or fourth.shard_of.count(a) for a, b in zip(third.shard_of, fourth.shard_of, strict=True))
+    assert plain_places(grown.collect(), sharding.SlotMap.stored(spark, store)) == sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in grown.collect()), key=repr)
+
+
 def test_map_is_edited_not_made_anew(spark):
     rng = random.Random(2)
     load = [rng.randrange(1, 100) for _ in range(256)]
@@ -129,6 +165,28 @@ def test_embeddings_with_one_id_on_several_vectors(spark):
     assert [r[0] for r in got if r[3]] == [1, 4, 4, 5]
 
 
+def test_cosines_in_double_precision_at_any_scale(spark):
+    y = (1 - 0.9**2) ** 0.5
+    turned = lambda angle: [0.9 - angle * y, y + angle * 0.9]
+    rows = [(1, [1.0, 0.0]), (2, turned(1e-10)), (3, [-1e30, 0.0]), (4, [-x * 1e-30 for x in turned(-1e-10)]), (5, [0.0, -1e-300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_planted_pairs_near_the_threshold_are_found(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((3000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((3000, 32))
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9001, 0.93, (3000, 1))
+    near = c * base + np.sqrt(1 - c**2) * side
+    rows = [(2 * i + k, v.tolist()) for i, both in enumerate(zip(base, near, strict=True)) for k, v in enumerate(both)]
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(3000)) >= 0.99 * 3000
+
+
 def test_tables_grow_so_that_pairs_at_the_threshold_are_found():
     for n in (10, 10**4, 10**7, 10**10):
         bits, tables = embeddings.plan(n)
@@ -156,7 +214,7 @@ def test_query(spark, name):
         assert len(rows) == con.execute(f"select count(*) from {source}").fetchone()[0]
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))

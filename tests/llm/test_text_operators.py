@@ -309,10 +309,27 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    words = Counter()
+    copies = Counter()
     for r in out.select("doc_id", "text").collect():
-        words[r.doc_id] += len(r.text.split())
-    assert words == Counter({r.doc_id: r.taken for r in rows if r.taken})
+        assert r.text == texts[r.doc_id]  # whole
+        copies[r.doc_id] += 1
+    words = Counter()
+    for r in rows:
+        assert r.size == 0 or r.taken // r.size <= copies[r.doc_id] <= -(-r.taken // r.size)
+        words[sources[r.doc_id]] += copies[r.doc_id] * r.size
+    for s in own:
+        assert abs(words[s] - want[s]) <= max(60, 0.03 * want[s])
+
+
+def test_rows_without_an_id_are_dealt_to_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 20)
+    rows = [(i, f"text number {k}", "a") for k in range(400) for i in ([None, 7] if k % 2 else [k])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    shards = {}
+    for r in mixing.mix(docs).collect():
+        shards.setdefault(r.doc_id if r.doc_id in (None, 7) else "own", Counter())[r.shard] += 1
+    for of in shards.values():
+        assert len(of) > 15 and max(of.values()) < 0.2 * sum(of.values())
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -444,9 +461,10 @@ def test_pipeline_equals_plain_steps(spark, tokenizer):
     taken = {r.doc_id: r.taken for r in mixing.mix(docs.where(docs.doc_id.isin(kept))).collect()}
     texts = []
     for i in sorted(i for i in kept if taken[i]):
-        words = rows[i].split()
-        whole, part = divmod(taken[i], len(words))
-        texts += sorted([rows[i]] * whole + ([" ".join(words[:part])] if part else []), key=lambda t: t.encode())
+        size = len(rows[i].split())
+        whole, part = divmod(taken[i], size)
+        draw = int(hashlib.md5(f"{mixing.SEED}:{i}:{hashlib.md5(rows[i].encode()).hexdigest()}".encode()).hexdigest()[8:16], 16)
+        texts += [rows[i]] * (whole + (draw * size < part << 32))
     want = plain_tokens(tokenizer, texts)
     got = sorted(out, key=lambda r: r.start)
     assert [r.ids_crc32 for r in got] == [zlib.crc32(x.tobytes()) for x in want]

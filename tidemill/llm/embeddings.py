@@ -29,13 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import partitions, settled, sorted_runs
+from tidemill.llm.common import SMALL_BYTES, partitions, settled, sorted_runs, tidied
 from tidemill.llm.components import components
 
 THRESHOLD = 0.9
 RECALL = 0.995  # of pairs exactly at the threshold; nearer pairs are found more surely
-BUCKET = 64
-BLOCK = 1024
+BUCKET = 1024  # few bits and few tables: a vector is shuffled once a table, and comparing is cheap beside that
+BLOCK = 4096
+TILE = 512  # rows of a block that are multiplied at a time
 SEED = 11
 
 
@@ -59,14 +60,24 @@ def codes_of(vectors: np.ndarray, bits: int, tables: int, seed: int = SEED) -> n
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def _pairs(x: np.ndarray, left: slice, right: slice, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two blocks whose cosine reaches the threshold, each block's counted from its start."""
+    found = []
+    for at in range(left.start, left.stop, TILE):
+        linked = x[at : min(at + TILE, left.stop)] @ x[right].T >= threshold
+        if same:
+            k = np.arange(len(linked))
+            linked[k, k + at - left.start] = False
+        i, j = np.nonzero(linked)
+        found.append((i + at - left.start, j))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def _compare(left: slice, right: slice, same: bool, table: int, x, codes, copies, ids, threshold) -> pd.DataFrame | None:
     """Links between two blocks of one bucket: counts and local components per class."""
-    linked = x[left] @ x[right].T >= threshold
-    if same:
-        np.fill_diagonal(linked, False)
-    if not linked.any():
+    i, j = _pairs(x, left, right, same, threshold) if left.stop > left.start and right.stop > right.start else ((), ())
+    if not len(i):
         return None
-    i, j = np.nonzero(linked)
     # Only pairs that meet here first are counted here.
     first = (codes[left][i, :table] != codes[right][j, :table]).all(1) if table else np.ones(len(i), bool)
     n_left, n_right = len(codes[left]), len(codes[right])
@@ -99,38 +110,46 @@ def linked_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFram
                 x = np.stack(own["vector"].to_numpy()).astype(np.float64)
                 yield own.assign(codes=list(codes_of(x, bits, tables)))
 
-    coded = settled(classes.mapInPandas(code, "id long, copies long, vector array<float>, codes array<long>"))
-    entries = coded.select("*", F.size("vector").alias("dim"), F.posexplode("codes").alias("t", "code"))
+    kind = classes.schema["vector"].dataType.simpleString()
+    coded = settled(classes.mapInPandas(tidied(code), f"id long, copies long, vector {kind}, codes array<long>"))
     key = ["dim", "t", "code"]
-    hot = entries.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    hot = hot.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    entries = entries.join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    each = coded.select("*", F.size("vector").alias("dim"), F.posexplode("codes").alias("t", "code"))
+    hot = each.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    hot = settled(hot.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    # What travels is the vector; the codes of other tables are computed again where they are asked for.
+    entries = each.select("id", "copies", "vector", *key)
+    n_hot = hot.count()
+    if n_hot:
+        entries = entries.join(F.broadcast(hot) if 32 * n_hot <= SMALL_BYTES else hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        entries = entries.withColumn("blocks", F.lit(1))
     entries = entries.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = [*key, "low", "high"]
     entries = entries.select(
-        "id", "copies", "vector", "codes", "dim", "t", "code", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+        "id", "copies", "vector", "dim", "t", "code", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, bounds in sorted_runs(batches, key):
             x = np.stack(frame["vector"].to_numpy()) if frame["dim"].nunique() == 1 else None
-            codes, copies, ids = np.stack(frame["codes"].to_numpy()), frame["copies"].to_numpy(), frame["id"].to_numpy()
+            copies, ids = frame["copies"].to_numpy(), frame["id"].to_numpy()
             own, low, high, t = (frame[c].to_numpy() for c in ("own", "low", "high", "t"))
             for a, z in bounds:
                 if z - a < 2:
                     continue
                 v = np.stack(frame["vector"].iloc[a:z].to_numpy()).astype(np.float64) if x is None else x[a:z].astype(np.float64)
+                codes = codes_of(v, bits, tables)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 same = low[a] == high[a]
                 cut = z - a if same else int((own[a:z] == low[a]).sum())
                 left, right = slice(0, cut), slice(0, cut) if same else slice(cut, z - a)
-                found = _compare(left, right, same, int(t[a]), v, codes[a:z], copies[a:z], ids[a:z], threshold)
+                found = _compare(left, right, same, int(t[a]), v, codes, copies[a:z], ids[a:z], threshold)
                 if found is not None:
                     yield found
 
     dealt = entries.repartition(partitions(classes.sparkSession), *key).sortWithinPartitions(*key, "own", "id")
-    return dealt.mapInPandas(compare, "id long, links long, root long")
+    return dealt.mapInPandas(tidied(compare), "id long, links long, root long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -13,8 +13,8 @@ rows is many shards, and nothing wider than a shard is ordered. Tables of one
 row per source, and of one per shard, are all else that is gathered.
 
 Cases: a null or empty text has size 0 and is never taken; a null source is a
-source of its own, last in order; rows with equal ``doc_id`` and size are
-interchangeable; an empty table gives an empty result; further columns of the
+source of its own, last in order; rows without an id, or of one id, are parted by
+their texts, and those with equal texts are interchangeable; an empty table gives an empty result; further columns of the
 input are ignored.
 """
 
@@ -111,7 +111,7 @@ def sainte_lague(df: DataFrame, group: Sequence[str], votes: str, n_seats: str,
 def quotas(sized: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """One row per source with its target and shards, and one per (source, shard) with its seats and run of blocks.
 
-    ``sized`` has ``doc_id, source, size`` and is read twice.
+    ``sized`` has ``doc_id, source, size, _salt`` and is read twice.
     """
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), weights)
     everything = Window.partitionBy()
@@ -139,10 +139,15 @@ def quotas(sized: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED)
     return by_source, settled(cells.select("rank", "shard", "seats", "rounds", "_from", "_to", "_wrap"))
 
 
+def salt(text: Column) -> Column:
+    """What parts rows without an id, or of one id, in the seeded order."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_salt")
+
+
 def placed(rows: DataFrame, by_source: DataFrame, seed: int) -> DataFrame:
     """Adds a row's source figures, its shard and its key in the seeded order."""
     place = by_source.select(F.col("source").alias("_s"), "rank", "source_size", "target", "_shards", "_block", "source_blocks")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("_salt")))
     return (
         rows.join(place, F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("_key", key)
@@ -162,7 +167,7 @@ def taken(rows: DataFrame, by_source: DataFrame, cells: DataFrame, seed: int) ->
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` and the quota behind them, for every document."""
-    sized = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), salt(F.col("text"))))
     return taken(sized, *quotas(sized, weights, seed), seed).select(
         "doc_id",
         "size",
@@ -176,21 +181,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) ->
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """Documents as often as the mix takes them, with all their columns.
+    """Documents as often as the mix takes them, whole and with all their columns.
 
-    What it takes beyond whole rounds is a copy cut to as many words, joined by
-    single spaces; its ``n_chars`` follows.
+    A document at the edge of a run of blocks, which the mix takes in part, is
+    there once more with the probability of that part (a seeded draw), so that
+    sums stay near the quota and no text is cut.
     """
     size = word_count(F.col("text"))
-    sized = settled(docs.select("doc_id", "source", size.alias("size")))
-    rows = docs.select("doc_id", "source", size.alias("size"), F.struct(*docs.columns).alias("_row"))
+    sized = settled(docs.select("doc_id", "source", size.alias("size"), salt(F.col("text"))))
+    rows = docs.select("doc_id", "source", size.alias("size"), salt(F.col("text")), F.struct(*docs.columns).alias("_row"))
     whole, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    draw = F.conv(F.substring("_key", 9, 8), 16, 10).cast("long")
     counted = taken(rows, *quotas(sized, weights, seed), seed).where(F.col("taken") > 0)
-    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + (part > 0).cast("long"))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, part.cast("int")), " ")
-    text = F.when(F.col("_copy") > whole, cut).otherwise(F.col("_row.text"))
-    out = copies.select("_row", text.alias("_text"))
-    changed = {"text": F.col("_text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.char_length("_text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[changed.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])
+    counted = counted.withColumn("_copies", whole + (draw * F.col("size") < part * (1 << 32)).cast("long"))
+    copies = counted.where(F.col("_copies") > 0).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return copies.select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])

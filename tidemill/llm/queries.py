@@ -98,7 +98,7 @@ def _mix_sql() -> str:
     m, seed = mixing.MAX_REPEAT, mixing.SEED
     return rf"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  md5(concat_ws(':', '{seed}', CAST(doc_id AS VARCHAR))) AS key FROM documents),
+  md5(concat_ws(':', '{seed}', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS rows_ FROM sized GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s0),
 s2 AS (SELECT *, CAST([{", ".join(map(str, mixing.WEIGHTS))}][(rank - 1) % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS weight,
@@ -139,8 +139,8 @@ def op7_repeated_strings(t: Tables) -> DataFrame:
 
 @_query()
 def op8_virtual_slots(t: Tables) -> DataFrame:
-    """Every document's place in one of eight shards."""
-    return sharding.shard(t.documents, 8)[0]
+    """Every document's place in one of eight shards, by the map stored for these documents."""
+    return sharding.shard(t.documents, 8, store=sharding.store_for(t.spark, t.folder))[0]
 
 
 @_query()

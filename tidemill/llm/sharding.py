@@ -1,10 +1,15 @@
 """Sharding by fixed virtual slots.
 
 A record belongs to one of a fixed number of virtual slots, for good. Which
-shard holds a slot is a small versioned map. Rebalancing edits the map, moving
-whole slots, and leaves every record's slot alone. The law kept is ``bytes``:
-shard sizes come as near to each other as moving and swapping slots can bring
-them.
+shard holds a slot is a small versioned map, a table in the shared folder. Sharding reads
+the newest version; where the loads ask for it, the map is edited by moving whole
+slots, stored as the next version, and read back. A record's slot never changes.
+The law kept is ``bytes``: shard sizes come as near to each other as moving and
+swapping slots can bring them.
+
+Equal texts do not stay together: a text that a third of the rows share would fill
+a shard beyond its even share, which the law forbids. The slot therefore hashes
+the id with the text, so that copies are dealt like all other rows.
 
 Cases: a null text has no bytes and counts 1; rows that are equal in every
 respect share a slot; an empty table gives an empty result; further columns of
@@ -13,6 +18,7 @@ the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -21,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import settled
+from tidemill.session import shared_dir
 
 SLOTS = 4096  # fixed for the life of a corpus
 LAW = "bytes"
@@ -81,6 +88,18 @@ class SlotMap:
         rows = [(self.version, slot, shard, self.n_shards) for slot, shard in enumerate(self.shard_of)]
         return spark.createDataFrame(rows, "version int, virtual_slot int, shard int, n_shards int")
 
+    def publish(self, spark: SparkSession, folder: str) -> None:
+        """Store this version beside the earlier ones; a version is never overwritten."""
+        self.table(spark).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/version={self.version}")
+
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str) -> SlotMap | None:
+        """The newest version in a folder, if it holds any."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        return cls.read(spark.read.schema("virtual_slot int, shard int, n_shards int, version int").parquet(folder))
+
     @classmethod
     def read(cls, table: DataFrame) -> SlotMap:
         """The newest version in a table of maps (``SLOTS`` rows a version)."""
@@ -120,9 +139,17 @@ def slot_loads(slotted: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[
     return size, rows
 
 
-def shard(docs: DataFrame, n_shards: int, current: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
+def store_for(spark: SparkSession, name: str) -> str:
+    """The folder of the maps of one corpus, in the shared folder."""
+    return f"{shared_dir(spark)}/tidemill-slot-maps/{hashlib.sha256(name.encode()).hexdigest()[:16]}"
+
+
+def shard(docs: DataFrame, n_shards: int, store: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Put every row into a shard; returns the rows and the map they follow.
 
+    With a ``store`` (a folder) the newest map there is the one that is edited,
+    and an edited map is stored. A map that needs no edit stays as it is.
+
     ``slot`` is the row's place in its shard, from 0 without gaps: the rows of
     the shard's earlier virtual slots, then its rank in its own. Nothing wider
     than a virtual slot is ever ordered.
@@ -130,7 +157,13 @@ def shard(docs: DataFrame, n_shards: int, current: SlotMap | None = None) -> tup
     spark = docs.sparkSession
     slotted = settled(with_slots(docs))
     load, rows = slot_loads(slotted)
+    current = SlotMap.stored(spark, store) if store else None
     slot_map = (current or SlotMap.first(n_shards)).rebalanced(load, n_shards)
+    if current and slot_map.shard_of == current.shard_of and slot_map.n_shards == current.n_shards:
+        slot_map = current
+    elif store:
+        slot_map.publish(spark, store)
+        slot_map = SlotMap.stored(spark, store)
     before, places = [0] * n_shards, []
     for s, where in enumerate(slot_map.shard_of):
         places.append((s, where, before[where]))
