@@ -22,6 +22,7 @@ the input are ignored.
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -36,20 +37,62 @@ BASE = (
     ("cc-by", "cc by"),
     ("mit", "mit license"),
 )
+# Words of public licence notices, and SPDX identifiers.
+#: label, name, version words: licences that are named with their version, which follows the name in one of ``AFTER``.
+VERSIONED = (
+    ("gpl-2.0", "gnu general public license", "version 2"),
+    ("gpl-3.0", "gnu general public license", "version 3"),
+    ("lgpl-2.1", "gnu lesser general public license", "version 2 1"),
+    ("lgpl-3.0", "gnu lesser general public license", "version 3"),
+    ("agpl-3.0", "gnu affero general public license", "version 3"),
+    ("gfdl-1.3", "gnu free documentation license", "version 1 3"),
+    ("apache-2.0", "apache license", "version 2 0"),
+    ("mpl-2.0", "mozilla public license", "version 2 0"),
+    ("mpl-2.0", "mozilla public license", "v 2 0"),
+    ("epl-2.0", "eclipse public license", "v 2 0"),
+    ("epl-2.0", "eclipse public license", "version 2 0"),
+    ("cddl-1.0", "common development and distribution license", "version 1 0"),
+    ("bsl-1.0", "boost software license", "version 1 0"),
+    ("ofl-1.1", "sil open font license", "version 1 1"),
+    ("psf-2.0", "python software foundation license", "version 2"),
+    ("osl-3.0", "open software license", "version 3 0"),
+    ("afl-3.0", "academic free license", "version 3 0"),
+    ("eupl-1.2", "european union public licence", "v 1 2"),
+)
+AFTER = (0, 1, 8)  # words between name and version: none, an abbreviation, "as published by the free software foundation either"
+#: Versions named first: "under version 3 of the GNU General Public License".
+BEFORE = ("gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0")
 #: label, key phrases with their first word's place in the notice. Places of one notice grow.
 NOTICES = (
     ("apache-2.0", ((0, "licensed under the apache license"), (5, "version 2 0"))),
-    ("gpl-3.0", ((0, "gnu general public license"), (4, "version 3"))),
-    ("gpl-3.0", ((0, "gnu general public license"), (12, "version 3"))),  # as published by the free software foundation either
-    ("gpl-3.0", ((0, "version 3"), (4, "gnu general public license"))),  # of the
-    ("gpl-2.0", ((0, "gnu general public license"), (4, "version 2"))),
-    ("gpl-2.0", ((0, "gnu general public license"), (12, "version 2"))),
-    ("gpl-2.0", ((0, "version 2"), (4, "gnu general public license"))),
-    ("cc-by-nc-4.0", ((0, "cc by nc"), (3, "4 0"))),
-    ("cc-by-sa-4.0", ((0, "cc by sa"), (3, "4 0"))),
+    ("apache-2.0", ((0, "licensed under the apache license"), (5, "version 2 0"), (9, "you may not use this file except in compliance with the license"), (32, "http www apache org licenses license 2 0"))),
+    ("mpl-2.0", ((0, "subject to the terms of the mozilla public license"), (9, "v 2 0"), (12, "if a copy of the mpl was not distributed with this file"))),
+    ("mpl-2.0", ((0, "subject to the terms of the mozilla public license"), (9, "v 2 0"))),
     ("mit-notice", ((0, "permission is hereby granted free of charge"), (87, "the software is provided as is without warranty"))),
+    ("mit-notice", ((0, "permission is hereby granted free of charge"), (66, "the above copyright notice and this permission notice shall be included"), (87, "the software is provided as is without warranty"))),
     ("bsd", ((0, "redistribution and use in source and binary forms"), (12, "are permitted provided that the following conditions are met"))),
-    ("mpl-2.0", ((0, "subject to the terms of the mozilla public license"), (9, "v 2 0"))),
+    ("bsd-3-clause", ((0, "redistribution and use in source and binary forms"), (12, "are permitted provided that the following conditions are met"), (71, "neither the name of"))),
+    ("isc", ((0, "permission to use copy modify and or distribute this software for any purpose"), (34, "the software is provided as is and the author disclaims all warranties"))),
+    ("unlicense", ((0, "this is free and unencumbered software released into the public domain"), (11, "anyone is free to copy modify publish use compile sell or distribute this software"))),
+    ("zlib", ((0, "this software is provided as is without any express or implied warranty"), (12, "in no event will the authors be held liable"))),
+    ("postgresql", ((0, "permission to use copy modify and distribute this software and its documentation for any purpose without fee"),)),
+    ("openssl", ((0, "this product includes software developed by the openssl project"),)),
+    ("artistic-2.0", ((0, "the artistic license 2 0"),)),
+    ("cc0-1.0", ((0, "cc0 1 0 universal"),)),
+    ("cc-by-4.0", ((0, "creative commons attribution 4 0 international"),)),
+    ("cc-by-sa-4.0", ((0, "creative commons attribution sharealike 4 0 international"),)),
+    ("cc-by-nc-4.0", ((0, "creative commons attribution noncommercial 4 0 international"),)),
+    ("cc-by-nd-4.0", ((0, "creative commons attribution noderivatives 4 0 international"),)),
+    ("cc-by-nc-sa-4.0", ((0, "creative commons attribution noncommercial sharealike 4 0 international"),)),
+    ("cc-by-nc-nd-4.0", ((0, "creative commons attribution noncommercial noderivatives 4 0 international"),)),
+    ("cc-by-nc-4.0", ((0, "cc by nc"), (3, "4 0"))),
+    ("cc-by-sa-4.0", ((0, "cc by sa"), (3, "4 0"))),
+    ("cc-by-4.0", ((0, "cc by 4 0"),)),
+)
+#: Each is a template "SPDX-License-Identifier: <it>" under itself as label.
+SPDX = (
+    "mit", "apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "bsd-2-clause", "bsd-3-clause", "isc", "mpl-2.0",
+    "unlicense", "cc0-1.0", "epl-2.0", "bsl-1.0", "zlib", "cc-by-4.0", "cc-by-sa-4.0", "ofl-1.1", "postgresql",
 )
 SLACK = 2
 DRIFT = 7  # a later phrase may stand a DRIFT-th of its distance from its place
@@ -64,12 +107,24 @@ def forms(phrases: tuple[tuple[int, str], ...]) -> list[tuple[tuple[int, str], .
     return [tuple((at + step * k, words) for (at, words), k in zip(phrases, ks, strict=True)) for ks in moves]
 
 
+def notices() -> list[tuple[str, tuple[tuple[int, str], ...]]]:
+    """All templates of more than the base phrases: label and key phrases with their places."""
+    out = []
+    for label, name, version in VERSIONED:
+        n = len(name.split())
+        out += [(label, ((0, name), (n + gap, version))) for gap in AFTER]
+        if label in BEFORE:
+            out.append((label, ((0, version), (len(version.split()) + 2, name))))
+    out += [(label, form) for label, phrases in NOTICES for form in forms(phrases)]
+    return out + [(name, ((0, "spdx license identifier " + " ".join(re.split("[-.]", name))),)) for name in SPDX]
+
+
 def key_phrases() -> list[dict]:
     """One row per key phrase: template, its label, the phrase's number, place and words, and how many the template has."""
     rows = []
     for t, (label, phrase) in enumerate(BASE):
         rows.append({"t": t, "label": label, "i": 0, "n": 1, "at": 0, "words": phrase.split(), "base": True})
-    for t, (label, phrases) in enumerate(((label, form) for label, phrases in NOTICES for form in forms(phrases)), len(BASE)):
+    for t, (label, phrases) in enumerate(notices(), len(BASE)):
         for i, (at, phrase) in enumerate(phrases):
             rows.append({"t": t, "label": label, "i": i, "n": len(phrases), "at": at, "words": phrase.split(), "base": False})
     return rows

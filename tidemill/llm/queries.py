@@ -32,13 +32,12 @@ def _license_sql() -> str:
     rows = ",".join(
         f"({p['t']},'{p['label']}',{p['i']},{p['n']},{p['at']},{p['words']!r},{str(p['base']).lower()})" for p in licenses.key_phrases()
     )
-    s = licenses.SLACK
+    s, first = licenses.SLACK, sorted({p["words"][0] for p in licenses.key_phrases()})
     return rf"""
 WITH phrases(t, label, i, n, begin_at, words, base) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-starts AS (SELECT r, w, unnest(range(len(w))) AS p FROM d WHERE list_has_any(w, ['gnu','apache','cc','mit','version','4','permission','software',
-  'redistribution','permitted','mozilla','v'])),
+starts AS (SELECT r, w, unnest(range(len(w))) AS p FROM d WHERE list_has_any(w, {first})),
 places AS (SELECT r, p, t, label, i, n, begin_at, base FROM starts, phrases WHERE w[p + 1] = words[1] AND w[p + 1 : p + len(words)] = words),
 b AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places WHERE base GROUP BY r),
@@ -154,13 +153,23 @@ def _urls_sql() -> str:
     fits = lambda r: f"((host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}'))"
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in rules) + " END"
     lower = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
-    has = lambda term: f"CAST(regexp_matches(u, '(^|[^a-z0-9]){term}([^a-z0-9]|$)') AS INTEGER)"
-    sums = lambda pick: " + ".join(pick(t, w) for t, w in urls.VOCABULARY.items()) or "0"
+    # Terms and their strength in the host and behind it; a joined one may touch others at one end.
+    alone, front, back = "(^|[^a-z0-9]){}([^a-z0-9]|$)", "(^|[^a-z0-9]){}", "{}([^a-z0-9]|$)"
+    terms = []
+    for term in sorted({*urls.HOST_TERMS, *urls.PATH_TERMS}):
+        h, p = urls.HOST_TERMS.get(term, 0), urls.PATH_TERMS.get(term, 0)
+        in_host = f"{front}|{back}".format(term, term) if term in urls.JOINED else alone.format(term)
+        terms.append(f"('{term}', {h}, {p}, '{in_host}', '{alone.format(term)}')")
     return f"""
-WITH r AS (SELECT page_id, {lower("url")} AS u, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, u, {lower("regexp_extract(rest, '^[^/?#]*')")} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
-h AS (SELECT page_id, host, path, {sums(lambda t, w: has(t) if w >= urls.REJECT_AT else "0")} AS strict_hits,
-  {sums(lambda t, w: "0" if w >= urls.REJECT_AT else has(t))} AS soft_hits, {sums(lambda t, w: f"{w} * {has(t)}")} AS weight FROM p)
+WITH r AS (SELECT row_number() OVER () AS k, page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT k, page_id, {lower("regexp_extract(rest, '^[^/?#]*')")} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+  {lower("CASE WHEN strpos(url, '://') > 0 THEN substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) ELSE url END")} AS behind FROM r),
+terms(term, h, p, in_host, behind_host) AS (VALUES {", ".join(terms)}),
+w AS (SELECT k, greatest(CASE WHEN h > 0 AND regexp_matches(host, in_host) THEN h ELSE 0 END, CASE WHEN terms.p > 0 AND regexp_matches(behind, behind_host) THEN terms.p ELSE 0 END) AS weight
+  FROM p, terms WHERE contains(host, term) OR contains(behind, term)),
+s AS (SELECT k, CAST(count(*) FILTER (weight >= {urls.REJECT_AT}) AS INTEGER) AS strict_hits, CAST(count(*) FILTER (weight > 0 AND weight < {urls.REJECT_AT}) AS INTEGER) AS soft_hits,
+  CAST(sum(weight) AS INTEGER) AS weight FROM w GROUP BY k),
+h AS (SELECT p.*, coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_hits, 0) AS soft_hits, coalesce(weight, 0) AS weight FROM p LEFT JOIN s USING (k))
 SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule,
   coalesce({case(lambda r: r[0])}, CASE WHEN weight >= {urls.REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits, weight FROM h"""
 
