@@ -37,7 +37,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import repeat
 
 import numpy as np
@@ -160,6 +160,25 @@ class Items:
         same = self.codes[np.minimum(k, len(self.codes) - 1)] == codes
         return k[same], at[same]
 
+    @cached_property
+    def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that begin at each word of the block, the items' lengths, and a mark per pair (and one for none)."""
+        pairs = np.concatenate([*self.begun, np.full((0, 2), -1)])
+        return pairs, np.array([len(w) for w in self.words], np.int64), np.zeros(len(self.codes) + 1, bool)
+
+    def _held(self, items: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """At how many words of each item a pair begins that is in ``seen``."""
+        pairs, lengths, mark = self._flat
+        if not len(items):
+            return items
+        n = lengths[items]
+        start = np.cumsum(n) - n
+        at = np.repeat(self.begin[items] - start, n) + np.arange(n.sum())
+        mark[seen] = True
+        held = np.add.reduceat(mark[pairs[at]].any(1).astype(np.int64), start)
+        mark[seen] = False
+        return held
+
     def least(self, threshold: float) -> np.ndarray:
         """The score from which an alignment with each item is reported; for the shortest, one that none reaches."""
         n = np.array([len(w) for w in self.words], np.int64)
@@ -176,11 +195,10 @@ class Items:
         seen = np.unique(found)
         n = self.first[seen + 1] - self.first[seen]
         places = self.places[np.repeat(self.first[seen] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        met = np.unique(np.searchsorted(self.begin, places, "right") - 1)
         out = []
-        for i in np.unique(np.searchsorted(self.begin, places, "right") - 1).tolist():
+        for i in met[self._held(met, seen) >= pairs[met]].tolist():
             item, q, best = self.words[i], int(pairs[i]), (0, 0, 0)
-            if np.isin(self.begun[i], seen).any(1).sum() < q:
-                continue
             reach = 3 * len(item) - int(least[i])
             begins = np.unique(at[np.isin(found, self.own[i])])
             early, late = begins[: max(0, len(begins) - q + 1)], begins[q - 1 :]
