@@ -2,6 +2,7 @@
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemill.plans.catalog import query
@@ -153,13 +154,13 @@ def filtered_view(t: Tables):
 def output_partitions_by_key(t: Tables):
     """Twelve output partitions; rows of one key never split."""
     out = S.partitioned(t.events.select("user_id"), 12, "user_id").select("user_id", F.spark_partition_id().alias("p"))
-    # Both are seen in the rows: the partitions that hold any, and whether one key lies in several.
+
+    def report(batches):  # one row per partition, be it empty
+        yield pd.DataFrame({"rows": [sum(len(b) for b in batches)]})
+
+    partitions = out.mapInPandas(report, "rows long").agg(F.count("*")).scalar()
     per_key = out.groupBy("user_id").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("n"))
-    return per_key.agg(
-        F.count_distinct("a").alias("partitions"),
-        F.bool_and((F.col("a") == F.col("b")) & F.col("a").between(0, 11)).alias("keys_together"),
-        F.sum("n").alias("n"),
-    )
+    return per_key.agg(partitions.cast("int").alias("partitions"), F.bool_and(F.col("a") == F.col("b")).alias("keys_together"), F.sum("n").alias("n"))
 
 
 @query("SELECT count(*) AS n, true AS amounts_ok, true AS quantities_ok, 3::BIGINT AS kinds FROM events")
