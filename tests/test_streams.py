@@ -1,11 +1,14 @@
 """Streams over several small files, one file per micro-batch."""
 
+import pickle
 import random
 import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests.plain import plain_matches
 from tidemill.operators import quality as Q
@@ -217,6 +220,70 @@ def test_lag_over_rows_out_of_order_and_across_batches(spark, tmp_path, offset):
     assert rows(got, "id", "before") == sorted(want, key=str)
 
 
+class _Counted:
+    """State in memory that counts calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.parts, self.timers = 0, None, {}, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {
+                "exists": lambda: self.value is not None,
+                "get": lambda: self.value,
+                "update": lambda v: setattr(self, "value", v),
+                "clear": lambda: setattr(self, "value", None),
+                "updateValue": lambda k, v: self.parts.__setitem__(k, v),
+                "getValue": lambda k: self.parts[k],
+                "removeKey": lambda k: self.parts.pop(k),
+                "registerTimer": self.timers.add,
+                "deleteTimer": self.timers.remove,
+            }[name](*args)
+
+        return call
+
+
+class _Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+@pytest.mark.parametrize("loose", [4, 16, 4096])
+@pytest.mark.parametrize("batches", [1, 5, 60])
+def test_rows_in_order_with_few_calls_into_the_state(loose, batches):
+    """Rows spread over a month, in any order and a few late: all handed on, in order of time, few calls a row."""
+    rng = random.Random(loose + batches)
+    month, start = 30 * 86_400_000, 1_704_067_200_000
+    kinds = T.StructType([T.StructField(n, T.LongType()) for n in ("us", "rank", "tie")])
+    line = sorted(rng.randrange(start * 1000, (start + month) * 1000) for _ in range(1500))
+    sent = [Row(us=us, rank=0, tie=i) for us, i in sorted(((us, i) for i, us in enumerate(line)), key=lambda r: r[0] + rng.randrange(40 * 3_600_000_000))]
+    p = in_order.InOrder(kinds, loose_rows=loose)
+    state = _Counted()
+    p.handle = p.waiting = p.parts = state
+    p.advance = lambda key, rows: [(r["us"],) for r in rows]
+    now = top = 0
+    got = []
+
+    def fire():
+        for at in sorted(t for t in state.timers if t <= now):
+            got.extend(u for out in p.handleExpiredTimer(("k",), _Now(now), None) for (u,) in pickle.loads(out.rows))
+            state.timers.remove(at)
+
+    size = -(-len(sent) // batches)
+    for a in range(0, len(sent), size):
+        p.handleInputRows(("k",), sent[a : a + size], _Now(now))
+        fire()
+        top = max([top, *(r.us // 1000 for r in sent[a : a + size])])
+        now = max(now, top - 40 * 3_600_000)
+        fire()
+    now = start + month + 1
+    fire()
+    assert got == line and state.value is None and not state.parts and not state.timers
+    if loose == in_order.LOOSE_ROWS:
+        assert state.calls < len(sent)  # one bucket a row took some ten
+
+
 def test_a_repeated_batch_marks_the_same_rows(spark, tmp_path):
     write = late_splitter("k", "ts", "id", 10_000, str(tmp_path))
     first, second = (spark.createDataFrame(b, SCHEMA) for b in ([(1, 1, at(100), 0.0)], [(2, 1, at(80), 0.0), (3, 1, at(300), 0.0)]))

@@ -1,15 +1,19 @@
 """Rows of a stream handed on in time order, with state that is read and written by time.
 
-Rows may come out of order within the watermark's delay. They wait in a map from
-a bucket of time to the bucket's rows, in their own types. A bucket has a timer at
-its first row; when the watermark passes that, the rows it has passed are sorted
-and handed on, and the rest of the bucket, if any, waits on. A row is therefore
-written and read with its bucket only, however many rows its key has waiting.
+Rows may come out of order within the watermark's delay. Every call into the state
+is a message to the JVM, so rows go there many at a time. A key's few rows wait
+together, in one value with one timer at the first of them. Beyond ``LOOSE_ROWS``
+they are dealt to buckets of time, as parts that are not read again before their
+time comes. A bucket is the wider the further it is ahead of the watermark, a
+minute at least, so a key has few buckets, whatever time its rows span; wide ones
+are cut finer once they are due. A key with many rows waiting is therefore read
+and written by time, and no more than ``LOOSE_ROWS`` or a minute of it at once.
 """
 
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
@@ -22,52 +26,111 @@ from tidemill.operators.row_patterns import row_mask
 from tidemill.streaming.stateful import JSON_TIMES, state_key
 
 BUCKET_MS = 60_000
+WIDER = 64  # a bucket of the next level, in buckets
+LOOSE_ROWS = 4096
 
 
 class InOrder(StatefulProcessor):
     """Base: ``advance`` gets a key's next rows, in order of time, ``rank`` and ``tie``, and gives result rows."""
 
-    def __init__(self, row: T.StructType, bucket_ms: int = BUCKET_MS):
-        self.row, self.bucket_ms = row, bucket_ms
+    def __init__(self, row: T.StructType, bucket_ms: int = BUCKET_MS, loose_rows: int = LOOSE_ROWS):
+        self.row, self.bucket_ms, self.loose_rows = row, bucket_ms, loose_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket bigint", T.StructType([T.StructField("rows", T.ArrayType(self.row))]))
+        self.waiting = handle.getValueState("waiting", "state binary")
+        self.parts = handle.getMapState("parts", "level int, bucket bigint, part int", "rows binary")
 
-    def advance(self, key, rows: list[Row]) -> Iterator[Row]:
+    def advance(self, key, rows: list[dict]) -> Iterator[tuple]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        buckets: dict[int, list] = {}
-        due: dict[int, int] = {}
+        timer, buckets, loose = self._load()
         for row in rows:
-            at = max(-(-row.us // 1000), now + 1)  # a late row goes with the next
-            bucket = at // self.bucket_ms
-            buckets.setdefault(bucket, []).append(tuple(row[n] for n in self.row.names))
-            due[bucket] = min(due.get(bucket, at), at)
-        for bucket, new in buckets.items():
-            held = self.waiting.getValue((bucket,)) if self.waiting.containsKey((bucket,)) else None
-            self.waiting.updateValue((bucket,), ([*map(tuple, held[0]), *new] if held else new,))
-            if not held or due[bucket] < min(-(-r[0] // 1000) for r in held[0]):
-                self.handle.registerTimer(due[bucket])
+            loose.append(tuple(row[n] for n in self.row.names))
+            if len(loose) >= 2 * self.loose_rows:
+                self._deal(buckets, loose, now)
+                loose = []
+        if len(loose) > self.loose_rows:
+            self._deal(buckets, loose, now)
+            loose = []
+        self._save(timer, buckets, loose, now)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        bucket = (expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms,)
-        if not self.waiting.containsKey(bucket):  # seen to by an earlier timer
+        now = timerValues.getCurrentWatermarkInMs()
+        _, buckets, loose = self._load()
+        while True:
+            due = sorted((b for b, (first, *_) in buckets.items() if first <= now), key=lambda b: (self._span(b)[0], -b[0]))
+            end = self._span(due[0])[1] if due else now + 1
+            group = [b for b in due if self._span(b)[0] < end]  # the widest first, with those inside it
+            if sum(buckets[b][2] for b in group) > self.loose_rows and group[0][0] > 0:
+                for part in self._taken(buckets, group[0]):
+                    self._deal(buckets, part, now, group[0][0] - 1)
+                continue
+            rows = [r for b in group for part in self._taken(buckets, b) for r in part]
+            rows += [r for r in loose if r[0] <= (end - 1) * 1000]
+            rows.sort(key=lambda r: r[:3])
+            n = bisect_right(rows, now * 1000, key=lambda r: r[0])
+            loose = rows[n:] + [r for r in loose if r[0] > (end - 1) * 1000]
+            if n:
+                names = self.row.names
+                out = list(self.advance(key, [dict(zip(names, r, strict=True)) for r in rows[:n]]))
+                if out:
+                    yield Row(rows=pickle.dumps(out, pickle.HIGHEST_PROTOCOL))
+            if not due:
+                break
+        if len(loose) > self.loose_rows:
+            self._deal(buckets, loose, now)
+            loose = []
+        self._save(None, buckets, loose, now)
+
+    def _load(self) -> tuple[int | None, dict, list[tuple]]:
+        """The time of the key's timer; its buckets, ``(level, number): [first ms, parts, rows]``; its rows in no bucket."""
+        return pickle.loads(self.waiting.get()[0]) if self.waiting.exists() else (None, {}, [])
+
+    def _save(self, timer: int | None, buckets: dict, loose: list[tuple], now: int) -> None:
+        """The state, and its timer unless the one that is set will do; a late row goes with the next."""
+        first = [f for f, *_ in buckets.values()]
+        if loose:
+            first.append(-(-min(r[0] for r in loose) // 1000))
+        if not first:
+            self.waiting.clear()
             return
-        rows = sorted(self.waiting.getValue(bucket)[0], key=lambda r: (r[0], r[1], r[2]))
-        n = sum(r[0] <= now_us for r in rows)
-        if n == len(rows):
-            self.waiting.removeKey(bucket)
-        elif n:
-            self.waiting.updateValue(bucket, ([tuple(r) for r in rows[n:]],))
-            self.handle.registerTimer(-(-rows[n][0] // 1000))
-        if n:
-            names = self.row.names
-            yield from self.advance(key, [Row(**dict(zip(names, r, strict=True))) for r in rows[:n]])
+        at = max(min(first), now + 1)
+        if timer is None or timer > at:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+            timer = at
+        self.waiting.update((pickle.dumps((timer, buckets, loose), pickle.HIGHEST_PROTOCOL),))
+
+    def _span(self, bucket: tuple[int, int]) -> tuple[int, int]:
+        width = self.bucket_ms * WIDER ** bucket[0]
+        return bucket[1] * width, (bucket[1] + 1) * width
+
+    def _deal(self, buckets: dict, rows: list[tuple], now: int, level: int | None = None) -> None:
+        """Rows to the buckets of their times, as new parts: of one level, or by how far ahead they are."""
+        dealt: dict[tuple, list] = {}
+        for row in rows:
+            at, own = -(-row[0] // 1000), level
+            if own is None:
+                own = 0
+                while at - now >= self.bucket_ms * WIDER ** (own + 1):
+                    own += 1
+            dealt.setdefault((own, at // (self.bucket_ms * WIDER**own)), []).append(row)
+        for bucket, own in dealt.items():
+            first, parts, n = buckets.get(bucket, (None, 0, 0))
+            at = -(-min(r[0] for r in own) // 1000)
+            self.parts.updateValue((*bucket, parts), (pickle.dumps(own, pickle.HIGHEST_PROTOCOL),))
+            buckets[bucket] = (at if first is None else min(first, at), parts + 1, n + len(own))
+
+    def _taken(self, buckets: dict, bucket: tuple[int, int]) -> Iterator[list[tuple]]:
+        """The parts of a bucket, which are gone then."""
+        for part in range(buckets.pop(bucket)[1]):
+            yield pickle.loads(self.parts.getValue((*bucket, part))[0])
+            self.parts.removeKey((*bucket, part))
 
     def close(self) -> None:
         pass
@@ -105,22 +168,25 @@ def _through(line: DataFrame, delay_ms: int, processor: type[InOrder], out: T.St
     row = T.StructType([f for f in line.schema.fields if f.name != "key"])
     row = T.StructType([T.StructField(f.name, _kept(f.dataType)) for f in row.fields if f.name != "at"])
     watched = line.withWatermark("at", f"{delay_ms} milliseconds")
-    return watched.groupBy("key").transformWithState(processor(row, *args), out, "append", "EventTime")
+    # The Python worker holds all that a task's timers give, one dictionary a row; packed, that is a few bytes a row.
+    packed = watched.groupBy("key").transformWithState(processor(row, *args), "rows binary", "append", "EventTime")
+    unpacked = F.udf(pickle.loads, T.ArrayType(out), useArrow=False)
+    return packed.select(F.inline(unpacked("rows")))
 
 
 # -- patterns -----------------------------------------------------------------------
 class _Match(InOrder):
     """A key's automaton: what is kept is its state, not the rows of the matches that are open."""
 
-    def __init__(self, row: T.StructType, rules: Rules, names: Sequence[str]):
+    def __init__(self, row: T.StructType, rules: Rules):
         super().__init__(row)
-        self.rules, self.names = rules, list(names)
+        self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.open = handle.getValueState("open", "state binary")
 
-    def advance(self, key, rows: list[Row]) -> Iterator[Row]:
+    def advance(self, key, rows: list[dict]) -> Iterator[tuple]:
         machine, position = Machine(self.rules), 0
         if self.open.exists():
             machine.epoch, machine.starts, position = pickle.loads(self.open.get()[0])
@@ -128,7 +194,7 @@ class _Match(InOrder):
             position += 1
             machine.step(position, row["mask"], row)
             for _, match in machine.take():
-                yield Row(key=key[0], **dict(zip(self.names, match.measures, strict=True)))
+                yield (key[0], *match.measures)
         if not machine.starts:
             machine.epoch = 0
         self.open.update((pickle.dumps((machine.epoch, machine.starts, position)),))
@@ -167,7 +233,7 @@ def stream_match(
 
     kinds = {name: kind(m) for name, m in measures.items()}
     out = T.StructType([T.StructField("key", T.StringType()), *[T.StructField(n, _kept(k)) for n, k in kinds.items()]])
-    found = _through(line, delay_ms, _Match, out, rules, list(measures))
+    found = _through(line, delay_ms, _Match, out, rules)
     own = F.from_json("key", T.StructType([T.StructField("k", df.schema[key].dataType)]), JSON_TIMES)
     return found.select(own["k"].alias(key), *[_restored(k, F.col(n)).alias(n) for n, k in kinds.items()])
 
@@ -188,7 +254,7 @@ class _AsOf(InOrder):
         kept = [self.row[n] for n in ("us", "tie", *self.version)]
         self.newest = handle.getValueState("newest", T.StructType(kept))
 
-    def advance(self, key, rows: list[Row]) -> Iterator[Row]:
+    def advance(self, key, rows: list[dict]) -> Iterator[tuple]:
         newest = before = tuple(self.newest.get()) if self.newest.exists() else None
         for row in rows:
             if row["rank"] == 0:
@@ -199,7 +265,7 @@ class _AsOf(InOrder):
             found = newest is not None and newest[0] <= row["us"]
             if found or self.how == "left":
                 values = newest[2:] if found else [None] * len(self.version)
-                yield Row(**{n: row[n] for n in self.probe}, **dict(zip(self.version, values, strict=True)))
+                yield (*[row[n] for n in self.probe], *values)
         if newest is not before:
             self.newest.update(newest)
 
@@ -249,12 +315,12 @@ class _Previous(InOrder):
         kept = T.StructType([self.row[n] for n in self.columns])
         self.last = handle.getValueState("last", T.StructType([T.StructField("rows", T.ArrayType(kept))]))
 
-    def advance(self, key, rows: list[Row]) -> Iterator[Row]:
+    def advance(self, key, rows: list[dict]) -> Iterator[tuple]:
         new = [tuple(r[n] for n in self.columns) for r in rows]
         seen = list(map(tuple, self.last.get()[0])) if self.last.exists() else []
         line = [None] * (self.offset - len(seen)) + seen + new
         for now, before in zip(new, line, strict=False):
-            yield Row(row=now, previous=before)
+            yield now, before
         self.last.update(([r for r in line[-self.offset :] if r is not None],))
 
 
