@@ -28,13 +28,16 @@ def _ntz(df, *columns):
     return df
 
 
-def _sized(t: Tables):
+HELD_BYTES = 8 << 20  # of files a state partition, where rows wait in state and pass through Python
+
+
+def _sized(t: Tables, bytes_each: int = 64 << 20):
     """State partitions for a stream over ``events``."""
-    return run.settings(t.spark, **run.state_settings("rocksdb", run.state_partitions(t.events)))
+    return run.settings(t.spark, **run.state_settings("rocksdb", run.state_partitions(t.events, bytes_each)))
 
 
-def _append(t: Tables, df, name: str):
-    with _sized(t):
+def _append(t: Tables, df, name: str, bytes_each: int = 64 << 20):
+    with _sized(t, bytes_each):
         return run.append_to(df, scratch(t, name))
 
 
@@ -260,7 +263,7 @@ def stream_as_of_join(t: Tables):
         joined = in_order.stream_as_of_join(
             probes, versions, ("user_id", "u"), "ts", "at", ["signup_id", "signup_value"], "signup_id", 1000
         )
-        return _append(t, joined.drop("ts"), "as-of")
+        return _append(t, joined.drop("ts"), "as-of", HELD_BYTES)
 
 
 @query(
@@ -305,7 +308,7 @@ def stream_lag(t: Tables):
         lagged = in_order.stream_lag(events, "user_id", "ts", "event_id", 1000)
         before = F.col("previous.value")
         out = lagged.select("event_id", before.alias("before"), (F.col("value") - before).alias("change"))
-        return _append(t, out, "lag")
+        return _append(t, out, "lag", HELD_BYTES)
 
 
 FINAL = "epoch_ms({0}) + ({0} > date_trunc('millisecond', {0}))::INTEGER <= (SELECT epoch_ms(max(ts)) - 1000 FROM events)"
@@ -339,7 +342,7 @@ def stream_match_rising_values(t: Tables):
             },
             1000,
         )
-        return _append(t, found, "rising")
+        return _append(t, found, "rising", HELD_BYTES)
 
 
 @query(
@@ -372,7 +375,7 @@ def stream_match_price_drop(t: Tables):
             },
             1000,
         )
-        return _append(t, found, "price-drop")
+        return _append(t, found, "price-drop", HELD_BYTES)
 
 
 @query(
