@@ -152,6 +152,20 @@ def test_long_ranges_have_few_nodes_and_are_not_paired_with_all_points(spark):
     assert "_up" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_ranges_of_one_length_copy_no_point(spark):
+    """Ninety-day ranges, two to nine pieces each: the left side goes to the join once, without copies or a second join."""
+    rng = random.Random(4)
+    ranges = [(i, rng.choice([1, 2, None]), at(86_400 * rng.randint(0, 400))) for i in range(60)]
+    table = spark.createDataFrame(ranges, "r long, rk int, s timestamp_ntz").withColumn("e", F.col("s") + F.expr("interval 90 days"))
+    probes = [(i, rng.choice([1, 2, 3, None]), 86_400 * rng.randint(-30, 520)) for i in range(120)]
+    left = lefts(spark, probes)
+    joined = J.validity_join(left, table, {"lk": "rk"}, "lts", "s", "e", "left", "1 day")
+    hits = lambda k, t: [j for j, rk, s in ranges if k is not None and k == rk and s <= t <= s + timedelta(days=90)]
+    assert pairs(joined) == sorted([(i, j) for i, k, s in probes for j in hits(k, at(s)) or [None]], key=str)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Generate") == 1 and "Aggregate" not in plan
+
+
 def test_containment_moves_no_text_and_is_not_misled_by_a_run_of_all_names(spark):
     texts = spark.createDataFrame([(i, f"the common part and name{i:04d} of it") for i in range(300)], "l long, t string")
     names = spark.createDataFrame([(i, f"common part and name{i:04d}") for i in range(300)], "r long, n string")

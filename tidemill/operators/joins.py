@@ -153,44 +153,49 @@ def validity_join(
 ) -> DataFrame:
     """Rows whose time lies in ``[start, end]`` of a range with the same key; several may match.
 
-    Time is a binary tree over pieces of about ``grain``. A range is covered by the
-    fewest whole nodes, at most two a level, however long it is (one that ends in
-    9999 has some fifty). A point looks up the nodes above it on the levels that
-    ranges use; exactly one of a range's nodes is above it, so node and key make
-    an equi-join without doubled pairs, which spreads a hot key over its time.
-    The exact times decide last. Only the distinct points (key and time) are
-    copied to the levels; ``left`` itself is joined once with what they found, so
-    ``how`` may be any join. The grain, an hour unless given, is best below the
-    usual range.
+    A range is laid on pieces of time about as long as itself or up to eight times
+    shorter, two to nine of them; one longer than all the time ``left`` spans, as one
+    that ends in 9999, counts with its length therein. A point lies in one piece of a
+    length. Piece and key make an equi-join without doubled pairs, which spreads a hot key over its
+    time, and the exact times decide last. Lengths go by powers of eight from
+    ``grain``, an hour unless given, which is best below the usual range. Where all
+    ranges have one length so measured, ``left`` is shuffled once, as it is; else the
+    distinct points (key and time) are copied once per length that occurs, and
+    ``left`` is joined with what they found. ``how`` may be any join.
     """
     names = list(keys)
     bits = micros_of(grain or "1 hour").bit_length() - 1  # pieces of a power of two, at most the grain
-
-    def piece(ts: str) -> Column:
-        return F.shiftright(_micros(F.col(ts)), bits)
-
-    first, behind = piece(start), piece(end) + 1
-    levels = F.sequence(F.lit(0), F.lit(62))
-    half = lambda x, k: F.call_function("shiftright", x, k)
-
-    def nodes(k: Column) -> Column:
-        # What is left of the range on a level begins and ends between whole nodes; an odd end belongs to this level.
-        low, high = -half(-first, k), half(behind, k)
-        odd = lambda x: F.pmod(x, F.lit(2)) == 1
-        node = lambda at: F.struct(k.alias("level"), at.alias("at"))
-        return F.when(low < high, F.array(F.when(odd(low), node(low)), F.when(odd(high), node(high - 1))))
-
-    cover = F.filter(F.flatten(F.filter(F.transform(levels, nodes), lambda x: x.isNotNull())), lambda x: x.isNotNull())
-    covered = ranges.where(F.col(start) <= F.col(end)).withColumn("_node", F.explode(cover))
-    used = covered.agg(F.collect_set("_node.level")).scalar()  # at most 63 numbers
+    us = lambda c: _micros(F.col(c))
+    times = left.agg(F.min(us(left_ts)), F.max(us(left_ts))).first()
+    first, last = F.greatest(us(start), F.lit(times[0])), F.least(us(end), F.lit(times[1]))
+    if times[0] is None:
+        first = last = F.lit(None).cast("long")
+
+    def piece(at: Column, level: Column) -> Column:
+        return F.call_function("shiftright", at, (level * 3 + bits).cast("int"))
+
+    within = F.col(start).isNotNull() & F.col(end).isNotNull() & (first <= last)  # of nulls, greatest and least take the other
+    whole = us(end) - us(start)
+    open_ended = whole > F.lit(times[1]) - F.lit(times[0])  # measured within the times of ``left``
+    length = F.call_function("shiftright", F.when(open_ended, last - first).otherwise(whole), F.lit(bits))
+    reach = ranges.where(within).withColumn("_level", F.floor((F.length(F.bin(length)) - 1) / 3).cast("int"))
+    covered = reach.withColumn("_piece", F.explode(F.sequence(piece(first, F.col("_level")), piece(last, F.col("_level")))))
+    used = sorted(r["_level"] for r in reach.select("_level").distinct().collect())  # at most 22 numbers
+    inside = F.col("_piece") == F.col("_up")
+    if len(used) == 1 and how in ("inner", "left"):
+        same = inside & F.col(left_ts).between(F.col(start), F.col(end))
+        placed = left.withColumn("_up", piece(us(left_ts), F.lit(used[0])))
+        for k, r in keys.items():
+            same = same & (placed[k] == covered[r])
+        return placed.join(covered, same, how).drop("_up", "_piece", "_level")
     point = {f"_p{i}": k for i, k in enumerate(names)}
     points = left.select(*[F.col(k).alias(p) for p, k in point.items()], F.col(left_ts).alias("_at")).distinct()
-    points = points.where(F.col("_at").isNotNull()).withColumn("_level", F.explode(used))
-    points = points.withColumn("_up", F.struct(F.col("_level").alias("level"), half(piece("_at"), F.col("_level")).alias("at")))
-    same = F.col("_up") == F.col("_node")
+    points = points.where(F.col("_at").isNotNull()).withColumn("_of", F.explode(F.array(*[F.lit(x) for x in used]).cast("array<int>")))
+    points = points.withColumn("_up", piece(us("_at"), F.col("_of")))
+    same = inside & (F.col("_of") == F.col("_level"))
     for p, k in point.items():
         same = same & (points[p] == covered[keys[k]])
-    hits = points.join(covered, same & F.col("_at").between(F.col(start), F.col(end))).drop("_up", "_level", "_node")
+    hits = points.join(covered, same & F.col("_at").between(F.col(start), F.col(end))).drop("_up", "_of", "_level", "_piece")
     back = left[left_ts] == hits["_at"]
     for p, k in point.items():
         back = back & (left[k] == hits[p])
