@@ -134,6 +134,20 @@ def test_distinct_counts_over_hops_equal_the_expansion(spark, size, slide):
     assert "Expand" not in gaps._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hop_panes_sort_panes_and_not_windows(spark):
+    """Windows are made behind the only sort and the last shuffle, whatever their number."""
+    df = frame(spark, *[("ab"[i % 2], i * 7, i) for i in range(60)])
+    panes = W.hop_panes(df, "ts", "60 seconds", "1 second", ["k"], aggs())
+    plan = panes._jdf.queryExecution().sparkPlan().toString().splitlines()
+    made = next(i for i, line in enumerate(plan) if "Generate explode(sequence" in line)
+    assert not any("Window" in line or "Exchange" in line for line in plan[:made])
+    done = panes._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert done.count("Sort [") == 1 and done.count("Exchange") == 2
+    plain = W.hop_agg(df, "ts", "60 seconds", "1 second", ["k"], F.count("*").alias("n"), F.sum("v").alias("total"))
+    cols = ("k", "window_start", "window_end", "n", "total")
+    assert out(panes, *cols) == out(plain, *cols)
+
+
 def test_hop_panes_with_nulls_and_gaps(spark):
     rows = [(None, T0 + timedelta(seconds=s), v) for s, v in ((0, 1.0), (500, None), (505, 2.0), (-70, 3.0))] + [("a", None, 1.0)]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")

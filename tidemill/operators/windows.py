@@ -157,9 +157,11 @@ def hop_panes(df: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str]
     """Hopping windows from panes that divide both ``size`` and ``slide``.
 
     Rows are reduced to panes, combined before the shuffle. Panes are then shuffled
-    by key once, as they are: each adds the windows that no earlier pane of its
-    key opened, as one row each, and a window row takes the panes of its range
-    in a frame over pane numbers. Use it for mergeable aggregates.
+    by key once and sorted once, with two marks each: the first window that holds
+    the pane and the first that does not. From a mark to the next all windows hold
+    the same panes, so a frame over pane numbers is taken at the marks alone, and
+    windows are made as the last step, which keeps none of them. Use it for mergeable
+    aggregates.
     """
     hops = _Hops(size, slide)
     df.select(F.window(ts, size, slide))  # Spark's own rules for the two
@@ -168,18 +170,20 @@ def hop_panes(df: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str]
         .groupBy(_pane(ts, hops.width).alias("_pane"), *keys)
         .agg(*[partial.alias(name) for name, (partial, _) in aggs.items()])
     )
-    by_pane = Window.partitionBy(*keys).orderBy("_pane")
-    pane, seen = F.col("_pane"), F.lag(hops.latest(F.col("_pane"))).over(by_pane)
-    opened = F.greatest(hops.earliest(pane), seen + 1)
-    opens = F.when(opened <= hops.latest(pane), F.sequence(opened, hops.latest(pane)))
-    # A pane itself (null) and the windows it opens, each at its last pane.
-    lines = panes.withColumn("_opens", F.coalesce(opens, F.array().cast("array<bigint>")))
-    lines = lines.withColumn("_j", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("_opens"))))
-    at = F.coalesce(F.col("_j") * hops.step + (hops.panes - 1), pane)
-    frame = Window.partitionBy(*keys).orderBy("_last").rangeBetween(-(hops.panes - 1), 0)
+    if keys:  # before the marks are added, so that they are not shuffled
+        panes = panes.repartition(*keys)
+    pane = F.col("_pane")
+    # A pane itself (null) and its marks, each at the last pane of its window.
+    marks = F.array(F.lit(None).cast("long"), hops.earliest(pane), hops.latest(pane) + 1)
+    lines = panes.withColumn("_j", F.explode(marks)).withColumn("_last", F.coalesce(F.col("_j") * hops.step + (hops.panes - 1), pane))
+    by_last = Window.partitionBy(*keys).orderBy("_last")
+    frame = by_last.rangeBetween(-(hops.panes - 1), 0)
     only = {name: F.when(F.col("_j").isNull(), F.col(name)) for name in aggs}
-    merged = lines.withColumn("_last", at).select(*keys, "_j", *[merge(only[name]).over(frame).alias(name) for name, (_, merge) in aggs.items()])
-    return merged.where(F.col("_j").isNotNull()).select(*keys, *aggs, *hops.bounds(F.col("_j"), df.schema[ts].dataType))
+    held = F.count(F.when(F.col("_j").isNull(), 1)).over(frame).alias("_held")
+    merged = lines.select(*keys, "_j", "_last", held, *[merge(only[name]).over(frame).alias(name) for name, (_, merge) in aggs.items()])
+    runs = merged.where(F.col("_j").isNotNull()).withColumn("_next", F.lead("_j").over(by_last))
+    windows = runs.where((F.col("_held") > 0) & (F.col("_next") > F.col("_j"))).withColumn("_j", F.explode(F.sequence("_j", F.col("_next") - 1)))
+    return windows.select(*keys, *aggs, *hops.bounds(F.col("_j"), df.schema[ts].dataType))
 
 
 def hop_distinct(df: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str], value: str, name: str) -> DataFrame:
