@@ -250,6 +250,19 @@ def test_token_files_round_trip(spark, tokenizer):
     assert wavelet.read_documents(wavelet.write_shards(documents(spark, ["a"]).limit(0), tokenizer)).count() == 0
 
 
+def test_a_piece_met_again_is_not_encoded_again(tokenizer):
+    """Three hundred thousand pieces, all remembered until they are met again."""
+    own = wavelet.Encoder(tokenizer)
+    texts = [" ".join(f"x{i:x}" for i in range(a, a + 1000)) for a in range(0, 300_000, 1000)]
+    asked = []
+    learn = own._learn
+    own._learn = lambda pieces: asked.append(len(pieces)) or learn(pieces)
+    first = [own.encode(texts[a : a + 20]) for a in range(0, len(texts), 20)]
+    seen = sum(asked)
+    assert [own.encode(texts[a : a + 20]) for a in range(0, len(texts), 20)] == first
+    assert sum(asked) == seen
+
+
 def test_token_files_without_ids(spark, tokenizer):
     docs = spark.createDataFrame([(None, "one two"), (3, None), (None, None), (3, "x")], "doc_id long, text string")
     rows = sorted(wavelet.read_documents(wavelet.write_shards(docs, tokenizer)).collect(), key=lambda r: r.start)

@@ -43,7 +43,7 @@ from tidemill.llm.common import partitions, settled, tidied
 
 SHARD_TOKENS = 1 << 20
 END = 0
-CACHE_ENTRIES = 200_000  # pieces remembered by a task, about 36 MB; a full store is begun anew
+CACHE_ENTRIES = 1_000_000  # pieces remembered by a task, about 180 MB; a full store is begun anew
 _MAGIC, _VERSION = b"TMWM", 1
 _HEAD = struct.Struct("<4sHHQQ")
 
