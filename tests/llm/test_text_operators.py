@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -263,6 +264,40 @@ def test_a_piece_met_again_is_not_encoded_again(tokenizer):
     assert sum(asked) == seen
 
 
+def test_pieces_are_kept_from_task_to_task_of_a_job(tokenizer, monkeypatch):
+    own, asked = wavelet.Encoder(tokenizer), []
+    learn = own._learn
+    own._learn = lambda pieces: asked.append(len(pieces)) or learn(pieces)
+    texts = ["one two  three.\nFour, five", "two four, one.\n\nThree"]
+    own.work_on("a job")
+    first = own.encode(texts)
+    seen = sum(asked)
+    own.work_on("a job")
+    assert own.encode(texts) == first and sum(asked) == seen
+    own.work_on("another job")
+    assert own.encode(texts) == first and sum(asked) == 2 * seen
+    monkeypatch.setattr(wavelet, "PIECES", len(own._known) + 2)
+    assert own.encode(["six seven", *texts, "eight nine", *texts]) == own.encode(["six seven"]) + first + own.encode(["eight nine"]) + first
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_end_where_the_library_parts_words(tokenizer, monkeypatch, seed):
+    rng = random.Random(seed)
+    marks = [" ", " ", " ", "\n", "\n", ".", ",", "-", "'", "'s", "'ll", "a", "Word", "the", "é", "à", "Å", "×", "1", "½", "\t", "\r\n", "\x1c", "\x00"]
+    marks += ["\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u3000", "“", "…", "€", "Ж", "ა", "日", "हि", "😀", "e\u0301", "\u0120", "<|", "<|endoftext|>"]
+    texts = ["".join(rng.choices(marks[: rng.choice([12, len(marks) - 1, len(marks)])], k=rng.randrange(60))) for _ in range(1500)]
+    want = [ids[:-1].tolist() for ids in plain_tokens(tokenizer, texts)]
+    own = wavelet.Encoder(tokenizer)
+    assert [np.frombuffer(ids, own.dtype).tolist() for ids in own.encode(texts)] == want
+    monkeypatch.setattr(wavelet, "TEXT_AT_ONCE", 300)
+    table = pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    blocks = list(wavelet._blocks(iter(table.to_batches(max_chunksize=70))))
+    assert [i for names, _ in blocks for i in names] == list(range(len(texts))) and len(blocks) > 50
+    got = [own.tokens(block) for _, block in blocks]
+    assert np.concatenate([ids for ids, _ in got]).tolist() == [i for ids in want for i in ids]
+    assert np.concatenate([counts for _, counts in got]).tolist() == [len(ids) for ids in want]
+
+
 def test_token_files_without_ids(spark, tokenizer):
     docs = spark.createDataFrame([(None, "one two"), (3, None), (None, None), (3, "x")], "doc_id long, text string")
     rows = sorted(wavelet.read_documents(wavelet.write_shards(docs, tokenizer)).collect(), key=lambda r: r.start)

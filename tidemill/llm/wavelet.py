@@ -23,8 +23,12 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
+import string
 import struct
+import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +37,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -43,7 +48,9 @@ from tidemill.llm.common import partitions, settled, tidied
 
 SHARD_TOKENS = 1 << 20
 END = 0
-CACHE_ENTRIES = 1_000_000  # pieces remembered by a task, about 180 MB; a full store is begun anew
+PIECES, PIECE_BYTES = 2_000_000, 48 << 20  # remembered by a worker during a job; a full store is begun anew
+TEXT_AT_ONCE = 8 << 20  # bytes of texts cut into pieces together, unless one text is longer
+LETTERS_AT_ONCE = 1 << 18  # characters given to the tokenizers library in a call, unless one text is longer
 _MAGIC, _VERSION = b"TMWM", 1
 _HEAD = struct.Struct("<4sHHQQ")
 
@@ -192,108 +199,204 @@ def read_file(data: bytes) -> tuple[WaveletMatrix, np.ndarray, list[int | None]]
 
 
 # -- tokens -----------------------------------------------------------------
-class Encoder:
-    """Texts to the tokenizer's ids, as little-endian bytes of ``dtype``.
+_WHITE, _WORD = 1, 2
+#: Bytes before which a piece may begin: space, line break, and ASCII punctuation but the apostrophe.
+_MAY_BEGIN = np.isin(np.arange(256), [*b" \n", *(c for c in string.punctuation.encode() if c != ord("'"))])
+#: What no piece of a run holds behind its first character, for the expressions of Arrow.
+_NO_WHITE = r"[^\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]"
 
-    A byte-level vocabulary with its own splitting pattern never joins what a
-    single space between two other characters parts. Texts without neighbouring
-    white space and strings of special tokens are therefore put together from
-    their pieces between spaces, each encoded once and remembered; new pieces
-    are encoded many at a time. All other texts are encoded whole.
-    """
 
-    _SPACES = re.compile(r"\s\s")
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """White space, and the letters and digits of old scripts, by code point; the last place is for all beyond."""
+    kinds = np.zeros(0x10001, np.uint8)
+    for c in map(chr, range(0x10000)):
+        kind = unicodedata.category(c)[0]
+        if c.isspace() or kind == "Z" or c == "\u180e":
+            kinds[ord(c)] = _WHITE
+        elif c < "\u0530" and kind in "LN":
+            kinds[ord(c)] = _WORD
+    return kinds
+
+
+def _before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code point of the character that ends before each place of UTF-8 bytes."""
+    one, two, three = (data.take(at - k, mode="clip").astype(np.int32) for k in (1, 2, 3))  # at the very start any will do
+    far = np.where(three >= 0xE0, (three & 15) << 12 | (two & 63) << 6 | one & 63, 0x10000)
+    return np.where(one < 0x80, one, np.where(two >= 0xC0, (two & 31) << 6 | one & 63, far))
+
+
+def _offsets(strings: pa.Array) -> np.ndarray:
+    kind = np.int64 if pa.types.is_large_binary(strings.type) else np.int32
+    return np.frombuffer(strings.buffers()[1], kind)[strings.offset : strings.offset + len(strings) + 1]
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts`` values from each of ``starts`` on, one behind the other."""
+    ends = np.cumsum(counts)
+    at = np.arange(ends[-1] if len(ends) else 0)
+    at += np.repeat(starts - (ends - counts), counts)
+    return values[at]
+
+
+class Encoder:
+    """Texts to the tokenizer's ids.
+
+    A byte-level vocabulary with its own splitting pattern never joins what is
+    on the two sides of the first white space behind any other character, of a
+    single line break, or of punctuation (but an apostrophe) behind a letter or
+    digit. Texts are cut there, all at once on their bytes, and each distinct
+    piece is encoded once and remembered as ids in one array. Texts that hold
+    strings of special tokens, and all texts of other vocabularies, are one
+    piece each.
+
+    New pieces go to the library many in a text: those that begin with their
+    only space one behind the other, those without any behind line breaks. Its
+    threads are kept off, for the tasks have the cores already.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bits = max(1, (size - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self._special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._any_special = re.compile(b"|".join(re.escape(s.encode()) for s in self._special)) if self._special else None
         setup = json.loads(self.tokenizer.to_str())
         split = setup["pre_tokenizer"] or {}
-        self._by_piece = setup["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        self._by_piece = (
+            setup["normalizer"] is None
+            and split.get("type") == "ByteLevel"
+            and split["use_regex"]
+            and not split["add_prefix_space"]
+            and not any(c.isspace() for s in self._special for c in s)
+        )
         # Ids whose token begins with a space, or a line break: in a run of pieces these begin the pieces.
         vocabulary = self.tokenizer.get_vocab(True)
         self._opens = {}
         for sep, mapped in ((" ", "\u0120"), ("\n", "\u010a")):
             self._opens[sep] = np.zeros(size, bool)
             self._opens[sep][[i for token, i in vocabulary.items() if token.startswith(mapped)]] = True
-        self._marks = {"": b"", ".": self._whole(["."])[0], ",": self._whole([","])[0]}
-        self._cache: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._job = None
+        self.forget()
 
     def forget(self) -> None:
         """Drop the pieces remembered."""
-        self._cache = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember pieces. Each is a space and what follows it, kept without the space, or a line break and the like.
-
-        A line break, and a full stop or comma behind a letter or digit, stand
-        apart in the vocabulary's pattern, so what is around them is shared.
-        """
-        if len(self._cache) + 2 * len(pieces) > CACHE_ENTRIES or not self._cache:
-            self._cache = {"": self._whole([" "])[0], "\n": self._whole(["\n"])[0]}
-        cache, joined, bare = self._cache, [], {" ": set(), "\n": set()}
-        for piece in pieces:
-            lines = piece.split("\n")
-            parts = [(" ", lines[0]), *(("\n", x) for x in lines[1:])] if lines[0] else [("\n", x) for x in lines[1:]]
-            if not lines[0]:
-                parts.insert(0, (" ", ""))
-            keys = []
-            for sep, body in parts:
-                mark = ""
-                if body[-1:] in (".", ",") and body[-2:-1].isalnum():
-                    body, mark = body[:-1], body[-1]
-                key = body if sep == " " else "\n" + body
-                keys.append((key, mark))
-                if body and key not in cache:
-                    bare[sep].add(body)
-            if len(keys) > 1 or keys[0][1]:
-                joined.append((piece, keys))
-        width = self.dtype.itemsize
-        for sep, bodies in bare.items():
-            some = list(bodies)
-            for at in range(0, len(some), 4096):
-                part = some[at : at + 4096]
-                runs = [sep + sep.join(part[k : k + 64]) for k in range(0, len(part), 64)]
-                ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
-                data = ids.tobytes()
-                cuts = [*(np.flatnonzero(self._opens[sep][ids]) * width).tolist(), len(data)]
-                names = part if sep == " " else ["\n" + body for body in part]
-                cache.update(zip(names, (data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)), strict=True))
-        for piece, keys in joined:
-            cache[piece] = b"".join([cache[key] + self._marks[mark] for key, mark in keys])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        parts, known, firsts, whole, new = {}, {}, [], [], set()
-        if not self._cache:
-            self._learn(set())
+        self._known = pa.array([], pa.string())
+        self._ids, self._ends = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+
+    def work_on(self, job: str) -> None:
+        """Pieces are remembered from task to task of one job."""
+        if job != self._job:
+            self.forget()
+        self._job = job
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, by the library, some texts at a time."""
+        out, some, size = [], [], 0
         for i, text in enumerate(texts):
-            if self._by_piece and not self._SPACES.search(text) and not any(s in text for s in self._special):
-                first, *rest = text.split(" ")
-                found = list(map(self._cache.get, rest))
-                if None in found:
-                    new.update(w for w, ids in zip(rest, found, strict=True) if ids is None)
-                firsts.append(first)
-                parts[i], known[i] = rest, found
-            else:
-                whole.append(i)
-        if new:
-            self._learn(new)
-        for (i, rest), first in zip(parts.items(), self._whole(firsts), strict=True):
-            found = known[i]
-            if None in found:
-                found = [self._cache[w] if ids is None else ids for w, ids in zip(rest, found, strict=True)]
-            out[i] = first + b"".join(found)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+            some.append(text)
+            size += len(text)
+            if size >= LETTERS_AT_ONCE or i == len(texts) - 1:
+                out += [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                some, size = [], 0
         return out
 
+    def _in_runs(self, pieces: pa.Array, sep: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces that each begin with ``sep`` and hold none besides; where a piece's begin, and their number."""
+        ends, data = _offsets(pieces).tolist(), memoryview(pieces.buffers()[2])
+        ids = np.concatenate(self._whole([str(data[ends[a] : ends[min(a + 512, len(pieces))]], "utf-8") for a in range(0, len(pieces), 512)]))
+        starts = np.flatnonzero(self._opens[sep][ids])
+        if len(starts) != len(pieces):
+            raise ValueError("the vocabulary lacks a byte")
+        return ids, starts, np.diff(starts, append=len(ids))
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Encode pieces and remember them, in their order, behind the others."""
+        kind = np.zeros(len(pieces), np.int8)
+        if self._by_piece:
+            for k, shape in ((1, f"^ {_NO_WHITE}+$"), (2, f"^{_NO_WHITE}+$")):
+                kind[pc.match_substring_regex(pieces, shape).to_numpy(zero_copy_only=False)] = k
+            for special in self._special:
+                kind[pc.match_substring(pieces, special).to_numpy(zero_copy_only=False)] = 0
+        starts, counts, ids, n = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], 0
+        for k in range(3):
+            at = np.flatnonzero(kind == k)
+            if not len(at):
+                continue
+            some = pieces.take(pa.array(at))
+            if k == 0:
+                lists = self._whole(some.to_pylist())
+                found, many = np.concatenate(lists), np.array([len(x) for x in lists])
+                first = np.cumsum(many) - many
+            elif k == 1:
+                found, first, many = self._in_runs(some, " ")
+            else:
+                found, first, many = self._in_runs(pc.binary_join_element_wise(pa.scalar("\n"), some, pa.scalar("")), "\n")
+                first, many = first + 1, many - 1
+            starts[at], counts[at] = first + n, many
+            ids.append(found)
+            n += len(found)
+        self._known = pa.concat_arrays([self._known, pieces])
+        self._ids = np.concatenate((self._ids, _runs(np.concatenate(ids), starts, counts)))
+        self._ends = np.concatenate((self._ends, self._ends[-1] + np.cumsum(counts)))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece among those remembered, after new ones are learnt."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self._known), -1).to_numpy().copy()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self._known) + len(new) > PIECES or self._known.nbytes + pieces.nbytes > PIECE_BYTES:
+                self.forget()
+                new = np.arange(len(pieces))
+            at[new] = len(self._known) + np.arange(len(new))
+            self._learn(pieces.take(pa.array(new)))
+        return at
+
+    def _begins(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the pieces begin in the bytes of texts side by side."""
+        begins = np.zeros(len(data) + 1, bool)
+        if self._by_piece:
+            at = np.flatnonzero(_MAY_BEGIN[data])
+            here, before = data[at], _kinds()[_before(data, at)]
+            at = at[np.where((here == 32) | (here == 10), before != _WHITE, before == _WORD)]
+            begins[at] = True
+            # A line break before what is surely no white space is a piece of its own.
+            behind = at[data[at] == 10] + 1
+            behind = behind[behind < len(data)]
+            first = data[behind]
+            begins[behind[(first > 32) & (first < 127) | (first >= 0xC3) & ~np.isin(first, [0xE1, 0xE2, 0xE3])]] = True
+            if self._any_special:
+                found = [m.start() for m in self._any_special.finditer(data)]
+                for text in np.unique(np.searchsorted(ends, found, "right")):
+                    begins[ends[text - 1] : ends[text]] = False
+        begins[ends] = True
+        return np.flatnonzero(begins[:-1])
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text behind the other, and the number of each text's."""
+        texts = texts.cast(pa.large_binary())
+        ends = _offsets(texts) if len(texts) else np.zeros(1, np.int64)
+        low, high = int(ends[0]), int(ends[-1])
+        if low == high:
+            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+        data, ends = texts.buffers()[2].slice(low, high - low), ends - low
+        begins = self._begins(np.frombuffer(data, np.uint8), ends)
+        cuts = np.append(begins, high - low)
+        coded = pa.StringArray.from_buffers(len(begins), pa.py_buffer(cuts.astype(np.int32)), data).dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        starts = self._ends[place]
+        counts = self._ends[place + 1] - starts
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        return _runs(self._ids, starts, counts), np.diff(upto[np.searchsorted(cuts, ends)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian bytes of ``dtype``."""
+        ids, counts = self.tokens(pa.array(texts, pa.string()))
+        data, ends = ids.tobytes(), (np.cumsum(counts) * self.dtype.itemsize).tolist()
+        return [data[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
@@ -301,38 +404,61 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Ids and texts of about ``TEXT_AT_ONCE`` bytes together, unless one text is longer."""
+    names, texts, size = [], [], 0
+    for batch in batches:
+        column = batch.column("text").cast(pa.large_binary())
+        at = 0
+        while at < len(column):
+            ends = _offsets(column)
+            to = min(max(int(np.searchsorted(ends, ends[at] + TEXT_AT_ONCE - size, "right")) - 1, at + 1), len(column))
+            names += batch.column("doc_id").slice(at, to - at).to_pylist()
+            texts.append(column.slice(at, to - at))
+            size += int(ends[to] - ends[at])
+            if size >= TEXT_AT_ONCE or to < len(column):
+                yield names, pa.concat_arrays(texts)
+                names, texts, size = [], [], 0
+            at = to
+    if names:
+        yield names, pa.concat_arrays(texts)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS, end: int = END) -> DataFrame:
     """Encode all documents and write the shard files; one row per file, read back from the shared folder.
 
     ``part`` and ``shard`` number the files in order of ``doc_id``;
     ``start_in_part`` counts the ids of the part's earlier files.
     """
+    job = uuid.uuid4().hex
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, start = TaskContext.get().partitionId(), 0, 0
         own = encoder(tokenizer)
-        last, width = np.array([end], own.dtype).tobytes(), own.dtype.itemsize
-        held, ids, n = [], [], 0
+        own.work_on(job)
+        held, lengths, ids, n = [], [], [], 0
 
         def file() -> pa.RecordBatch:
-            lengths = np.array([len(h) // width for h in held], np.int64)
-            data = write_file(np.frombuffer(b"".join(held), own.dtype), lengths, ids, own.bits)
+            data = write_file(np.concatenate(held), np.concatenate(lengths), ids, own.bits)
             row = {"part": part, "shard": shard, "start_in_part": start, "n_tokens": n, "n_docs": len(ids), "file": data}
             return pa.RecordBatch.from_pylist([row], schema=kind)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # a few texts at a time become Python strings
-                some = batch.slice(at, 500)
-                for doc, tokens in zip(some.column("doc_id").to_pylist(), own.encode(some.column("text").to_pylist()), strict=True):
-                    held.append(tokens + last)
-                    ids.append(doc)
-                    n += len(held[-1]) // width
-                    if n >= shard_tokens:
-                        yield file()
-                        shard, start, held, ids, n = shard + 1, start + n, [], [], 0
-        if held:
+        for names, texts in _blocks(batches):
+            tokens, counts = own.tokens(texts)
+            tokens, counts = np.insert(tokens, np.cumsum(counts), end), counts + 1
+            upto, at = np.concatenate(([0], np.cumsum(counts))), 0
+            while at < len(names):
+                to = min(int(np.searchsorted(upto, upto[at] + shard_tokens - n)), len(names))
+                held.append(tokens[upto[at] : upto[to]])
+                lengths.append(counts[at:to])
+                ids += names[at:to]
+                n += int(upto[to] - upto[at])
+                at = to
+                if n >= shard_tokens:
+                    yield file()
+                    shard, start, held, lengths, ids, n = shard + 1, start + n, [], [], [], 0
+        if ids:
             yield file()
-        own.forget()
 
     kind = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("file", pa.binary())])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
