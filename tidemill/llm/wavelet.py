@@ -48,8 +48,8 @@ from tidemill.llm.common import partitions, settled, tidied
 
 SHARD_TOKENS = 1 << 20
 END = 0
-PIECES, PIECE_BYTES = 2_000_000, 48 << 20  # remembered by a worker during a job; a full store is begun anew
-TEXT_AT_ONCE = 8 << 20  # bytes of texts cut into pieces together, unless one text is longer
+PIECES, PIECE_BYTES = 1_000_000, 24 << 20  # remembered by a worker during a job; a full store is begun anew
+TEXT_AT_ONCE = 4 << 20  # bytes of texts cut into pieces together, unless one text is longer
 LETTERS_AT_ONCE = 1 << 18  # characters given to the tokenizers library in a call, unless one text is longer
 _MAGIC, _VERSION = b"TMWM", 1
 _HEAD = struct.Struct("<4sHHQQ")
